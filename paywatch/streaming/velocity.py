@@ -2,9 +2,9 @@
 
 Each micro-batch is joined with the last seven days of per-second totals and goes through
 the same block-wise sweep as the batch operator, so a busy account is split over time
-instead of living in one state entry. The totals are a table in the shared folder with
-one version per micro-batch; a replayed micro-batch reads the same previous version and
-writes its own again.
+instead of living in one state entry. The totals are a table in the shared folder, kept
+in two slots that micro-batches write in turn: a replayed micro-batch finds the slot of
+the one before untouched and writes its own again.
 """
 
 from __future__ import annotations
@@ -33,11 +33,11 @@ class VelocityJob:
         self.folder = folder.rstrip("/")
         self.delay = delay
 
-    def _state(self, version: int) -> str:
-        return f"{self.folder}/state/v={version}"
+    def _state(self, batch_id: int) -> str:
+        return f"{self.folder}/state/slot{batch_id % 2}"
 
-    def _newest(self, version: int) -> str:
-        return f"{self.folder}/newest/v={version}"
+    def _newest(self, batch_id: int) -> str:
+        return f"{self.folder}/newest/slot{batch_id % 2}"
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
