@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paywatch.functions.numbers import settle
 from paywatch.functions.quantiles import exact_quantiles
 from paywatch.schemas import ACTIONS
 
@@ -45,8 +46,8 @@ def queue(
     top = filtered(alerts, risk_band, action, search).orderBy(*by_score()).limit(limit)
     return top.select(
         "alert_id", "txn_id", "timestamp", "account_id",
-        F.round("amount", 2).alias("amount"),
-        F.round("final_risk_score", 4).alias("risk_score"),
+        settle("amount", 2).alias("amount"),
+        settle("final_risk_score", 4).alias("risk_score"),
         "risk_band", "action", "is_fraud",
     )
 

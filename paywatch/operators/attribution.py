@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paywatch.functions.numbers import settle
 from paywatch.runtime import scratch_path
 
 
@@ -93,7 +94,7 @@ def attributions(df: DataFrame, model: PipelineModel, key: str = "txn_id") -> Da
 def top_features(explained: DataFrame, key: str = "txn_id", top: int = 5) -> DataFrame:
     """Per row a map of the ``top`` attributions by size, rounded to 4 places."""
     named = F.zip_with("features", "values", lambda f, v: F.struct(
-        (-F.abs(v)).alias("size"), f.alias("f"), F.round(v, 4).alias("v")
+        (-F.abs(v)).alias("size"), f.alias("f"), settle(v, 4).alias("v")
     ))
     best = F.slice(F.array_sort(named), 1, top)
     return explained.select(

@@ -141,6 +141,8 @@ def communities(
     assigned = durable(degree.select(F.col("node").alias("account_id"), F.col("node").alias("community_id")))
     nodes = durable(degree)
     for level in range(levels):
+        if member.groupBy("device_id").count().filter("count > 1").isEmpty():
+            break
         labels = _local_moving(member, nodes, float(twice_weight), rounds, level)
         if labels is None:
             break
@@ -163,21 +165,19 @@ def _local_moving(
 ) -> DataFrame | None:
     """Labels (node, c) after moving, or None when no node wants to move."""
     labels = nodes.select("node", F.col("node").alias("c"))
-    best, best_quality, idle = None, _modularity(member, nodes, labels, twice_weight), 0
+    best, best_quality = None, None
     for turn in range(rounds):
         moves = durable(_moves(member, nodes, labels, twice_weight, level * 1000 + turn))
-        moved = moves.filter("moved").limit(1).count()
-        if moved == 0:
-            # Each half of the nodes gets its turn before giving up.
-            idle += 1
-            if idle == 2:
-                break
-            continue
-        idle = 0
         labels = moves.select("node", "c")
-        quality = _modularity(member, nodes, labels, twice_weight)
-        if quality > best_quality:
-            best, best_quality = labels, quality
+        told = moves.agg(F.count_if("wants").alias("wants"), F.count_if("moved").alias("moved")).first()
+        if best is None:
+            best_quality = _modularity(member, nodes, nodes.select("node", F.col("node").alias("c")), twice_weight)
+        if told["moved"]:
+            quality = _modularity(member, nodes, labels, twice_weight)
+            if quality > best_quality:
+                best, best_quality = labels, quality
+        if told["wants"] == told["moved"] == 0:
+            break
     return best
 
 
@@ -187,13 +187,13 @@ def _counts(member: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _modularity(member: DataFrame, nodes: DataFrame, labels: DataFrame, twice_weight: float) -> float:
-    """Modularity times the total weight, less the constant of single accounts."""
-    inner = _counts(member, labels).agg(
-        F.sum(F.col("on_device") * (F.col("on_device") - 1)).alias("w")
-    ).first()["w"]
+    """Share of the link weight inside communities, less the share expected by degree."""
+    inside = _counts(member, labels).select(
+        (F.col("on_device") * (F.col("on_device") - 1) / F.lit(twice_weight)).alias("q")
+    )
     totals = nodes.join(labels, "node").groupBy("c").agg(F.sum("k").alias("k"))
-    spread = totals.agg(F.sum(F.pow(F.col("k") / F.lit(twice_weight), 2))).first()[0]
-    return (inner or 0) / twice_weight - spread
+    expected = totals.select((-F.pow(F.col("k") / F.lit(twice_weight), 2)).alias("q"))
+    return inside.unionByName(expected).agg(F.sum("q")).first()[0]
 
 
 def _moves(
@@ -243,9 +243,10 @@ def _moves(
         F.col("t_target") - (F.col("t_own") - F.col("k"))
     ) / F.lit(twice_weight)
     active = F.pmod(F.xxhash64("node", F.lit(seed // 2)) + F.lit(seed % 2), F.lit(2)) == 0
-    winners = rated.filter((gain > 1e-9) & active).select("node", F.col("target").alias("_to"))
-    return labels.join(winners, "node", "left").select(
-        "node", F.coalesce("_to", "c").alias("c"), F.col("_to").isNotNull().alias("moved")
+    eager = rated.filter(gain > 1e-9).select("node", F.when(active, F.col("target")).alias("_to"), F.lit(True).alias("wants"))
+    return labels.join(eager, "node", "left").select(
+        "node", F.coalesce("_to", "c").alias("c"),
+        F.coalesce("wants", F.lit(False)).alias("wants"), F.col("_to").isNotNull().alias("moved"),
     )
 
 

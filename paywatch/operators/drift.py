@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paywatch.functions.numbers import settle
 from paywatch.functions.quantiles import exact_quantiles
 from paywatch.functions.topk import top_k
 from paywatch.operators.alerts import period
@@ -97,7 +98,7 @@ def psi_from_counts(counts: DataFrame, bins: int = 10, min_values: int = MIN_PER
     periods = shares.filter((F.col("period") != "reference") & (F.col("values") >= min_values))
     parts = F.zip_with("share", "expected", lambda a, e: (a - e) * F.ln(a / e))
     total = F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)
-    return periods.join(reference, "feature").select("feature", "period", F.round(total, 4).alias("psi"))
+    return periods.join(reference, "feature").select("feature", "period", settle(total, 4).alias("psi"))
 
 
 def psi(reference: DataFrame, actual: DataFrame, feature: str, bins: int = 10) -> DataFrame:
@@ -124,14 +125,14 @@ def top_precision(
         best.groupBy("period")
         .agg(F.avg(F.col("is_fraud").cast("int")).alias("_p"), F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") == n)
-        .select("period", F.round("_p", 4).alias("precision"))
+        .select("period", settle("_p", 4).alias("precision"))
     )
 
 
 def label_rate(alerts: DataFrame, cutoff=None, unit: str = "month") -> DataFrame:
     rows = alerts if cutoff is None else alerts.filter(F.col("timestamp") >= F.lit(cutoff).cast("timestamp"))
     return rows.groupBy(period(unit=unit).alias("period")).agg(
-        F.round(F.avg(F.col("is_fraud").cast("int")), 4).alias("fraud_rate")
+        settle(F.avg(F.col("is_fraud").cast("int")), 4).alias("fraud_rate")
     )
 
 
@@ -175,6 +176,6 @@ def monitoring_series(precision: DataFrame, rates: DataFrame) -> DataFrame:
     """Precision and label rate per period, in percent to one place."""
     return rates.join(precision, "period", "left").select(
         "period",
-        F.round(F.col("precision") * 100, 1).alias("precision_pct"),
-        F.round(F.col("fraud_rate") * 100, 1).alias("fraud_rate_pct"),
+        settle(F.col("precision") * 100, 1).alias("precision_pct"),
+        settle(F.col("fraud_rate") * 100, 1).alias("fraud_rate_pct"),
     )

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paywatch.functions.numbers import settle
 from paywatch.functions.topk import top_k
 from paywatch.operators.features import risk_tier
 from paywatch.operators.graph import EDGE_TYPES
@@ -59,13 +60,13 @@ def account_history(ids: DataFrame, alerts: DataFrame, window_days: int = 30) ->
     return recent.groupBy("account_id").agg(
         F.lit(window_days).alias("window_days"),
         F.count(F.lit(1)).alias("total_transactions"),
-        F.round(F.sum("amount"), 2).alias("total_amount"),
-        F.round(F.avg("amount"), 2).alias("avg_amount"),
-        F.round(F.max("amount"), 2).alias("max_amount"),
-        F.round(F.min("amount"), 2).alias("min_amount"),
+        settle(F.sum("amount"), 2).alias("total_amount"),
+        settle(F.avg("amount"), 2).alias("avg_amount"),
+        settle(F.max("amount"), 2).alias("max_amount"),
+        settle(F.min("amount"), 2).alias("min_amount"),
         F.count_if("is_fraud").alias("fraud_count"),
-        F.round(F.avg("final_risk_score"), 4).alias("avg_risk_score"),
-        F.round(F.max("final_risk_score"), 4).alias("max_risk_score"),
+        settle(F.avg("final_risk_score"), 4).alias("avg_risk_score"),
+        settle(F.max("final_risk_score"), 4).alias("max_risk_score"),
         F.map_filter(counts, lambda _, n: n > 0).alias("actions"),
         F.concat_ws(
             " to ", F.date_format(F.max(start), day), F.date_format(F.max("_latest"), day)
@@ -89,7 +90,7 @@ def velocity_snapshot(ids: DataFrame, features: DataFrame) -> DataFrame:
         "account_id",
         F.col("_l.txn_id").alias("as_of_txn"),
         *[
-            (F.round(f"_l.{c}", 2) if c.startswith("amount") else F.col(f"_l.{c}")).alias(c)
+            (settle(f"_l.{c}", 2) if c.startswith("amount") else F.col(f"_l.{c}")).alias(c)
             for c in wanted
         ],
     )
@@ -100,7 +101,7 @@ def baseline(ids: DataFrame, profiles: DataFrame) -> DataFrame:
     counts = ["total_txn_count", "unique_merchants", "unique_beneficiaries", "unique_devices"]
     own = profiles.join(ids.select("account_id").distinct(), "account_id", "left_semi")
     return own.select(
-        "account_id", *counts, *[F.round(c, 2).alias(c) for c in money],
+        "account_id", *counts, *[settle(c, 2).alias(c) for c in money],
         F.col("has_fraud").alias("has_prior_fraud"),
     )
 
@@ -109,7 +110,7 @@ def merchant_risk(ids: DataFrame, merchants: DataFrame) -> DataFrame:
     asked = merchants.join(ids.select("merchant_id").distinct(), "merchant_id", "left_semi")
     return asked.select(
         "merchant_id", "name", "category_code", "country",
-        F.round("fraud_rate_hist", 4).alias("fraud_rate_hist"),
+        settle("fraud_rate_hist", 4).alias("fraud_rate_hist"),
         risk_tier("fraud_rate_hist").alias("risk_tier"),
     )
 
@@ -126,8 +127,8 @@ def anomaly_summary(ids: DataFrame, alerts: DataFrame) -> DataFrame:
     ).otherwise("NORMAL")
     return summary.select(
         "account_id",
-        F.round("_l.behavior_anomaly_score", 4).alias("latest_anomaly_score"),
-        F.round("_avg", 4).alias("avg_anomaly_score"),
+        settle("_l.behavior_anomaly_score", 4).alias("latest_anomaly_score"),
+        settle("_avg", 4).alias("avg_anomaly_score"),
         "total_transactions_scored",
         label.alias("interpretation"),
     )
@@ -335,7 +336,7 @@ def similar_cases(
     ``k`` per slice (one action counts them). Similarity is 0 for an all-zero vector.
     """
     vectors = cases.select(
-        "case_id", F.round("confidence", 2).alias("confidence"), "reason_codes"
+        "case_id", settle("confidence", 2).alias("confidence"), "reason_codes"
     ).select("case_id", case_vector("confidence", "reason_codes").alias("vector"))
     library = top_k(vectors, ["vector"], [F.col("case_id")], k, ["case_id"])
     slices = max(1, -(-library.count() // library_rows))
@@ -347,7 +348,7 @@ def similar_cases(
         matches = found if matches is None else matches.unionByName(found)
     order = [F.col("similarity").desc(), F.col("case_id")]
     return top_k(matches, ["query_id"], order, k, ["case_id"], spread=1, rank="rank").withColumn(
-        "similarity", F.round("similarity", 4)
+        "similarity", settle("similarity", 4)
     )
 
 
@@ -386,14 +387,14 @@ def case_detail(cases: DataFrame, alerts: DataFrame) -> DataFrame:
     scores = alerts.select(
         "alert_id",
         *[
-            F.round(c, 4).alias(c)
+            settle(c, 4).alias(c)
             for c in ("txn_risk_score", "behavior_anomaly_score", "graph_risk_score", "final_risk_score")
         ],
-        F.round("amount", 2).alias("amount"),
+        settle("amount", 2).alias("amount"),
     )
     numbers = [c for c in scores.columns if c != "alert_id"]
     joined = cases.join(scores, "alert_id", "left").fillna(0.0, numbers)
-    return joined.withColumn("confidence_pct", F.round(F.col("confidence") * 100, 1))
+    return joined.withColumn("confidence_pct", settle(F.col("confidence") * 100, 1))
 
 
 def case_entities(cases: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paywatch.functions.numbers import settle
 from paywatch.operators import forest as isolation
 from paywatch.schemas import (
     BOOLEAN_FEATURES, CATEGORICAL_FEATURES, GRAPH_FEATURES, NUMERIC_FEATURES, TOPOLOGY_FLAGS,
@@ -166,7 +167,7 @@ def categorized_importance(importance: DataFrame, top: int = 10) -> DataFrame:
     """Most important features with their category."""
     best = importance.orderBy(F.col("importance").desc(), "feature").limit(top)
     return best.select(
-        "feature", F.round("importance", 4).alias("importance"), feature_category(F.col("feature")).alias("category")
+        "feature", settle("importance", 4).alias("importance"), feature_category(F.col("feature")).alias("category")
     )
 
 

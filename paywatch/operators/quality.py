@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paywatch.functions.numbers import settle
 from paywatch.schemas import ACTIONS, CRITICAL_COLUMNS, MONITORED_COLUMNS, PRIORITIES
 
 
@@ -51,7 +52,7 @@ def label_distribution(txn: DataFrame, by: str = "source") -> DataFrame:
     return txn.groupBy(by).agg(
         F.count_if("is_fraud").alias("fraud_count"),
         F.count("is_fraud").alias("total_count"),
-        F.round(F.count_if("is_fraud") / F.count("is_fraud"), 4).alias("fraud_rate"),
+        settle(F.count_if("is_fraud") / F.count("is_fraud"), 4).alias("fraud_rate"),
     )
 
 
@@ -66,8 +67,8 @@ def coverage(txn: DataFrame) -> DataFrame:
     return txn.agg(
         F.min("timestamp").alias("min_timestamp"),
         F.max("timestamp").alias("max_timestamp"),
-        F.round(1 - F.avg(F.col("device_id").isNull().cast("int")), 4).alias("device_coverage"),
-        F.round(1 - F.avg(F.col("ip_id").isNull().cast("int")), 4).alias("ip_coverage"),
+        settle(1 - F.avg(F.col("device_id").isNull().cast("int")), 4).alias("device_coverage"),
+        settle(1 - F.avg(F.col("ip_id").isNull().cast("int")), 4).alias("ip_coverage"),
     )
 
 
@@ -93,7 +94,7 @@ def findings(txn: DataFrame, max_null: float = 0.05) -> DataFrame:
         F.when(critical & (F.col("null_rate") > 0), "error")
         .when(~critical & (F.col("null_rate") > max_null), "warning").alias("severity"),
         "column_name",
-        F.round("null_rate", 4).alias("value"),
+        settle("null_rate", 4).alias("value"),
     ).filter("severity is not null")
     repeated = uniqueness(txn).filter("not is_unique").select(
         F.lit("error").alias("severity"),
@@ -121,7 +122,7 @@ def report(
     )
     parts = [
         section("record_counts", record_counts(txn, device, ip), "key", "value"),
-        section("null_rates", null_rates(txn), "column_name", F.round("null_rate", 4)),
+        section("null_rates", null_rates(txn), "column_name", settle("null_rate", 4)),
         section("fraud_count_by_source", labels, "source", "fraud_count"),
         section("total_count_by_source", labels, "source", "total_count"),
         section("fraud_rate_by_source", labels, "source", "fraud_rate"),
@@ -152,7 +153,7 @@ def memo_problem() -> Column:
 def check_memos(memos: DataFrame) -> DataFrame:
     """Memos with the confidence rounded to 2 places and an ``error`` column."""
     return memos.withColumn("error", memo_problem()).withColumn(
-        "confidence", F.round("confidence", 2)
+        "confidence", settle("confidence", 2)
     )
 
 

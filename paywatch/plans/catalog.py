@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paywatch.functions.keys import unique_by
+from paywatch.functions.numbers import settle
 from paywatch.operators import (
     alerts, attribution, community, detect, drift, features, forest, fusion, graph, investigate,
     metrics, model, quality,
@@ -45,7 +46,7 @@ def stamp(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, places) for c in columns})
+    return df.withColumns({c: settle(c, places) for c in columns})
 
 
 def joined(df: DataFrame, *columns: str) -> DataFrame:
@@ -616,6 +617,11 @@ def label_rate(spark, sf):
     return drift.label_rate(_alerts(spark, sf), unit="week")
 
 
+@query
+def alert_psi(spark, sf):
+    return drift.psi_by_period(_alerts(spark, sf), SPLIT, unit="week")
+
+
 @query
 def drift_verdict(spark, sf):
     psi = drift.psi_by_period(_alerts(spark, sf), SPLIT, unit="week")

@@ -4,6 +4,29 @@ from __future__ import annotations
 
 STAMP = "'%Y-%m-%d %H:%M:%S'"
 
+
+HALF_UP = "CAST(round(CAST({} AS DECIMAL(28, 10)), {}) AS DOUBLE)"
+
+
+def spelled_out(sql: str) -> str:
+    """Write out the short form half_up(x, n): half-up rounding of the decimal value.
+
+    Plain round() on doubles treats ties unevenly between engines.
+    """
+    at = sql.rfind("half_up(")
+    while at >= 0:
+        start = end = at + len("half_up(")
+        depth, comma = 1, 0
+        while depth:
+            depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(sql[end], 0)
+            if sql[end] == "," and depth == 1:
+                comma = end
+            end += 1
+        sql = sql[:at] + HALF_UP.format(sql[start:comma], sql[comma + 1:end - 1].strip()) + sql[end:]
+        at = sql.rfind("half_up(")
+    return sql
+
+
 TXN = r"""
 keyed AS (
   SELECT *, CAST(regexp_extract(props, '(\d+)', 1) AS INTEGER) AS k FROM events
@@ -264,9 +287,9 @@ A = with_(TXN, SCORED, PLAIN, _decided("plain"))
 
 VELOCITY = """txn_count_1h, txn_count_24h, txn_count_7d, amount_sum_1h, amount_sum_24h,
   unique_merchants_7d, unique_beneficiaries_7d, unique_devices_30d"""
-BEHAVIOR = """round(amount_vs_30d_avg, 6) AS amount_vs_30d_avg, round(amount_vs_30d_max, 6) AS amount_vs_30d_max,
-  round(days_since_last_txn, 6) AS days_since_last_txn, is_new_device, is_new_beneficiary"""
-MERCHANT_IP = """round(merchant_fraud_rate_hist, 6) AS merchant_fraud_rate_hist, mcc_code, mcc_risk_tier,
+BEHAVIOR = """half_up(amount_vs_30d_avg, 6) AS amount_vs_30d_avg, half_up(amount_vs_30d_max, 6) AS amount_vs_30d_max,
+  half_up(days_since_last_txn, 6) AS days_since_last_txn, is_new_device, is_new_beneficiary"""
+MERCHANT_IP = """half_up(merchant_fraud_rate_hist, 6) AS merchant_fraud_rate_hist, mcc_code, mcc_risk_tier,
   ip_is_vpn, ip_country"""
 FLAG_COLUMNS = "is_fan_out_source, is_fan_in_target, is_shared_device, structuring_flag, is_mule_chain_member"
 PROFILES = """
@@ -328,13 +351,53 @@ share AS (
   FROM grid LEFT JOIN n USING (feature, period, bin)
 ),
 psi AS (
-  SELECT a.feature, a.period, round(sum((a.s - e.s) * ln(a.s / e.s)), 4) AS psi
+  SELECT a.feature, a.period, half_up(sum((a.s - e.s) * ln(a.s / e.s)), 4) AS psi
   FROM share a JOIN share e ON a.feature = e.feature AND a.bin = e.bin AND e.period = 'reference'
   WHERE a.period <> 'reference' AND a.total >= 50 GROUP BY ALL
 )
 """
 
 
+def _alert_psi() -> str:
+    """Weekly PSI of scores and amount against the time before the cutoff, all within one table."""
+    return """
+drift_value AS (
+  SELECT 'txn_risk_score' AS feature, txn_risk_score AS x, ts FROM alerts
+  UNION ALL SELECT 'behavior_anomaly_score', behavior_anomaly_score, ts FROM alerts
+  UNION ALL SELECT 'final_risk_score', final_risk_score, ts FROM alerts
+  UNION ALL SELECT 'amount', amount, ts FROM alerts
+),
+drift_edge AS (
+  SELECT feature, CASE WHEN max(x) <= 1 AND min(x) >= 0 THEN [i * 0.1::DOUBLE for i in range(1, 10)]
+    ELSE quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) END AS es
+  FROM drift_value WHERE ts < TIMESTAMP '2024-01-21' GROUP BY feature
+),
+drift_bin AS (
+  SELECT feature, CASE WHEN ts < TIMESTAMP '2024-01-21' THEN 'reference'
+      ELSE strftime(date_trunc('week', ts), '%Y-%m-%d') END AS period, len(list_filter(es, lambda e: e <= x)) AS bin
+  FROM drift_value JOIN drift_edge USING (feature)
+),
+drift_count AS (SELECT feature, period, bin, count(*) AS n FROM drift_bin GROUP BY ALL),
+drift_grid AS (
+  SELECT feature, period, bin FROM (SELECT DISTINCT feature, period FROM drift_count), (SELECT unnest(range(0, 10)) AS bin)
+),
+drift_share AS (
+  SELECT feature, period, bin, (coalesce(n, 0) + 1) / (sum(coalesce(n, 0)) OVER (PARTITION BY feature, period) + 10) AS s,
+    sum(coalesce(n, 0)) OVER (PARTITION BY feature, period) AS total
+  FROM drift_grid LEFT JOIN drift_count USING (feature, period, bin)
+),
+weekly_psi AS (
+  SELECT a.feature, a.period, half_up(sum((a.s - e.s) * ln(a.s / e.s)), 4) AS psi
+  FROM drift_share a JOIN drift_share e ON a.feature = e.feature AND a.bin = e.bin AND e.period = 'reference'
+  WHERE a.period <> 'reference' AND a.total >= 50 GROUP BY ALL
+),
+drifted AS (SELECT feature FROM weekly_psi WHERE psi > 0.2::DOUBLE GROUP BY feature HAVING count(*) >= 2),
+precision_ends AS (
+  SELECT coalesce(count(*) >= 2 AND arg_max("precision", period) < arg_min("precision", period) * 0.9::DOUBLE, false) AS lost
+  FROM weekly_precision
+)"""
+
+
 WEEK = "strftime(date_trunc('week', ts), '%Y-%m-%d')"
 
 TOP_WEEK = f"""
@@ -343,11 +406,11 @@ best AS (
     row_number() OVER (PARTITION BY {WEEK} ORDER BY final_risk_score DESC, txn_id) AS place FROM alerts
 ),
 weekly_precision AS (
-  SELECT period, round(avg(CAST(is_fraud AS INTEGER)), 4) AS "precision" FROM best WHERE place <= 500
+  SELECT period, half_up(avg(CAST(is_fraud AS INTEGER)), 4) AS "precision" FROM best WHERE place <= 500
   GROUP BY period HAVING count(*) = 500
 ),
 weekly_rate AS (
-  SELECT {WEEK} AS period, round(avg(CAST(is_fraud AS INTEGER)), 4) AS fraud_rate FROM alerts GROUP BY 1
+  SELECT {WEEK} AS period, half_up(avg(CAST(is_fraud AS INTEGER)), 4) AS fraud_rate FROM alerts GROUP BY 1
 )"""
 
 AT = A.rstrip() + "," + TOP_WEEK + "\n"
@@ -445,7 +508,7 @@ rates AS (""" + _null_rates() + """),
 found AS (
   SELECT CASE WHEN column_name IN ('txn_id', 'account_id', 'amount', 'timestamp', 'is_fraud') THEN
       CASE WHEN null_rate > 0 THEN 'error' END
-    WHEN null_rate > 0.05::DOUBLE THEN 'warning' END AS severity, column_name, round(null_rate, 4) AS value
+    WHEN null_rate > 0.05::DOUBLE THEN 'warning' END AS severity, column_name, half_up(null_rate, 4) AS value
   FROM rates
 )"""
 
@@ -456,7 +519,7 @@ transfers AS (
   SELECT txn_id, account_id, beneficiary_id, ts_epoch, amount FROM txn WHERE beneficiary_id <> account_id
 )"""
 
-ORACLE: dict[str, str] = {
+_SQL: dict[str, str] = {
     "canonical_transactions": T + f"""SELECT txn_id, account_id, merchant_id, beneficiary_id, device_id, ip_id, amount,
   currency, txn_type, channel, strftime(ts, {STAMP}) AS timestamp, is_fraud, fraud_scenario, source, ts_epoch FROM txn""",
     "mobile_money_canonical": with_(TXN, RAW) + f"""SELECT 'TXN_PS_' || no AS txn_id, 'ACC_' || nameOrig AS account_id,
@@ -485,9 +548,9 @@ ORACLE: dict[str, str] = {
     "transaction_features": R + f"""SELECT txn_id, account_id, merchant_id, beneficiary_id, device_id, ip_id, amount,
   txn_type, channel, strftime(ts, {STAMP}) AS timestamp, is_fraud, fraud_scenario, source,
   {VELOCITY}, {BEHAVIOR}, {MERCHANT_IP} FROM rich""",
-    "account_profiles": F_.rstrip() + "," + PROFILES + """ SELECT account_id, total_txn_count, round(avg_amount, 6) AS avg_amount,
-  max_amount, round(std_amount, 6) AS std_amount, unique_merchants, unique_beneficiaries, unique_devices,
-  round(avg_txn_count_7d, 6) AS avg_txn_count_7d, round(avg_amount_sum_24h, 6) AS avg_amount_sum_24h, has_fraud
+    "account_profiles": F_.rstrip() + "," + PROFILES + """ SELECT account_id, total_txn_count, half_up(avg_amount, 6) AS avg_amount,
+  max_amount, half_up(std_amount, 6) AS std_amount, unique_merchants, unique_beneficiaries, unique_devices,
+  half_up(avg_txn_count_7d, 6) AS avg_txn_count_7d, half_up(avg_amount_sum_24h, 6) AS avg_amount_sum_24h, has_fraud
   FROM profiles""",
     "account_device_edges": T + f"""SELECT account_id, device_id, strftime(min(ts), {STAMP}) AS first_seen,
   strftime(max(ts), {STAMP}) AS last_seen, count(*) AS txn_count FROM txn GROUP BY ALL""",
@@ -510,10 +573,10 @@ ORACLE: dict[str, str] = {
     "structuring_buckets": T + """SELECT account_id, beneficiary_id, ts_epoch // 259200 AS bucket,
   count(*) AS near_threshold_txns FROM txn WHERE amount BETWEEN 500 AND 9999 AND beneficiary_id IS NOT NULL
   GROUP BY ALL HAVING near_threshold_txns >= 2""",
-    "account_label_rate": T + """SELECT account_id, round(avg(CAST(is_fraud AS INTEGER)), 6) AS account_fraud_rate
+    "account_label_rate": T + """SELECT account_id, half_up(avg(CAST(is_fraud AS INTEGER)), 6) AS account_fraud_rate
   FROM txn GROUP BY ALL""",
     "account_label_rate_before_cutoff": T + """SELECT account_id,
-  round(avg(CAST(is_fraud AS INTEGER)), 6) AS account_fraud_rate FROM txn WHERE ts < TIMESTAMP '2024-01-21' GROUP BY ALL""",
+  half_up(avg(CAST(is_fraud AS INTEGER)), 6) AS account_fraud_rate FROM txn WHERE ts < TIMESTAMP '2024-01-21' GROUP BY ALL""",
     "senders_and_receivers": T + """SELECT DISTINCT account_id FROM txn
   WHERE account_id IN (SELECT beneficiary_id FROM txn WHERE beneficiary_id IS NOT NULL)""",
     "topology_flags": L + f"SELECT txn_id, {FLAG_COLUMNS} FROM flags",
@@ -529,14 +592,14 @@ ORACLE: dict[str, str] = {
   WHERE head = account_a AND m.account_id = account_b)""",
     "components": with_(TXN, EDGES, PAIRS, REACH, recursive=True) + "SELECT * FROM component",
     "community_features": with_(TXN, EDGES, PAIRS, REACH, recursive=True) + """SELECT account_id, community_id,
-  community_size, round(community_fraud_rate, 6) AS community_fraud_rate FROM rated""",
+  community_size, half_up(community_fraud_rate, 6) AS community_fraud_rate FROM rated""",
     # Accounts that share a device here form cliques, where communities and components agree.
     "communities": with_(TXN, EDGES, PAIRS, REACH, recursive=True) + "SELECT account_id, community_id FROM placed",
     "community_summary": with_(TXN, EDGES, PAIRS, REACH, recursive=True) + """SELECT count(DISTINCT community_id) AS communities,
-  round(avg(community_size), 6) AS avg_community_size, round(avg(community_fraud_rate), 6) AS avg_community_fraud_rate
+  half_up(avg(community_size), 6) AS avg_community_size, half_up(avg(community_fraud_rate), 6) AS avg_community_fraud_rate
   FROM rated""",
-    "graph_features": C + """SELECT * REPLACE (round(community_fraud_rate, 6) AS community_fraud_rate,
-  round(graph_risk_score, 6) AS graph_risk_score) FROM graph_rated""",
+    "graph_features": C + """SELECT * REPLACE (half_up(community_fraud_rate, 6) AS community_fraud_rate,
+  half_up(graph_risk_score, 6) AS graph_risk_score) FROM graph_rated""",
     "detect_fan_out": T + """SELECT DISTINCT account_id, ts_epoch, beneficiaries FROM (
   SELECT account_id, ts_epoch, count(DISTINCT beneficiary_id) OVER (PARTITION BY account_id ORDER BY ts_epoch
     RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW) AS beneficiaries FROM txn WHERE beneficiary_id IS NOT NULL)
@@ -555,9 +618,9 @@ ORACLE: dict[str, str] = {
     WHERE amount BETWEEN 500 AND 9999 AND beneficiary_id IS NOT NULL
     WINDOW w AS (PARTITION BY account_id, beneficiary_id ORDER BY ts_epoch RANGE BETWEEN 259200 PRECEDING AND CURRENT ROW))
   WHERE near_threshold_txns >= 2""",
-    "detect_takeover_burst": F_ + """SELECT txn_id, account_id, amount, round(days_since_last_txn, 6) AS days_since_last_txn
+    "detect_takeover_burst": F_ + """SELECT txn_id, account_id, amount, half_up(days_since_last_txn, 6) AS days_since_last_txn
   FROM feat WHERE days_since_last_txn >= 0.5 AND is_new_device AND is_new_beneficiary AND amount >= 100""",
-    "detect_dormant_reactivation": F_ + """SELECT txn_id, account_id, round(days_since_last_txn, 6) AS days_since_last_txn,
+    "detect_dormant_reactivation": F_ + """SELECT txn_id, account_id, half_up(days_since_last_txn, 6) AS days_since_last_txn,
   'DORMANT_ACCOUNT_REACTIVATION' AS reason_code FROM feat WHERE days_since_last_txn >= 1""",
     "detect_high_graph_fanout": G + """SELECT account_id, account_degree, 'HIGH_GRAPH_FANOUT' AS reason_code FROM nodes
   WHERE account_degree > 35""",
@@ -566,7 +629,7 @@ ORACLE: dict[str, str] = {
     SELECT device_id, count(DISTINCT account_id) AS ring_size FROM txn GROUP BY device_id HAVING ring_size >= 4
   ) USING (device_id) GROUP BY ALL""",
     "forwarded_transfers": T.rstrip() + "," + TRANSFERS + """SELECT a.txn_id, a.account_id, a.beneficiary_id, a.ts_epoch, a.amount,
-  count(*) AS onward_txns, sum(b.amount) AS onward_amount, min(b.ts_epoch) - a.ts_epoch AS seconds_to_first
+  count(*) AS onward_txns, sum(b.amount) AS onward_amount, min(b.ts_epoch - a.ts_epoch) AS seconds_to_first
   FROM transfers a JOIN transfers b ON a.beneficiary_id = b.account_id
     AND b.ts_epoch > a.ts_epoch AND b.ts_epoch <= a.ts_epoch + 86400 GROUP BY ALL""",
     "money_chains": T.rstrip() + "," + TRANSFERS + """,
@@ -580,18 +643,18 @@ four AS (SELECT x.a AS txn_id, count(*) AS chains_4 FROM next x JOIN next y ON x
 SELECT txn_id, account_id, beneficiary_id, ts_epoch, amount, chains_2, coalesce(chains_3, 0) AS chains_3,
   coalesce(chains_4, 0) AS chains_4, CAST(CASE WHEN chains_4 > 0 THEN 4 WHEN chains_3 > 0 THEN 3 ELSE 2 END AS INTEGER) AS hops
 FROM transfers JOIN two USING (txn_id) LEFT JOIN three USING (txn_id) LEFT JOIN four USING (txn_id)""",
-    "null_rates": T + "SELECT column_name, round(null_rate, 6) AS null_rate FROM (" + _null_rates() + ")",
+    "null_rates": T + "SELECT column_name, half_up(null_rate, 6) AS null_rate FROM (" + _null_rates() + ")",
     "record_counts": T + """SELECT 'transactions' AS key, count(*) AS value FROM txn
   UNION ALL SELECT 'unique_accounts', count(DISTINCT account_id) FROM txn
   UNION ALL SELECT 'devices', count(DISTINCT device_id) FROM txn
   UNION ALL SELECT 'ips', count(DISTINCT ip_id) FROM txn""",
     "label_distribution": T + """SELECT source, count(*) FILTER (is_fraud) AS fraud_count, count(*) AS total_count,
-  round(count(*) FILTER (is_fraud) / count(*), 4) AS fraud_rate FROM txn GROUP BY source""",
+  half_up(count(*) FILTER (is_fraud) / count(*), 4) AS fraud_rate FROM txn GROUP BY source""",
     "scenario_counts": T + """SELECT fraud_scenario, count(*) AS fraud_count FROM txn
   WHERE is_fraud AND fraud_scenario IS NOT NULL GROUP BY 1""",
     "coverage": T + f"""SELECT strftime(min(ts), {STAMP}) AS min_timestamp, strftime(max(ts), {STAMP}) AS max_timestamp,
-  round(1 - avg(CAST(device_id IS NULL AS INTEGER)), 4) AS device_coverage,
-  round(1 - avg(CAST(ip_id IS NULL AS INTEGER)), 4) AS ip_coverage FROM txn""",
+  half_up(1 - avg(CAST(device_id IS NULL AS INTEGER)), 4) AS device_coverage,
+  half_up(1 - avg(CAST(ip_id IS NULL AS INTEGER)), 4) AS ip_coverage FROM txn""",
     "uniqueness": T + """SELECT count(*) AS row_count, count(DISTINCT txn_id) AS distinct_keys,
   count(*) = count(DISTINCT txn_id) AS is_unique FROM txn""",
     "duplicate_order_keys": "SELECT l_orderkey, count(*) AS copies FROM lineitem GROUP BY 1 HAVING copies > 1",
@@ -600,59 +663,59 @@ FROM transfers JOIN two USING (txn_id) LEFT JOIN three USING (txn_id) LEFT JOIN
   UNION ALL SELECT 'record_counts', 'unique_accounts', CAST(count(DISTINCT account_id) AS VARCHAR) FROM txn
   UNION ALL SELECT 'record_counts', 'devices', CAST(count(DISTINCT device_id) AS VARCHAR) FROM txn
   UNION ALL SELECT 'record_counts', 'ips', CAST(count(DISTINCT ip_id) AS VARCHAR) FROM txn
-  UNION ALL SELECT 'null_rates', column_name, CAST(round(null_rate, 4) AS VARCHAR) FROM rates
+  UNION ALL SELECT 'null_rates', column_name, CAST(half_up(null_rate, 4) AS VARCHAR) FROM rates
   UNION ALL SELECT 'fraud_count_by_source', source, CAST(count(*) FILTER (is_fraud) AS VARCHAR) FROM txn GROUP BY source
   UNION ALL SELECT 'total_count_by_source', source, CAST(count(*) AS VARCHAR) FROM txn GROUP BY source
-  UNION ALL SELECT 'fraud_rate_by_source', source, CAST(round(count(*) FILTER (is_fraud) / count(*), 4) AS VARCHAR)
+  UNION ALL SELECT 'fraud_rate_by_source', source, CAST(half_up(count(*) FILTER (is_fraud) / count(*), 4) AS VARCHAR)
     FROM txn GROUP BY source
   UNION ALL SELECT 'fraud_by_scenario', fraud_scenario, CAST(count(*) AS VARCHAR) FROM txn WHERE is_fraud GROUP BY fraud_scenario
   UNION ALL SELECT 'coverage', 'min', strftime(min(ts), {STAMP}) FROM txn
   UNION ALL SELECT 'coverage', 'max', strftime(max(ts), {STAMP}) FROM txn
-  UNION ALL SELECT 'coverage', 'device_assignment_coverage', CAST(round(avg(CAST(device_id IS NOT NULL AS INTEGER)), 4) AS VARCHAR) FROM txn
-  UNION ALL SELECT 'coverage', 'ip_assignment_coverage', CAST(round(avg(CAST(ip_id IS NOT NULL AS INTEGER)), 4) AS VARCHAR) FROM txn
+  UNION ALL SELECT 'coverage', 'device_assignment_coverage', CAST(half_up(avg(CAST(device_id IS NOT NULL AS INTEGER)), 4) AS VARCHAR) FROM txn
+  UNION ALL SELECT 'coverage', 'ip_assignment_coverage', CAST(half_up(avg(CAST(ip_id IS NOT NULL AS INTEGER)), 4) AS VARCHAR) FROM txn
   UNION ALL SELECT 'uniqueness', 'txn_id_unique', CAST(count(*) = count(DISTINCT txn_id) AS VARCHAR) FROM txn
   UNION ALL SELECT 'findings', column_name, severity FROM found WHERE severity IS NOT NULL""",
     "merged_signals": X + f"""SELECT txn_id, graph_risk_score, is_new_device, is_new_beneficiary,
-  round(amount_vs_30d_avg, 6) AS amount_vs_30d_avg, round(merchant_fraud_rate_hist, 6) AS merchant_fraud_rate_hist,
+  half_up(amount_vs_30d_avg, 6) AS amount_vs_30d_avg, half_up(merchant_fraud_rate_hist, 6) AS merchant_fraud_rate_hist,
   ip_is_vpn, {FLAG_COLUMNS} FROM signals""",
-    "fusion_decisions": D + """SELECT txn_id, round(final_risk_score, 6) AS final_risk_score, risk_band, action, reason_codes
+    "fusion_decisions": D + """SELECT txn_id, half_up(final_risk_score, 6) AS final_risk_score, risk_band, action, reason_codes
   FROM alerts""",
-    "fusion_full_rules": DF + """SELECT txn_id, round(final_risk_score, 6) AS final_risk_score, risk_band, action, reason_codes
+    "fusion_full_rules": DF + """SELECT txn_id, half_up(final_risk_score, 6) AS final_risk_score, risk_band, action, reason_codes
   FROM alerts""",
     "alert_table": D + f"""SELECT txn_id, account_id, strftime(ts, {STAMP}) AS timestamp, amount, is_fraud, fraud_scenario,
-  txn_risk_score, behavior_anomaly_score, graph_risk_score, round(final_risk_score, 6) AS final_risk_score, risk_band,
+  txn_risk_score, behavior_anomaly_score, graph_risk_score, half_up(final_risk_score, 6) AS final_risk_score, risk_band,
   action, reason_codes, 'ALT_' || lpad(CAST(row_number() OVER (ORDER BY ts, txn_id) - 1 AS VARCHAR), 8, '0') AS alert_id,
   strftime(ts, {STAMP}) AS triggered_at FROM alerts""",
-    "alert_queue": A + f"""SELECT alert_id, txn_id, strftime(ts, {STAMP}) AS timestamp, account_id, round(amount, 2) AS amount,
-  round(final_risk_score, 4) AS risk_score, risk_band, action, is_fraud FROM alerts WHERE action = 'BLOCK'
+    "alert_queue": A + f"""SELECT alert_id, txn_id, strftime(ts, {STAMP}) AS timestamp, account_id, half_up(amount, 2) AS amount,
+  half_up(final_risk_score, 4) AS risk_score, risk_band, action, is_fraud FROM alerts WHERE action = 'BLOCK'
   ORDER BY final_risk_score DESC, txn_id LIMIT 200""",
-    "alert_search": A + f"""SELECT alert_id, txn_id, strftime(ts, {STAMP}) AS timestamp, account_id, round(amount, 2) AS amount,
-  round(final_risk_score, 4) AS risk_score, risk_band, action, is_fraud FROM alerts
+    "alert_search": A + f"""SELECT alert_id, txn_id, strftime(ts, {STAMP}) AS timestamp, account_id, half_up(amount, 2) AS amount,
+  half_up(final_risk_score, 4) AS risk_score, risk_band, action, is_fraud FROM alerts
   WHERE contains(CAST(account_id AS VARCHAR), '1') ORDER BY final_risk_score DESC, txn_id LIMIT 500""",
     "selection_metrics": A + """SELECT count(*) AS total_alerts, count(*) FILTER (is_fraud) AS fraud_in_selection,
-  round(avg(final_risk_score), 6) AS avg_risk_score, round(avg(CAST(is_fraud AS INTEGER)), 6) AS "precision" FROM (
+  half_up(avg(final_risk_score), 6) AS avg_risk_score, half_up(avg(CAST(is_fraud AS INTEGER)), 6) AS "precision" FROM (
     SELECT * FROM alerts WHERE risk_band IN ('CRITICAL', 'HIGH', 'ELEVATED')
       AND action IN ('BLOCK', 'QUEUE_FOR_REVIEW', 'STEP_UP_AUTH') ORDER BY final_risk_score DESC, txn_id LIMIT 300)""",
     "action_distribution": A + """SELECT action, count(*) AS alert_count,
-  round(count(*) / sum(count(*)) OVER () * 100, 6) AS percent FROM alerts GROUP BY action""",
+  half_up(count(*) / sum(count(*)) OVER () * 100, 6) AS percent FROM alerts GROUP BY action""",
     "band_distribution": A + """SELECT risk_band, count(*) AS alert_count,
-  round(count(*) / sum(count(*)) OVER () * 100, 6) AS percent FROM alerts GROUP BY risk_band""",
+  half_up(count(*) / sum(count(*)) OVER () * 100, 6) AS percent FROM alerts GROUP BY risk_band""",
     "tier_precision": A + """SELECT action, count(*) AS alert_count, count(*) FILTER (is_fraud) AS fraud_count,
-  round(avg(CAST(is_fraud AS INTEGER)), 6) AS fraud_rate FROM alerts GROUP BY action""",
+  half_up(avg(CAST(is_fraud AS INTEGER)), 6) AS fraud_rate FROM alerts GROUP BY action""",
     "reason_frequency": A + """SELECT reason_code, count(*) AS alert_count FROM (
   SELECT unnest(string_split(reason_codes, '|')) AS reason_code FROM alerts WHERE reason_codes <> '')
   GROUP BY 1 ORDER BY alert_count DESC, reason_code LIMIT 10""",
-    "score_summary": A + """SELECT round(avg(final_risk_score), 6) AS mean, round(quantile_cont(final_risk_score, 0.5), 6) AS p50,
-  round(quantile_cont(final_risk_score, 0.95), 6) AS p95, round(quantile_cont(final_risk_score, 0.99), 6) AS p99,
-  round(max(final_risk_score), 6) AS max FROM alerts""",
+    "score_summary": A + """SELECT half_up(avg(final_risk_score), 6) AS mean, half_up(quantile_cont(final_risk_score, 0.5), 6) AS p50,
+  half_up(quantile_cont(final_risk_score, 0.95), 6) AS p95, half_up(quantile_cont(final_risk_score, 0.99), 6) AS p99,
+  half_up(max(final_risk_score), 6) AS max FROM alerts""",
     "overview": A + """SELECT count(*) AS transactions, count(*) FILTER (is_fraud) AS fraud_count,
-  round(avg(CAST(is_fraud AS INTEGER)), 6) AS fraud_rate, count(*) FILTER (action = 'ALLOW') AS allow,
+  half_up(avg(CAST(is_fraud AS INTEGER)), 6) AS fraud_rate, count(*) FILTER (action = 'ALLOW') AS allow,
   count(*) FILTER (action = 'ALLOW_WITH_MONITORING') AS allow_with_monitoring,
   count(*) FILTER (action = 'STEP_UP_AUTH') AS step_up_auth,
   count(*) FILTER (action = 'QUEUE_FOR_REVIEW') AS queue_for_review, count(*) FILTER (action = 'BLOCK') AS block
   FROM alerts""",
     "alert_volume": A + f"""SELECT {WEEK} AS period, count(*) AS total, count(*) FILTER (is_fraud) AS fraud_count,
-  round(avg(CAST(is_fraud AS INTEGER)), 6) AS fraud_rate FROM alerts GROUP BY 1""",
+  half_up(avg(CAST(is_fraud AS INTEGER)), 6) AS fraud_rate FROM alerts GROUP BY 1""",
     "action_by_period": A + f"""SELECT {WEEK} AS period, count(*) FILTER (action = 'ALLOW') AS ALLOW,
   count(*) FILTER (action = 'ALLOW_WITH_MONITORING') AS ALLOW_WITH_MONITORING,
   count(*) FILTER (action = 'STEP_UP_AUTH') AS STEP_UP_AUTH,
@@ -664,21 +727,21 @@ binned AS (
   SELECT least(CAST(floor((final_risk_score - lo) / (hi - lo) * 20.0::DOUBLE) AS INTEGER), 19) AS bin, count(*) AS n
   FROM alerts, span GROUP BY 1
 )
-SELECT CAST(b AS INTEGER) AS bin, round(lo + b * ((hi - lo) / 20), 6) AS lower, coalesce(n, 0) AS bin_count
+SELECT CAST(b AS INTEGER) AS bin, half_up(lo + b * ((hi - lo) / 20), 6) AS lower, coalesce(n, 0) AS bin_count
 FROM (SELECT unnest(range(0, 20)) AS b) CROSS JOIN span LEFT JOIN binned ON b = bin""",
-    "latest_alerts": A + f"""SELECT alert_id, round(final_risk_score, 6) AS final_risk_score, risk_band,
+    "latest_alerts": A + f"""SELECT alert_id, half_up(final_risk_score, 6) AS final_risk_score, risk_band,
   strftime(ts, {STAMP}) AS triggered_at FROM (SELECT * FROM alerts ORDER BY ts DESC, alert_id DESC LIMIT 500)
   WHERE risk_band = 'HIGH'""",
     "picked_alerts": A + """SELECT alert_id, txn_id, action FROM alerts WHERE action = 'BLOCK' ORDER BY alert_id LIMIT 3""",
     "split_summary": T + f"""SELECT CASE WHEN ts < TIMESTAMP '2024-01-21' THEN 'train' ELSE 'test' END AS split,
   count(*) AS row_count, count(*) FILTER (is_fraud) AS fraud_count,
-  round(avg(CAST(is_fraud AS INTEGER)), 6) AS fraud_rate, strftime(min(ts), {STAMP}) AS first_timestamp,
+  half_up(avg(CAST(is_fraud AS INTEGER)), 6) AS fraud_rate, strftime(min(ts), {STAMP}) AS first_timestamp,
   strftime(max(ts), {STAMP}) AS last_timestamp FROM txn GROUP BY 1""",
     "class_balance": T + """SELECT count(*) FILTER (is_fraud) AS positives, count(*) FILTER (NOT is_fraud) AS negatives,
-  round(count(*) FILTER (NOT is_fraud) / greatest(count(*) FILTER (is_fraud), 1), 6) AS positive_weight FROM txn""",
+  half_up(count(*) FILTER (NOT is_fraud) / greatest(count(*) FILTER (is_fraud), 1), 6) AS positive_weight FROM txn""",
     "prepared_features": with_(TXN, FEAT, DIMS, RICH, FLAGS, EDGES, NODES) + f"""SELECT txn_id, CAST(is_fraud AS INTEGER) AS is_fraud,
-  {VELOCITY}, round(amount_vs_30d_avg, 6) AS amount_vs_30d_avg, round(amount_vs_30d_max, 6) AS amount_vs_30d_max,
-  round(days_since_last_txn, 6) AS days_since_last_txn, round(merchant_fraud_rate_hist, 6) AS merchant_fraud_rate_hist,
+  {VELOCITY}, half_up(amount_vs_30d_avg, 6) AS amount_vs_30d_avg, half_up(amount_vs_30d_max, 6) AS amount_vs_30d_max,
+  half_up(days_since_last_txn, 6) AS days_since_last_txn, half_up(merchant_fraud_rate_hist, 6) AS merchant_fraud_rate_hist,
   account_degree, device_shared_account_count, beneficiary_in_degree, num_devices, num_beneficiaries,
   {", ".join(f"CAST(coalesce({c}, false) AS INTEGER) AS {c}" for c in
              ["is_new_device", "is_new_beneficiary", "ip_is_vpn", *FLAG_COLUMNS.split(", ")])},
@@ -692,8 +755,8 @@ level AS (
 run AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(neg) OVER (ORDER BY s DESC) AS fp FROM level),
 total AS (SELECT sum(pos) AS p, sum(neg) AS n FROM level)
 SELECT CAST(max(p) AS BIGINT) AS positives, CAST(max(n) AS BIGINT) AS negatives,
-  round(sum(pos * (tp / (tp + fp))) / max(p), 6) AS average_precision,
-  round(sum(pos * (n - fp + neg / 2.0)) / (max(p) * max(n)), 6) AS roc_auc FROM run, total""",
+  half_up(sum(pos * (tp / (tp + fp))) / max(p), 6) AS average_precision,
+  half_up(sum(pos * (n - fp + neg / 2.0)) / (max(p) * max(n)), 6) AS roc_auc FROM run, total""",
     "budget_metrics": S.rstrip() + """,
 test AS (SELECT * FROM scored WHERE ts >= TIMESTAMP '2024-01-21'),
 size AS (
@@ -702,10 +765,10 @@ size AS (
 cut AS (SELECT days, least(50 * days, n) AS budget, p FROM size),
 placed AS (SELECT is_fraud, row_number() OVER (ORDER BY txn_risk_score DESC, txn_id) AS place FROM test)
 SELECT days AS test_days, budget AS alert_budget, count(*) FILTER (is_fraud AND place <= budget) AS hits,
-  round(count(*) FILTER (is_fraud AND place <= budget) / budget, 6) AS precision_at_budget,
-  round(count(*) FILTER (is_fraud AND place <= budget) / greatest(p, 1), 6) AS recall_at_budget
+  half_up(count(*) FILTER (is_fraud AND place <= budget) / budget, 6) AS precision_at_budget,
+  half_up(count(*) FILTER (is_fraud AND place <= budget) / greatest(p, 1), 6) AS recall_at_budget
 FROM placed, cut GROUP BY days, budget, p""",
-    "score_separation": S + """SELECT is_fraud, round(avg(behavior_anomaly_score), 6) AS mean_score, count(*) AS row_count
+    "score_separation": S + """SELECT is_fraud, half_up(avg(behavior_anomaly_score), 6) AS mean_score, count(*) AS row_count
   FROM scored GROUP BY 1""",
     "psi_by_month": _psi() + "SELECT feature, period, psi FROM psi",
     "psi_heat_table": _psi() + """SELECT feature, max(psi) FILTER (period = '1998-10') AS "1998-10",
@@ -718,30 +781,36 @@ FROM placed, cut GROUP BY days, budget, p""",
 b AS (SELECT l_shipdate < TIMESTAMP '1998-01-01' AS ref, len(list_filter(es, lambda e: e <= l_extendedprice)) AS bin FROM lineitem, edges),
 n AS (SELECT bin, count(*) FILTER (ref) AS e, count(*) FILTER (NOT ref) AS a FROM b GROUP BY bin),
 s AS (SELECT (e + 1) / (sum(e) OVER () + 10) AS es, (a + 1) / (sum(a) OVER () + 10) AS sa FROM n)
-SELECT 'l_extendedprice' AS feature, round(sum((sa - es) * ln(sa / es)), 4) AS psi FROM s""",
+SELECT 'l_extendedprice' AS feature, half_up(sum((sa - es) * ln(sa / es)), 4) AS psi FROM s""",
     "top_precision": AT + 'SELECT period, "precision" FROM weekly_precision',
     "label_rate": AT + "SELECT period, fraud_rate FROM weekly_rate",
-    "monitoring_series": AT + """SELECT period, round("precision" * 100, 1) AS precision_pct,
-  round(fraud_rate * 100, 1) AS fraud_rate_pct FROM weekly_rate LEFT JOIN weekly_precision USING (period)""",
+    "drift_verdict": AT.rstrip() + "," + _alert_psi() + """
+SELECT (SELECT count(*) FROM drifted) AS drifted_features,
+  coalesce((SELECT string_agg(feature, '|' ORDER BY feature) FROM drifted), '') AS drift_features,
+  lost AS precision_degradation, (SELECT count(*) FROM drifted) >= 2 OR lost AS retraining_recommended
+FROM precision_ends""",
+    "alert_psi": AT.rstrip() + "," + _alert_psi() + " SELECT feature, period, psi FROM weekly_psi",
+    "monitoring_series": AT + """SELECT period, half_up("precision" * 100, 1) AS precision_pct,
+  half_up(fraud_rate * 100, 1) AS fraud_rate_pct FROM weekly_rate LEFT JOIN weekly_precision USING (period)""",
     "transaction_detail": with_(TXN, SCORED, PLAIN, _decided("plain"), FEAT) + f"""SELECT a.txn_id, a.account_id, a.amount,
   strftime(a.ts, {STAMP}) AS timestamp, txn_risk_score, behavior_anomaly_score,
-  round(final_risk_score, 6) AS final_risk_score, action, risk_band, reason_codes, a.is_fraud, a.fraud_scenario,
+  half_up(final_risk_score, 6) AS final_risk_score, action, risk_band, reason_codes, a.is_fraud, a.fraud_scenario,
   f.device_id, f.ip_id, f.merchant_id, f.beneficiary_id, f.channel, f.txn_type,
-  round(f.amount_vs_30d_avg, 6) AS amount_vs_30d_avg, f.is_new_device, f.is_new_beneficiary
+  half_up(f.amount_vs_30d_avg, 6) AS amount_vs_30d_avg, f.is_new_device, f.is_new_beneficiary
   FROM alerts a JOIN feat f USING (txn_id) WHERE action = 'BLOCK'""",
     "account_history": A.rstrip() + """,
 recent AS (SELECT * FROM alerts JOIN (SELECT account_id, max(ts) AS last FROM alerts GROUP BY 1) USING (account_id)
   WHERE ts >= last - INTERVAL 7 DAYS),
 acts AS (SELECT account_id, string_agg(action || '=' || n, '|' ORDER BY action || '=' || n) AS actions
   FROM (SELECT account_id, action, count(*) AS n FROM recent GROUP BY ALL) GROUP BY 1)
-SELECT account_id, CAST(7 AS INTEGER) AS window_days, count(*) AS total_transactions, round(sum(amount), 2) AS total_amount,
-  round(avg(amount), 2) AS avg_amount, round(max(amount), 2) AS max_amount, round(min(amount), 2) AS min_amount,
-  count(*) FILTER (is_fraud) AS fraud_count, round(avg(final_risk_score), 4) AS avg_risk_score,
-  round(max(final_risk_score), 4) AS max_risk_score, actions,
+SELECT account_id, CAST(7 AS INTEGER) AS window_days, count(*) AS total_transactions, half_up(sum(amount), 2) AS total_amount,
+  half_up(avg(amount), 2) AS avg_amount, half_up(max(amount), 2) AS max_amount, half_up(min(amount), 2) AS min_amount,
+  count(*) FILTER (is_fraud) AS fraud_count, half_up(avg(final_risk_score), 4) AS avg_risk_score,
+  half_up(max(final_risk_score), 4) AS max_risk_score, actions,
   strftime(last - INTERVAL 7 DAYS, '%Y-%m-%d') || ' to ' || strftime(last, '%Y-%m-%d') AS date_range
 FROM recent JOIN acts USING (account_id) GROUP BY account_id, actions, last""",
     "velocity_snapshot": F_ + f"""SELECT account_id, txn_id AS as_of_txn, txn_count_1h, txn_count_24h, txn_count_7d,
-  round(amount_sum_1h, 2) AS amount_sum_1h, round(amount_sum_24h, 2) AS amount_sum_24h, unique_merchants_7d,
+  half_up(amount_sum_1h, 2) AS amount_sum_1h, half_up(amount_sum_24h, 2) AS amount_sum_24h, unique_merchants_7d,
   unique_beneficiaries_7d, unique_devices_30d FROM feat
   QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY ts DESC, txn_id DESC) = 1""",
     "neighborhood": with_(TXN, LINKS) + "SELECT * FROM around",
@@ -762,11 +831,11 @@ FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE NOT (tt = 'ip' AND t
   CASE WHEN device_shared_account_count > 3 THEN device_shared_account_count END AS shared_with
   FROM patterns p LEFT JOIN nodes n ON n.account_id = CAST(p.account_id AS VARCHAR)""",
     "behavioral_baseline": F_.rstrip() + "," + PROFILES + """ SELECT account_id, total_txn_count, unique_merchants,
-  unique_beneficiaries, unique_devices, round(avg_amount, 2) AS avg_amount, round(max_amount, 2) AS max_amount,
-  round(std_amount, 2) AS std_amount, round(avg_txn_count_7d, 2) AS avg_txn_count_7d,
-  round(avg_amount_sum_24h, 2) AS avg_amount_sum_24h, has_fraud AS has_prior_fraud FROM profiles""",
+  unique_beneficiaries, unique_devices, half_up(avg_amount, 2) AS avg_amount, half_up(max_amount, 2) AS max_amount,
+  half_up(std_amount, 2) AS std_amount, half_up(avg_txn_count_7d, 2) AS avg_txn_count_7d,
+  half_up(avg_amount_sum_24h, 2) AS avg_amount_sum_24h, has_fraud AS has_prior_fraud FROM profiles""",
     "merchant_risk": with_(TXN, DIMS) + """SELECT merchant_id, name, category_code, country,
-  round(fraud_rate_hist, 4) AS fraud_rate_hist, CASE WHEN fraud_rate_hist > 0.04::DOUBLE THEN 'HIGH'
+  half_up(fraud_rate_hist, 4) AS fraud_rate_hist, CASE WHEN fraud_rate_hist > 0.04::DOUBLE THEN 'HIGH'
   WHEN fraud_rate_hist > 0.015::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END AS risk_tier
   FROM merchant WHERE merchant_id IN (SELECT merchant_id FROM txn)""",
     "watchlist_screen": """WITH entity AS (
@@ -783,14 +852,14 @@ hits AS (
 )
 SELECT entity_id, id IS NOT NULL AS hit, id AS matched_watchlist_id, name AS matched_name, reason, source
 FROM entity LEFT JOIN (SELECT * FROM hits WHERE n = 1) USING (entity_id)""",
-    "anomaly_summary": S + """SELECT account_id, round(arg_max(behavior_anomaly_score, (ts, txn_id)), 4) AS latest_anomaly_score,
-  round(avg(behavior_anomaly_score), 4) AS avg_anomaly_score, count(*) AS total_transactions_scored,
+    "anomaly_summary": S + """SELECT account_id, half_up(arg_max(behavior_anomaly_score, (ts, txn_id)), 4) AS latest_anomaly_score,
+  half_up(avg(behavior_anomaly_score), 4) AS avg_anomaly_score, count(*) AS total_transactions_scored,
   CASE WHEN avg(behavior_anomaly_score) > 0.6 THEN 'HIGHLY_ANOMALOUS' WHEN avg(behavior_anomaly_score) > 0.3
   THEN 'MODERATELY_ANOMALOUS' ELSE 'NORMAL' END AS interpretation FROM scored GROUP BY account_id""",
-    "memo_validation": M + """SELECT case_id, recommended_action, priority, round(confidence, 2) AS confidence, error FROM checked""",
+    "memo_validation": M + """SELECT case_id, recommended_action, priority, half_up(confidence, 2) AS confidence, error FROM checked""",
     "similar_cases": M.rstrip() + f""",
 library AS (
-  SELECT round(confidence, 2) AS s, reason_codes AS codes, list(case_id ORDER BY case_id)[1:3] AS ids
+  SELECT half_up(confidence, 2) AS s, reason_codes AS codes, list(case_id ORDER BY case_id)[1:3] AS ids
   FROM checked WHERE error IS NULL GROUP BY ALL
 ),
 asked AS (SELECT txn_id AS query_id, txn_risk_score AS q, reason_codes AS codes FROM alerts WHERE action <> 'ALLOW'),
@@ -805,18 +874,18 @@ best AS (
   SELECT query_id, case_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, case_id) AS rank
   FROM rated_pairs
 )
-SELECT query_id, case_id, round(sim, 4) AS similarity, CAST(rank AS INTEGER) AS rank FROM best WHERE rank <= 3""",
-    "case_detail": M + """SELECT case_id, alert_id, recommended_action, round(txn_risk_score, 4) AS txn_risk_score,
-  round(behavior_anomaly_score, 4) AS behavior_anomaly_score, round(graph_risk_score, 4) AS graph_risk_score,
-  round(final_risk_score, 4) AS final_risk_score, round(amount, 2) AS amount FROM memos""",
+SELECT query_id, case_id, half_up(sim, 4) AS similarity, CAST(rank AS INTEGER) AS rank FROM best WHERE rank <= 3""",
+    "case_detail": M + """SELECT case_id, alert_id, recommended_action, half_up(txn_risk_score, 4) AS txn_risk_score,
+  half_up(behavior_anomaly_score, 4) AS behavior_anomaly_score, half_up(graph_risk_score, 4) AS graph_risk_score,
+  half_up(final_risk_score, 4) AS final_risk_score, half_up(amount, 2) AS amount FROM memos""",
     "case_entities": M + """SELECT case_id, 'Account' AS entity_type, CAST(account_id AS VARCHAR) AS entity_id FROM memos
   UNION ALL SELECT case_id, 'Device', CAST(device_id AS VARCHAR) FROM memos
   UNION ALL SELECT case_id, 'Merchant', CAST(merchant_id AS VARCHAR) FROM memos WHERE merchant_id IS NOT NULL
   UNION ALL SELECT case_id, 'Beneficiary', CAST(beneficiary_id AS VARCHAR) FROM memos WHERE beneficiary_id IS NOT NULL""",
     "case_list": M + "SELECT case_id FROM memos",
     "account_card": with_(TXN, EDGES, NODES, PAIRS, REACH, GRAPH, LINKS, FLAGS, PATTERNS, recursive=True) + """SELECT a.account_id,
-  'Cluster_' || community_id AS community, account_degree, round(graph_risk_score, 6) AS graph_risk_score,
-  round(community_fraud_rate, 6) AS community_fraud_rate, connected_devices, shared_device_accounts, total_neighbors,
+  'Cluster_' || community_id AS community, account_degree, half_up(graph_risk_score, 6) AS graph_risk_score,
+  half_up(community_fraud_rate, 6) AS community_fraud_rate, connected_devices, shared_device_accounts, total_neighbors,
   patterns_detected, confidence FROM around a LEFT JOIN graph_rated g ON a.account_id = g.account_id
   LEFT JOIN patterns p ON a.account_id = CAST(p.account_id AS VARCHAR)""",
     "top_risky": with_(TXN, SCORED, FEAT) + """, s AS (
@@ -824,8 +893,8 @@ SELECT query_id, case_id, round(sim, 4) AS similarity, CAST(rank AS INTEGER) AS
     + 0.25::DOUBLE * graph_risk_score) AS f
   FROM feat JOIN (SELECT txn_id, txn_risk_score, behavior_anomaly_score, graph_risk_score FROM scored) USING (txn_id)
 )
-SELECT txn_id, account_id, amount, txn_count_24h, amount_sum_24h, round(amount_vs_30d_avg, 6) AS amount_vs_30d_avg,
-  round(f, 6) AS final_risk_score,
+SELECT txn_id, account_id, amount, txn_count_24h, amount_sum_24h, half_up(amount_vs_30d_avg, 6) AS amount_vs_30d_avg,
+  half_up(f, 6) AS final_risk_score,
   CASE WHEN f >= 0.85::DOUBLE THEN 'CRITICAL' WHEN f >= 0.70::DOUBLE THEN 'HIGH' WHEN f >= 0.55::DOUBLE THEN 'ELEVATED'
     WHEN f >= 0.35::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END AS risk_band,
   CASE WHEN f >= 0.85::DOUBLE THEN 'BLOCK' WHEN f >= 0.70::DOUBLE THEN 'QUEUE_FOR_REVIEW'
@@ -833,12 +902,16 @@ SELECT txn_id, account_id, amount, txn_count_24h, amount_sum_24h, round(amount_v
 FROM s ORDER BY f DESC, txn_id LIMIT 100""",
     "streaming_velocity": F_ + """SELECT txn_id, account_id, txn_count_1h, txn_count_24h, txn_count_7d, amount_sum_1h,
   amount_sum_24h FROM feat""",
+    # Append mode holds back windows that end after the watermark (newest event less an hour).
+    "streaming_volume": T + f"""SELECT strftime(w, {STAMP}) AS window_start, channel, count(*) AS event_count
+  FROM (SELECT date_trunc('hour', ts) AS w, channel FROM txn)
+  WHERE w + INTERVAL 2 HOURS <= (SELECT max(ts) FROM txn) GROUP BY ALL""",
     "streaming_alerts": S.rstrip() + f""",
 f AS (SELECT *, least(1.0::DOUBLE, 0.50::DOUBLE * txn_risk_score + 0.25::DOUBLE * behavior_anomaly_score
   + 0.25::DOUBLE * graph_risk_score) AS s FROM scored)
 SELECT 'ALT_RT_' || txn_id AS alert_id, txn_id, account_id, amount, strftime(ts, {STAMP}) AS timestamp,
-  round(txn_risk_score, 4) AS txn_risk_score, round(behavior_anomaly_score, 4) AS behavior_anomaly_score,
-  round(s, 4) AS final_risk_score,
+  half_up(txn_risk_score, 4) AS txn_risk_score, half_up(behavior_anomaly_score, 4) AS behavior_anomaly_score,
+  half_up(s, 4) AS final_risk_score,
   CASE WHEN s >= 0.85::DOUBLE THEN 'CRITICAL' WHEN s >= 0.70::DOUBLE THEN 'HIGH' WHEN s >= 0.55::DOUBLE THEN 'ELEVATED'
     WHEN s >= 0.35::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END AS risk_band,
   CASE WHEN s >= 0.85::DOUBLE THEN 'BLOCK' WHEN s >= 0.70::DOUBLE THEN 'QUEUE_FOR_REVIEW'
@@ -847,3 +920,5 @@ SELECT 'ALT_RT_' || txn_id AS alert_id, txn_id, account_id, amount, strftime(ts,
     CASE WHEN amount > 9000 THEN 'STRUCTURING_PATTERN' END) AS reason_codes,
   strftime(ts, {STAMP}) AS triggered_at FROM f""",
 }
+
+ORACLE: dict[str, str] = {name: spelled_out(sql) for name, sql in _SQL.items()}

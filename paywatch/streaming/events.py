@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from paywatch.functions.numbers import settle
 from paywatch.operators import alerts as alert_views
 from paywatch.operators import forest, fusion, model
 from paywatch.runtime import scratch_path
@@ -76,9 +77,9 @@ def decide_events(scored: DataFrame) -> DataFrame:
     return fused.select(
         F.concat(F.lit("ALT_RT_"), F.col("txn_id").cast("string")).alias("alert_id"),
         "txn_id", "account_id", "amount", "timestamp",
-        F.round("txn_risk_score", 4).alias("txn_risk_score"),
-        F.round("behavior_anomaly_score", 4).alias("behavior_anomaly_score"),
-        F.round("final_risk_score", 4).alias("final_risk_score"),
+        settle("txn_risk_score", 4).alias("txn_risk_score"),
+        settle("behavior_anomaly_score", 4).alias("behavior_anomaly_score"),
+        settle("final_risk_score", 4).alias("final_risk_score"),
         fusion.risk_band("final_risk_score").alias("risk_band"),
         fusion.action("final_risk_score").alias("action"),
         realtime_reasons().alias("reason_codes"),
