@@ -34,3 +34,17 @@ def top_k(
     )
     best = cut.withColumn(name, F.row_number().over(in_group)).filter(F.col(name) <= k)
     return best if rank else best.drop(name)
+
+
+def top_n(
+    df: DataFrame, order: Sequence[Column], n: int, spread_by: Sequence[str], spread: int = 64
+) -> DataFrame:
+    """First ``n`` rows of the whole table.
+
+    A plain ordered limit sends ``n`` rows of every partition to one task; here shares of
+    the table are cut to ``n`` rows first.
+    """
+    share = F.pmod(F.xxhash64(*spread_by), F.lit(spread))
+    in_share = Window.partitionBy("_share").orderBy(*order)
+    cut = df.withColumn("_share", share).withColumn("_rank", F.row_number().over(in_share))
+    return cut.filter(F.col("_rank") <= n).drop("_share", "_rank").orderBy(*order).limit(n)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paywatch.functions.numbers import settle
 from paywatch.functions.quantiles import exact_quantiles
+from paywatch.functions.topk import top_n
 from paywatch.schemas import ACTIONS
 
 
@@ -43,7 +44,7 @@ def queue(
     """Top alerts by final score among those that pass the filters."""
     if not 1 <= limit <= 500:
         raise ValueError("limit must be between 1 and 500")
-    top = filtered(alerts, risk_band, action, search).orderBy(*by_score()).limit(limit)
+    top = top_n(filtered(alerts, risk_band, action, search), by_score(), limit, ["txn_id"])
     return top.select(
         "alert_id", "txn_id", "timestamp", "account_id",
         settle("amount", 2).alias("amount"),
@@ -56,7 +57,7 @@ def selection(
     alerts: DataFrame, bands: Sequence[str], actions: Sequence[str], n: int = 100
 ) -> DataFrame:
     chosen = alerts.filter(F.col("risk_band").isin(*bands) & F.col("action").isin(*actions))
-    return chosen.orderBy(*by_score()).limit(n)
+    return top_n(chosen, by_score(), n, ["txn_id"])
 
 
 def selection_metrics(
@@ -83,14 +84,15 @@ def pick_for_investigation(alerts: DataFrame, n: int = 3) -> DataFrame:
         F.when(blocked, F.col("alert_id")).asc_nulls_last(),
         *by_score(),
     ]
-    top = alerts.orderBy(*order).limit(n)
+    top = top_n(alerts, order, n, ["txn_id"])
     any_blocked = F.max(blocked.cast("int")).over(Window.partitionBy(F.lit(0))) == 1
     return top.withColumn("_any", any_blocked).filter(~F.col("_any") | blocked).drop("_any")
 
 
 def latest(alerts: DataFrame, limit: int = 50, risk_band: str | None = None) -> DataFrame:
     """The last ``limit`` alerts, and of those the wanted band (in that order)."""
-    newest = alerts.orderBy(F.col("triggered_at").desc(), F.col("alert_id").desc()).limit(limit)
+    order = [F.col("triggered_at").desc(), F.col("alert_id").desc()]
+    newest = top_n(alerts, order, limit, ["alert_id"])
     return filtered(newest, risk_band)
 
 

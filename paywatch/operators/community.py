@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paywatch.functions.keys import spread_join
 from paywatch.operators.graph import account_label_rate
 from paywatch.runtime import durable
 
@@ -24,7 +25,8 @@ def incidence(edge_table: DataFrame) -> DataFrame:
         F.col("src").alias("account_id"), F.col("dst").alias("device_id")
     )
     sizes = uses.groupBy("device_id").agg(F.count(F.lit(1)).alias("accounts")).filter("accounts > 1")
-    return uses.join(sizes, "device_id").select("account_id", "device_id", "accounts")
+    joined = spread_join(uses, sizes, ["device_id"], ["account_id"], "inner")
+    return joined.select("account_id", "device_id", "accounts")
 
 
 def projected_degree(shared: DataFrame) -> DataFrame:
@@ -45,7 +47,7 @@ def projected_links(shared: DataFrame) -> DataFrame:
     """
     lead = shared.groupBy("device_id").agg(F.min("account_id").alias("account_a"))
     links = (
-        shared.join(lead, "device_id")
+        spread_join(shared, lead, ["device_id"], ["account_id"], "inner")
         .filter(F.col("account_id") != F.col("account_a"))
         .select("account_a", F.col("account_id").alias("account_b"))
         .distinct()
@@ -54,13 +56,33 @@ def projected_links(shared: DataFrame) -> DataFrame:
 
 
 def pair_weights(pairs: DataFrame, shared: DataFrame) -> DataFrame:
-    """Number of shared devices for the account pairs asked for."""
-    of_b = shared.select(F.col("account_id").alias("account_b"), "device_id")
-    of_a = shared.select(F.col("account_id").alias("account_a"), "device_id")
+    """Number of shared devices for the account pairs asked for.
+
+    Of each pair only the account with fewer devices is expanded, and its devices are
+    looked up for the other one, so an account on very many devices costs no more.
+    """
+    degree = shared.groupBy("account_id").agg(F.count(F.lit(1)).alias("_n"))
+
+    def degree_of(side: str) -> DataFrame:
+        return degree.select(F.col("account_id").alias(side), F.col("_n").alias(f"_{side}"))
+
+    asked = pairs.select("account_a", "account_b")
+    n = asked.count()
+    sized = (
+        spread_join(asked, degree_of("account_a"), ["account_a"], ["account_b"], "inner", asked, n)
+        .transform(spread_join, degree_of("account_b"), ["account_b"], ["account_a"], "inner", asked, n)
+    )
+    a_is_lighter = F.col("_account_a") <= F.col("_account_b")
+    sided = sized.select(
+        "account_a", "account_b",
+        F.when(a_is_lighter, F.col("account_a")).otherwise(F.col("account_b")).alias("_light"),
+        F.when(a_is_lighter, F.col("account_b")).otherwise(F.col("account_a")).alias("_heavy"),
+    )
+    light = shared.select(F.col("account_id").alias("_light"), "device_id")
+    heavy = shared.select(F.col("account_id").alias("_heavy"), "device_id")
     return (
-        pairs.select("account_a", "account_b")
-        .join(of_b, "account_b")
-        .join(of_a, ["account_a", "device_id"])
+        sided.join(light, "_light")
+        .join(heavy, ["_heavy", "device_id"])
         .groupBy("account_a", "account_b")
         .agg(F.count(F.lit(1)).alias("weight"))
     )
@@ -78,7 +100,8 @@ def components(shared: DataFrame, max_rounds: int = 50) -> DataFrame:
     )
     current = durable(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):
-        current = durable(_small_star(_large_star(current)))
+        current = durable(_large_star(current))
+        current = durable(_small_star(current))
         # Settled when the links form stars: one link per vertex, and no centre points on.
         chained = current.join(current.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
         doubled = current.groupBy("u").count().filter("count > 1")
@@ -100,12 +123,12 @@ def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("_v")).select("u", F.least("u", "_v").alias("m"))
     larger = both.filter(F.col("v") > F.col("u"))
-    return larger.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return spread_join(larger, least, ["u"], ["v"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     least = links.groupBy("u").agg(F.min("v").alias("m"))
-    joined = links.join(least, "u")
+    joined = spread_join(links, least, ["u"], ["v"], "inner")
     handed = F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))
     out = joined.select(F.explode(handed).alias("_l")).select(
         F.col("_l.v").alias("u"), F.col("_l.m").alias("v")
@@ -125,70 +148,74 @@ def communities(
     swap; then communities become the nodes of the next level.
     """
     everyone = accounts.select("account_id").distinct()
-    if shared.isEmpty():
-        return everyone.withColumn("community_id", F.lit(UNDIVIDED))
-
     member = durable(
         shared.select(
-            F.col("account_id").alias("node"), "device_id", F.lit(1).cast("bigint").alias("m")
+            F.col("account_id").alias("node"), "device_id", F.lit(1).cast("bigint").alias("m"), "accounts"
         )
     )
-    sizes = member.groupBy("device_id").agg(F.sum("m").alias("n"))
-    twice_weight = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0]
-    degree = (
-        member.join(sizes, "device_id").groupBy("node").agg(F.sum(F.col("n") - 1).alias("k"))
-    )
-    assigned = durable(degree.select(F.col("node").alias("account_id"), F.col("node").alias("community_id")))
-    nodes = durable(degree)
+    size = member.count()
+    if size == 0:
+        return everyone.withColumn("community_id", F.lit(UNDIVIDED))
+
+    # A device with n accounts stands for n(n-1) ordered pairs: n-1 for each of them.
+    nodes = durable(member.groupBy("node").agg(F.sum(F.col("accounts") - 1).alias("k")))
+    twice_weight = float(nodes.agg(F.sum("k")).first()[0])
+    member = member.drop("accounts")
+    assigned = nodes.select(F.col("node").alias("account_id"), F.col("node").alias("community_id"))
     for level in range(levels):
         if member.groupBy("device_id").count().filter("count > 1").isEmpty():
             break
-        labels = _local_moving(member, nodes, float(twice_weight), rounds, level)
+        labels = _local_moving(member, size, nodes, twice_weight, rounds, level)
         if labels is None:
             break
         assigned = durable(
-            assigned.join(labels, assigned["community_id"] == labels["node"]).select("account_id", "c")
-            .withColumnRenamed("c", "community_id")
+            spread_join(
+                assigned, labels.withColumnRenamed("node", "community_id"), ["community_id"], ["account_id"],
+                "inner", rows=size,
+            ).select("account_id", F.col("c").alias("community_id"))
         )
         member = durable(
-            member.join(labels, "node").groupBy(F.col("c").alias("node"), "device_id").agg(F.sum("m").alias("m"))
+            _placed(member, size, labels).groupBy(F.col("c").alias("node"), "device_id").agg(F.sum("m").alias("m"))
         )
         nodes = durable(nodes.join(labels, "node").groupBy(F.col("c").alias("node")).agg(F.sum("k").alias("k")))
     named = assigned.groupBy("community_id").agg(F.min("account_id").alias("_name"))
-    inside = assigned.join(named, "community_id").select("account_id", F.col("_name").alias("community_id"))
+    inside = spread_join(assigned, named, ["community_id"], ["account_id"], "inner", rows=size).select(
+        "account_id", F.col("_name").alias("community_id")
+    )
     alone = everyone.join(inside, "account_id", "left_anti").withColumn("community_id", F.col("account_id"))
     return inside.unionByName(alone)
 
 
+def _placed(member: DataFrame, size: int, labels: DataFrame) -> DataFrame:
+    """Device memberships with the community of their node."""
+    return spread_join(member, labels.select("node", "c"), ["node"], ["device_id"], "inner", rows=size)
+
+
 def _local_moving(
-    member: DataFrame, nodes: DataFrame, twice_weight: float, rounds: int, level: int
+    member: DataFrame, size: int, nodes: DataFrame, twice_weight: float, rounds: int, level: int
 ) -> DataFrame | None:
-    """Labels (node, c) after moving, or None when no node wants to move."""
+    """Labels (node, c) of the best state met while moving, or None when none beats staying."""
     labels = nodes.select("node", F.col("node").alias("c"))
-    best, best_quality = None, None
+    on_device = member.select("device_id", F.col("node").alias("c"), F.col("m").alias("on_device"))
+    best, best_quality = None, _modularity(on_device, nodes, labels, twice_weight)
     for turn in range(rounds):
-        moves = durable(_moves(member, nodes, labels, twice_weight, level * 1000 + turn))
-        labels = moves.select("node", "c")
+        moves = durable(_moves(member, size, on_device, nodes, labels, twice_weight, level * 1000 + turn))
         told = moves.agg(F.count_if("wants").alias("wants"), F.count_if("moved").alias("moved")).first()
-        if best is None:
-            best_quality = _modularity(member, nodes, nodes.select("node", F.col("node").alias("c")), twice_weight)
-        if told["moved"]:
-            quality = _modularity(member, nodes, labels, twice_weight)
-            if quality > best_quality:
-                best, best_quality = labels, quality
-        if told["wants"] == told["moved"] == 0:
+        if told["wants"] == 0:
             break
+        labels = moves.select("node", "c")
+        on_device = durable(
+            _placed(member, size, labels).groupBy("device_id", "c").agg(F.sum("m").alias("on_device"))
+        )
+        quality = _modularity(on_device, nodes, labels, twice_weight)
+        if quality > best_quality:
+            best, best_quality = labels, quality
     return best
 
 
-def _counts(member: DataFrame, labels: DataFrame) -> DataFrame:
-    """Accounts per (device, community)."""
-    return member.join(labels, "node").groupBy("device_id", "c").agg(F.sum("m").alias("on_device"))
-
-
-def _modularity(member: DataFrame, nodes: DataFrame, labels: DataFrame, twice_weight: float) -> float:
+def _modularity(on_device: DataFrame, nodes: DataFrame, labels: DataFrame, twice_weight: float) -> float:
     """Share of the link weight inside communities, less the share expected by degree."""
-    inside = _counts(member, labels).select(
+    inside = on_device.select(
         (F.col("on_device") * (F.col("on_device") - 1) / F.lit(twice_weight)).alias("q")
     )
     totals = nodes.join(labels, "node").groupBy("c").agg(F.sum("k").alias("k"))
@@ -197,16 +224,18 @@ def _modularity(member: DataFrame, nodes: DataFrame, labels: DataFrame, twice_we
 
 
 def _moves(
-    member: DataFrame, nodes: DataFrame, labels: DataFrame, twice_weight: float, seed: int
+    member: DataFrame, size: int, on_device: DataFrame, nodes: DataFrame, labels: DataFrame,
+    twice_weight: float, seed: int,
 ) -> DataFrame:
-    on_device = _counts(member, labels)
     # The community with the most accounts on each device is what the device proposes.
     leading = on_device.groupBy("device_id").agg(
         F.max_by(F.struct("c", "on_device"), F.struct("on_device", "c")).alias("lead")
     )
     proposed = (
-        member.join(leading, "device_id")
-        .join(labels.withColumnRenamed("c", "own"), "node")
+        spread_join(member, leading, ["device_id"], ["node"], "inner", member, size)
+        .transform(
+            spread_join, labels.select("node", F.col("c").alias("own")), ["node"], ["device_id"], "inner", member, size
+        )
         .filter(F.col("lead.c") != F.col("own"))
         .groupBy("node", F.col("lead.c").alias("c"))
         .agg(F.sum(F.col("m") * F.col("lead.on_device")).alias("pull"))
@@ -214,36 +243,41 @@ def _moves(
         .agg(F.max_by("c", F.struct("pull", "c")).alias("target"))
     )
     totals = nodes.join(labels, "node").groupBy("c").agg(F.sum("k").alias("total"))
-    choice = (
+    choice = durable(
         labels.withColumnRenamed("c", "own").join(nodes, "node").join(proposed, "node")
     )
 
-    def linked(side: str) -> DataFrame:
-        """Exact link weight from each node to its own or target community."""
-        return (
-            member.join(choice.select("node", F.col(side).alias("c")), "node")
-            .join(on_device, ["device_id", "c"])
-            .groupBy("node")
-            .agg(
-                F.sum(F.col("m") * F.col("on_device")).alias(f"w_{side}"),
-                F.sum(F.col("m") * F.col("m")).alias("self"),
-            )
-        )
+    # Exact link weights to the own and the target community, both in one pass: a choice is
+    # looked up per membership, then the two communities are counted on that device.
+    asked = spread_join(member, choice.select("node", "own", "target"), ["node"], ["device_id"], "inner", member, size)
+    sides = asked.select(
+        "node", "device_id", "m", F.explode(F.array(
+            F.struct(F.col("own").alias("c"), F.lit(False).alias("is_target")),
+            F.struct(F.col("target").alias("c"), F.lit(True).alias("is_target")),
+        )).alias("_s"),
+    ).select("node", "device_id", "m", "_s.*")
+    counted = spread_join(sides, on_device, ["device_id", "c"], ["node"], "inner", rows=2 * size)
+    weights = counted.groupBy("node").agg(
+        F.coalesce(F.sum(F.when(F.col("is_target"), F.col("m") * F.col("on_device"))), F.lit(0)).alias("w_target"),
+        # The node itself is part of its own community's count.
+        F.sum(F.when(~F.col("is_target"), F.col("m") * (F.col("on_device") - F.col("m")))).alias("w_own"),
+    )
 
     def total_of(side: str) -> DataFrame:
         return totals.select(F.col("c").alias(side), F.col("total").alias(f"t_{side}"))
 
     rated = (
-        choice.join(linked("own").withColumn("w_own", F.col("w_own") - F.col("self")).drop("self"), "node")
-        .join(linked("target").drop("self"), "node")
-        .join(total_of("own"), "own")
-        .join(total_of("target"), "target")
+        choice.join(weights, "node")
+        .transform(spread_join, total_of("own"), ["own"], ["node"], "inner", choice, size)
+        .transform(spread_join, total_of("target"), ["target"], ["node"], "inner", choice, size)
     )
     gain = (F.col("w_target") - F.col("w_own")) - F.col("k") * (
         F.col("t_target") - (F.col("t_own") - F.col("k"))
     ) / F.lit(twice_weight)
     active = F.pmod(F.xxhash64("node", F.lit(seed // 2)) + F.lit(seed % 2), F.lit(2)) == 0
-    eager = rated.filter(gain > 1e-9).select("node", F.when(active, F.col("target")).alias("_to"), F.lit(True).alias("wants"))
+    eager = rated.filter(gain > 1e-9).select(
+        "node", F.when(active, F.col("target")).alias("_to"), F.lit(True).alias("wants")
+    )
     return labels.join(eager, "node", "left").select(
         "node", F.coalesce("_to", "c").alias("c"),
         F.coalesce("wants", F.lit(False)).alias("wants"), F.col("_to").isNotNull().alias("moved"),
@@ -264,7 +298,7 @@ def community_features(assigned: DataFrame, txn: DataFrame, label_cutoff=None) -
         F.avg("account_fraud_rate").alias("_rate"),
     )
     rate = F.when(F.col("community_id") == UNDIVIDED, F.lit(0.0)).otherwise(F.col("_rate"))
-    return assigned.join(totals, "community_id").select(
+    return spread_join(assigned, totals, ["community_id"], ["account_id"], "inner", assigned).select(
         "account_id", "community_id", "community_size", rate.alias("community_fraud_rate")
     )
 

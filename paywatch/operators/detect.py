@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paywatch.functions import timeline
+from paywatch.functions.keys import spread_join
 from paywatch.functions.timeline import MONEY
 from paywatch.runtime import settled
 from paywatch.schemas import DAY, HOUR
@@ -97,7 +98,7 @@ def shared_device_ring(txn: DataFrame, minimum: int = 4) -> DataFrame:
     rings = used.groupBy("device_id").agg(F.count(F.lit(1)).alias("ring_size")).filter(
         F.col("ring_size") >= minimum
     )
-    return used.join(rings, "device_id").select(
+    return spread_join(used, rings, ["device_id"], ["account_id"], "inner").select(
         "device_id", "ring_size", "account_id", "txn_count", "first_seen", "last_seen"
     )
 
@@ -128,7 +129,7 @@ def forwarded(txn: DataFrame, within: int = DAY) -> DataFrame:
     first = timeline.next_second(sent, received, key, "ts_epoch")
     known = onward.join(first, [*key, "ts_epoch"]).withColumnRenamed("account_id", "beneficiary_id")
     return (
-        moves.join(known, ["beneficiary_id", "ts_epoch"])
+        spread_join(moves, known, ["beneficiary_id", "ts_epoch"], ["txn_id"], "inner")
         .filter(F.col("onward_txns") > 0)
         .select(
             "txn_id", "account_id", "beneficiary_id", "ts_epoch", "amount", "onward_txns",
@@ -157,7 +158,8 @@ def money_chains(txn: DataFrame, max_hops: int = 4, within: int = DAY) -> DataFr
         onward = timeline.sweep([points], received, ["account_id"], "ts_epoch").select(
             F.col("account_id").alias("beneficiary_id"), "ts_epoch", F.col(name).cast(exact).alias(name)
         )
-        rows = settled(rows.join(onward, ["beneficiary_id", "ts_epoch"]), name.replace("_", "-"))
+        joined = spread_join(rows, onward, ["beneficiary_id", "ts_epoch"], ["txn_id"], "inner")
+        rows = settled(joined, name.replace("_", "-"))
     hops = range(2, max_hops + 1)
     longest = F.greatest(F.lit(1), *[F.when(F.col(f"chains_{h}") > 0, h).otherwise(1) for h in hops])
     return rows.filter(F.col("chains_2") > 0).select(

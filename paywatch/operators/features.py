@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paywatch.functions import timeline
-from paywatch.functions.keys import unique_by
+from paywatch.functions.keys import spread_join, unique_by
 from paywatch.functions.timeline import MONEY, epoch
 from paywatch.schemas import BEHAVIOR_COLUMNS, DAY, FEATURE_COLUMNS, HOUR, VELOCITY_COLUMNS
 
@@ -35,11 +35,12 @@ def rolling_features(df: DataFrame, method: str = "auto", hot_rows: int = HOT_RO
     if method == "sweep":
         return _by_sweep(df)
     sizes = df.groupBy("account_id").agg(F.count(F.lit(1)).alias("_n"))
-    if (sizes.agg(F.max("_n")).first()[0] or 0) <= hot_rows:
+    rows, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    if (largest or 0) <= hot_rows:
         return _by_window(df)
     hot = sizes.filter(F.col("_n") > hot_rows).select("account_id")
-    calm = df.join(hot, "account_id", "left_anti").select(*df.columns)
-    busy = df.join(hot, "account_id", "left_semi").select(*df.columns)
+    calm = spread_join(df, hot, ["account_id"], ["txn_id"], "left_anti", rows=rows)
+    busy = spread_join(df, hot, ["account_id"], ["txn_id"], "left_semi", rows=rows)
     return _by_window(calm).unionByName(_by_sweep(busy))
 
 
@@ -140,10 +141,11 @@ def _by_sweep(df: DataFrame) -> DataFrame:
     }).withColumnRenamed("previous", "_previous_second")
     devices = seen["device_id"].withColumnRenamed("previous", "_device")
     payees = seen["beneficiary_id"].withColumnRenamed("previous", "_payee")
+    n = rows.count()
     joined = (
-        rows.join(by_second, at)
-        .join(devices, [*key, "device_id", "ts_epoch"], "left")
-        .join(payees, [*key, "beneficiary_id", "ts_epoch"], "left")
+        spread_join(rows, by_second, at, ["txn_id"], "inner", rows, n)
+        .transform(spread_join, devices, [*key, "device_id", "ts_epoch"], ["txn_id"], "left", rows, n)
+        .transform(spread_join, payees, [*key, "beneficiary_id", "ts_epoch"], ["txn_id"], "left", rows, n)
         .withColumn("_before", F.when(F.col("txn_id") > F.col("_first_txn"), F.col("ts_epoch"))
                     .otherwise(F.col("_previous_second")))
     )
@@ -175,8 +177,11 @@ def merchant_ip(df: DataFrame, merchant: DataFrame | None = None, ip: DataFrame
     """Left joins to the merchant and IP tables; a missing table gives constant columns.
 
     The dimensions are reduced to one row per key first, so they cannot multiply facts.
-    Whether a side is broadcast is left to the optimizer, which knows its measured size.
+    Whether a side is broadcast is left to the optimizer, which knows its measured size;
+    beyond that size, rows without a merchant and dominant merchants are spread.
     """
+    facts = df
+    n = None if merchant is None and ip is None else facts.count()
     if merchant is None:
         df = df.withColumns({
             "merchant_fraud_rate_hist": F.lit(0.0),
@@ -191,7 +196,7 @@ def merchant_ip(df: DataFrame, merchant: DataFrame | None = None, ip: DataFrame
             ),
             ["merchant_id"], [F.col("mcc_code"), F.col("merchant_fraud_rate_hist")],
         )
-        df = df.join(rates, "merchant_id", "left")
+        df = spread_join(df, rates, ["merchant_id"], ["txn_id"], "left", facts, n)
     if ip is None:
         df = df.withColumns({"ip_is_vpn": F.lit(False), "ip_country": F.lit(None).cast("string")})
     else:
@@ -199,7 +204,7 @@ def merchant_ip(df: DataFrame, merchant: DataFrame | None = None, ip: DataFrame
             ip.select("ip_id", F.col("is_vpn").alias("ip_is_vpn"), F.col("country").alias("ip_country")),
             ["ip_id"], [F.col("ip_country"), F.col("ip_is_vpn")],
         )
-        df = df.join(places, "ip_id", "left")
+        df = spread_join(df, places, ["ip_id"], ["txn_id"], "left", facts, n)
     return df.withColumns({
         "mcc_risk_tier": risk_tier("merchant_fraud_rate_hist"),
         "merchant_fraud_rate_hist": F.coalesce("merchant_fraud_rate_hist", F.lit(0.0)),

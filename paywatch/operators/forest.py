@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paywatch.functions.sampling import hash_sample
 from paywatch.runtime import durable
 from paywatch.schemas import ANOMALY_FEATURES
 
@@ -29,12 +30,10 @@ def average_path(n):
 def tree_samples(df: DataFrame, trees: int, sample: int, seed: int, key: str) -> DataFrame:
     """About ``sample`` rows per tree as (tree, columns...).
 
-    The pool is the ``trees * sample`` rows with the smallest seeded hash (a bounded
-    top-k), dealt out to the trees; a smaller table is dealt out several times, each time
-    in another order.
+    The pool is a random ``trees * sample`` rows, dealt out to the trees; a smaller table
+    is dealt out several times, each time in another order.
     """
-    pool = df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(trees * sample)
-    pool = durable(pool)
+    pool = durable(hash_sample(df, trees * sample, key, seed))
     n = pool.count()
     copies = min(trees, -(-trees * sample // max(n, 1)))
     # At most trees * sample rows reach the window, times the copies that small tables need.

@@ -8,6 +8,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paywatch.functions.keys import spread_join
 from paywatch.functions.ordered import with_ordinal
 from paywatch.schemas import ACTION_CUTS, ALERT_COLUMNS, TOPOLOGY_FLAGS
 
@@ -22,10 +23,13 @@ def merge_signals(
 ) -> DataFrame:
     """Scored transactions with rule features, graph score and topology flags, nulls filled."""
     extra = [c for c in RULE_FEATURES if c in features.columns and c not in scored.columns]
+    # The joins on txn_id keep one row per transaction, so accounts are counted on ``scored``.
     joined = (
         scored.join(features.select("txn_id", *extra), "txn_id", "left")
         .join(flags.select("txn_id", *TOPOLOGY_FLAGS), "txn_id", "left")
-        .join(graph.select("account_id", "graph_risk_score"), "account_id", "left")
+        .transform(
+            spread_join, graph.select("account_id", "graph_risk_score"), ["account_id"], ["txn_id"], "left", scored
+        )
     )
     return fill_signals(joined)
 

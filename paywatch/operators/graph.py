@@ -6,10 +6,11 @@ keeps both roles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paywatch.functions.topk import top_k
+from paywatch.functions.keys import spread_join
+from paywatch.functions.ordered import running_totals
 from paywatch.schemas import DAY, TOPOLOGY_FLAGS
 
 # edge type -> (source column, target column, source vertex type, target vertex type)
@@ -41,10 +42,33 @@ def edges(txn: DataFrame, max_edges_per_type: int | None = None) -> DataFrame:
     weighted = pairs.groupBy("edge_type", "src", "dst").agg(
         F.count(F.lit(1)).alias("txn_count"), F.sum("amount").alias("total_amount")
     )
-    if max_edges_per_type is None:
-        return weighted
-    heaviest = [F.col("txn_count").desc(), F.col("src"), F.col("dst")]
-    return top_k(weighted, ["edge_type"], heaviest, max_edges_per_type, ["src", "dst"], spread=1024)
+    return weighted if max_edges_per_type is None else heaviest_edges(weighted, max_edges_per_type)
+
+
+def heaviest_edges(weighted: DataFrame, k: int) -> DataFrame:
+    """The ``k`` edges of each type with the largest count, ties by id (action).
+
+    The cut is found from the number of edges per count. Everything above it stays; only
+    the edges at the cut are ordered, over all tasks.
+    """
+    levels = weighted.groupBy("edge_type", "txn_count").agg(F.count(F.lit(1)).alias("_n"))
+    above = Window.partitionBy("edge_type").orderBy(F.col("txn_count").desc()).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    before = levels.withColumn("_before", F.coalesce(F.sum("_n").over(above), F.lit(0)))
+    # One row per edge type: the last level that still gets edges, and how many.
+    cuts = before.filter(F.col("_before") < k).groupBy("edge_type").agg(
+        F.min("txn_count").alias("_cut"), F.max("_before").alias("_taken")
+    )
+    marked = weighted.join(F.broadcast(cuts), "edge_type")
+    tied = marked.filter(F.col("txn_count") == F.col("_cut")).withColumn("_one", F.lit(1).cast("bigint"))
+    placed = running_totals(tied, [F.col("edge_type"), F.col("src"), F.col("dst")], {"_place": "_one"})
+    starts = placed.groupBy("edge_type").agg((F.min("_place") - 1).alias("_start"))
+    chosen = placed.join(F.broadcast(starts), "edge_type").filter(
+        F.col("_place") - F.col("_start") <= F.lit(k) - F.col("_taken")
+    )
+    whole = marked.filter(F.col("txn_count") > F.col("_cut"))
+    return whole.select(*weighted.columns).unionByName(chosen.select(*weighted.columns))
 
 
 def usage_edges(txn: DataFrame, src: str, dst: str, count: str | None = "txn_count") -> DataFrame:
@@ -76,7 +100,7 @@ def node_features(edge_table: DataFrame) -> DataFrame:
     to_device = F.col("edge_type") == "account_device"
     to_payee = F.col("edge_type") == "account_beneficiary"
     return (
-        owned.join(in_degree, ["edge_type", "dst"])
+        spread_join(owned, in_degree, ["edge_type", "dst"], ["src"], "inner")
         .groupBy(F.col("src").alias("account_id"))
         .agg(
             F.count(F.lit(1)).alias("account_degree"),
@@ -168,11 +192,12 @@ def topology_flags(
         "is_fan_in_target", F.lit(True)
     )
     devices = shared_devices(txn, shared).select("device_id", F.lit(True).alias("is_shared_device"))
+    rows = txn.select("txn_id", "account_id", "beneficiary_id", "device_id")
+    n = rows.count()
     joined = (
-        txn.select("txn_id", "account_id", "beneficiary_id", "device_id")
-        .join(marks, "account_id", "left")
-        .join(targets, "beneficiary_id", "left")
-        .join(devices, "device_id", "left")
+        spread_join(rows, marks, ["account_id"], ["txn_id"], "left", rows, n)
+        .transform(spread_join, targets, ["beneficiary_id"], ["txn_id"], "left", rows, n)
+        .transform(spread_join, devices, ["device_id"], ["txn_id"], "left", rows, n)
     )
     return joined.select(
         "txn_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in TOPOLOGY_FLAGS]

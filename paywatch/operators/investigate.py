@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paywatch.functions.keys import only, spread_join
 from paywatch.functions.numbers import settle
 from paywatch.functions.topk import top_k
 from paywatch.operators.features import risk_tier
@@ -38,7 +39,7 @@ def transaction_detail(ids: DataFrame, alerts: DataFrame, features: DataFrame) -
         "device_id", "ip_id", "merchant_id", "beneficiary_id", "channel", "txn_type",
         "amount_vs_30d_avg", "is_new_device", "is_new_beneficiary",
     ]
-    asked = alerts.join(ids.select("txn_id").distinct(), "txn_id", "left_semi").select(
+    asked = only(alerts, ids, "txn_id", ["txn_id"]).select(
         "txn_id", "account_id", "amount", "timestamp", "txn_risk_score", "behavior_anomaly_score",
         "final_risk_score", "action", "risk_band", "reason_codes", "is_fraud", "fraud_scenario",
     )
@@ -47,12 +48,12 @@ def transaction_detail(ids: DataFrame, alerts: DataFrame, features: DataFrame) -
 
 def account_history(ids: DataFrame, alerts: DataFrame, window_days: int = 30) -> DataFrame:
     """Summary over each account's own last ``window_days`` days."""
-    own = alerts.join(ids.select("account_id").distinct(), "account_id", "left_semi").select(
-        "account_id", "timestamp", "amount", "is_fraud", "final_risk_score", "action"
+    own = only(alerts, ids, "account_id", ["txn_id"]).select(
+        "txn_id", "account_id", "timestamp", "amount", "is_fraud", "final_risk_score", "action"
     )
     ends = own.groupBy("account_id").agg(F.max("timestamp").alias("_latest"))
     start = F.col("_latest") - F.expr(f"INTERVAL {int(window_days)} DAYS")
-    recent = own.join(ends, "account_id").filter(F.col("timestamp") >= start)
+    recent = spread_join(own, ends, ["account_id"], ["txn_id"], "inner", alerts).filter(F.col("timestamp") >= start)
     counts = F.create_map(*[
         part for a in sorted(ACTIONS) for part in (F.lit(a), F.count_if(F.col("action") == a))
     ])
@@ -84,7 +85,7 @@ def velocity_snapshot(ids: DataFrame, features: DataFrame) -> DataFrame:
         "txn_count_1h", "txn_count_24h", "txn_count_7d", "amount_sum_1h", "amount_sum_24h",
         "unique_merchants_7d", "unique_beneficiaries_7d", "unique_devices_30d",
     ]
-    own = features.join(ids.select("account_id").distinct(), "account_id", "left_semi")
+    own = only(features, ids, "account_id", ["txn_id"])
     last = own.groupBy("account_id").agg(_latest_row(own, ["txn_id", *wanted]).alias("_l"))
     return last.select(
         "account_id",
@@ -116,7 +117,7 @@ def merchant_risk(ids: DataFrame, merchants: DataFrame) -> DataFrame:
 
 
 def anomaly_summary(ids: DataFrame, alerts: DataFrame) -> DataFrame:
-    own = alerts.join(ids.select("account_id").distinct(), "account_id", "left_semi")
+    own = only(alerts, ids, "account_id", ["txn_id"])
     summary = own.groupBy("account_id").agg(
         _latest_row(own, ["behavior_anomaly_score"]).alias("_l"),
         F.avg("behavior_anomaly_score").alias("_avg"),
@@ -155,7 +156,7 @@ def neighborhood(ids: DataFrame, txn: DataFrame, hops: int = 2) -> DataFrame:
     """
     asked = ids.select(F.col("account_id").cast("string").alias("account_id")).distinct()
     everyone = _account_links(txn)
-    links = everyone.join(asked, "account_id", "left_semi")
+    links = only(everyone, asked, "account_id", ["id"])
     ranked = top_k(links, ["account_id", "kind"], [F.col("id")], max(NEIGHBOUR_CAPS.values()), ["id"], rank="place")
 
     def listed(kind: str) -> Column:
@@ -171,14 +172,23 @@ def neighborhood(ids: DataFrame, txn: DataFrame, hops: int = 2) -> DataFrame:
     none = F.array().cast("array<string>")
     if hops >= 2:
         users = everyone.filter("kind = 'device'").select(F.col("id").alias("device"), F.col("account_id").alias("other"))
-        offered = top_k(users, ["device"], [F.col("other")], SHARERS_PER_DEVICE + 1, ["other"])
+        offered = top_k(users, ["device"], [F.col("other")], SHARERS_PER_DEVICE + 1, ["other"]).groupBy(
+            "device"
+        ).agg(F.collect_list("other").alias("others"))
         followed = ranked.filter(f"kind = 'device' and place <= {DEVICES_FOLLOWED}").select(
             "account_id", F.col("id").alias("device")
         )
-        met = followed.join(offered, "device").filter(F.col("other") != F.col("account_id"))
-        per_device = top_k(met, ["account_id", "device"], [F.col("other")], SHARERS_PER_DEVICE, ["other"], spread=1)
-        sharers = per_device.groupBy("account_id").agg(
-            F.slice(F.array_sort(F.collect_set("other")), 1, SHARERS).alias("shared_device_accounts")
+        met = spread_join(followed, offered, ["device"], ["account_id"], "inner").select(
+            "account_id",
+            F.slice(
+                F.array_sort(F.array_remove("others", F.col("account_id"))), 1, SHARERS_PER_DEVICE
+            ).alias("others"),
+        )
+        # At most DEVICES_FOLLOWED short lists per account.
+        sharers = met.groupBy("account_id").agg(
+            F.slice(
+                F.array_sort(F.array_distinct(F.flatten(F.collect_list("others")))), 1, SHARERS
+            ).alias("shared_device_accounts")
         )
         lists = lists.join(sharers, "account_id", "left").withColumn(
             "shared_device_accounts", F.coalesce("shared_device_accounts", none)
@@ -195,7 +205,7 @@ def device_users(ids: DataFrame, txn: DataFrame, cap: int = 20) -> DataFrame:
     """Accounts on the devices asked for, the first ``cap`` in id order."""
     asked = ids.select(F.col("device_id").cast("string").alias("device_id")).distinct()
     uses = _account_links(txn).filter("kind = 'device'").select(F.col("id").alias("device_id"), "account_id")
-    first = top_k(uses.join(asked, "device_id", "left_semi"), ["device_id"], [F.col("account_id")], cap, ["account_id"])
+    first = top_k(only(uses, asked, "device_id", ["account_id"]), ["device_id"], [F.col("account_id")], cap, ["account_id"])
     return first.groupBy("device_id").agg(
         F.array_sort(F.collect_list("account_id")).alias("accounts_using_device"),
         F.count(F.lit(1)).alias("account_count"),
@@ -225,16 +235,19 @@ def reachable(starts: DataFrame, edge_table: DataFrame, hops: int = 2, cap: int
         )).alias("_e")
     ).select("_e.*")
     vertex = ["vertex_type", "vertex_id"]
-    near = top_k(both, vertex, [F.col("near_type"), F.col("near_id")], cap, ["near_type", "near_id"])
+    near = top_k(
+        both, vertex, [F.col("near_type"), F.col("near_id")], cap, ["near_type", "near_id"]
+    ).groupBy(*vertex).agg(F.collect_list(F.struct("near_type", "near_id")).alias("near"))
     frontier = starts.select(
         F.col("vertex_type").alias("start_type"), F.col("vertex_id").cast("string").alias("start_id"),
         "vertex_type", F.col("vertex_id").cast("string").alias("vertex_id"),
     ).distinct()
     found = None
     for hop in range(1, hops + 1):
-        step = frontier.join(near, vertex).select(
-            "start_type", "start_id", F.col("near_type").alias("vertex_type"),
-            F.col("near_id").alias("vertex_id"), F.lit(hop).alias("hop"),
+        met = spread_join(frontier, near, vertex, ["start_type", "start_id"], "inner")
+        step = met.select("start_type", "start_id", F.explode("near").alias("_v")).select(
+            "start_type", "start_id", F.col("_v.near_type").alias("vertex_type"),
+            F.col("_v.near_id").alias("vertex_id"), F.lit(hop).alias("hop"),
         )
         found = step if found is None else found.unionByName(step)
         frontier = step.drop("hop").distinct()
@@ -246,7 +259,7 @@ def graph_patterns(
     ids: DataFrame, txn: DataFrame, flags: DataFrame, graph: DataFrame | None = None
 ) -> DataFrame:
     """Patterns shown by each account's transactions, with confidence and flagged counts."""
-    own = txn.join(ids.select("account_id").distinct(), "account_id", "left_semi").select("txn_id", "account_id")
+    own = only(txn, ids, "account_id", ["txn_id"]).select("txn_id", "account_id")
     counted = own.join(flags, "txn_id").groupBy("account_id").agg(
         *[F.count_if(flag).alias(f"{name.lower()}_txns") for name, (flag, _) in PATTERN_CONFIDENCE.items()],
         F.count(F.lit(1)).alias("total_transactions_checked"),
@@ -361,18 +374,24 @@ def _closest(asked: DataFrame, share: DataFrame, k: int) -> DataFrame:
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = []
             for start in range(0, len(batch), QUERY_ROWS):
                 part = batch.iloc[start:start + QUERY_ROWS]
                 q = np.array(part["vector"].tolist(), dtype=float).reshape(len(part), width)
                 q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
                 close = np.round(q @ points.T, 9)
-                # The library is in id order, so a stable sort breaks ties by id.
-                best = np.argsort(-close, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({
-                    "query_id": np.repeat(part["query_id"].to_numpy(), best.shape[1]),
-                    "case_id": ids[best.ravel()],
-                    "similarity": np.take_along_axis(close, best, axis=1).ravel(),
-                })
+                found = min(k, len(ids))
+                least = np.partition(close, -found, axis=1)[:, -found]
+                for row, floor in enumerate(least):
+                    # The library is in id order, so a stable sort breaks ties by id.
+                    fit = np.flatnonzero(close[row] >= floor)
+                    best = fit[np.argsort(-close[row, fit], kind="stable")[:found]]
+                    out.append((part["query_id"].iloc[row], best, close[row, best]))
+            yield pd.DataFrame({
+                "query_id": np.repeat([o[0] for o in out], [len(o[1]) for o in out]),
+                "case_id": ids[np.concatenate([o[1] for o in out])] if out else ids[:0],
+                "similarity": np.concatenate([o[2] for o in out]) if out else np.zeros(0),
+            })
 
     kinds = {f.name: f.dataType.simpleString() for f in asked.schema} | {
         f.name: f.dataType.simpleString() for f in share.schema if f.name == "case_id"

@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paywatch.functions.keys import spread_join
 from paywatch.functions.numbers import settle
 from paywatch.operators import forest as isolation
 from paywatch.schemas import (
@@ -42,7 +43,8 @@ def prepare(
     """Features with graph columns and flags joined, nulls filled, flags and label as 0/1."""
     df = features
     if graph is not None:
-        df = df.join(graph.select("account_id", *[c for c in GRAPH_FEATURES if c in graph.columns]), "account_id", "left")
+        known = graph.select("account_id", *[c for c in GRAPH_FEATURES if c in graph.columns])
+        df = spread_join(df, known, ["account_id"], ["txn_id"])
     if flags is not None:
         df = df.join(flags.select("txn_id", *TOPOLOGY_FLAGS), "txn_id", "left")
     numeric = [c for c in NUMERIC_FEATURES if c in df.columns]
@@ -94,7 +96,7 @@ def stratified_split(
     place = F.xxhash64(F.col(key), F.lit(seed))
     placed = df.withColumn("_place", place)
     cuts = placed.groupBy(label).agg(F.percentile_approx("_place", fraction, 100_000).alias("_cut"))
-    joined = placed.join(cuts, label)
+    joined = placed.join(F.broadcast(cuts), label)  # one row per label
     held = joined.filter(F.col("_place") <= F.col("_cut")).select(*df.columns)
     rest = joined.filter(F.col("_place") > F.col("_cut")).select(*df.columns)
     return rest, held

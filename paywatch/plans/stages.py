@@ -10,10 +10,10 @@ from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from paywatch.functions.topk import top_n
 from paywatch.operators import (
-    attribution, community, drift, features, forest, fusion, graph, metrics, model,
+    alerts, attribution, community, drift, features, forest, fusion, graph, metrics, model,
 )
 from paywatch.runtime import settled
 
@@ -84,20 +84,20 @@ def alert_stage(
     explained: DataFrame | None = None,
 ) -> DataFrame:
     """The alert table, with each row's top attributions where they were computed."""
-    alerts = fusion.run_fusion(scored, feature_table, graph_table, flags)
+    table = fusion.run_fusion(scored, feature_table, graph_table, flags)
     if explained is None:
-        return alerts
-    return alerts.join(attribution.top_features(explained), "txn_id", "left")
+        return table
+    return table.join(attribution.top_features(explained), "txn_id", "left")
 
 
-def monitoring_stage(alerts: DataFrame, cutoff=model.TRAIN_CUTOFF, unit: str = "month") -> dict[str, DataFrame]:
+def monitoring_stage(alert_table: DataFrame, cutoff=model.TRAIN_CUTOFF, unit: str = "month") -> dict[str, DataFrame]:
     """PSI, precision and label rate per period, and the verdict."""
-    psi = drift.psi_by_period(alerts, cutoff, unit=unit)
-    precision = drift.top_precision(alerts, cutoff, unit=unit)
+    psi = drift.psi_by_period(alert_table, cutoff, unit=unit)
+    precision = drift.top_precision(alert_table, cutoff, unit=unit)
     return {
         "psi": psi,
         "precision": precision,
-        "label_rate": drift.label_rate(alerts, cutoff, unit),
+        "label_rate": drift.label_rate(alert_table, cutoff, unit),
         "verdict": drift.verdict(psi, precision),
     }
 
@@ -108,4 +108,4 @@ def top_risky(txn: DataFrame, scores: DataFrame, limit: int = 100) -> DataFrame:
         scores.select("txn_id", "txn_risk_score", "behavior_anomaly_score", "graph_risk_score"), "txn_id"
     )
     decided = fusion.decide(rows)
-    return decided.orderBy(F.col("final_risk_score").desc(), "txn_id").limit(limit)
+    return top_n(decided, alerts.by_score(), limit, ["txn_id"])

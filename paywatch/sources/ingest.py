@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paywatch.functions.keys import spread_join
 from paywatch.functions.ordered import with_ordinal
+from paywatch.functions.sampling import hash_sample
 from paywatch.operators.quality import require_columns
 from paywatch.schemas import (
     AML_ACCOUNTS, AML_ALERT_ACCOUNTS, AML_TRANSACTIONS, CANONICAL_COLUMNS, CASE_MEMO, DIMENSIONS,
@@ -125,9 +127,8 @@ def canonical_aml(
     if alert_accounts is None:
         joined = rows.withColumn("_scenario", F.lit(None).cast("string"))
     else:
-        joined = rows.withColumn("nameOrig", F.col("nameOrig").cast("string")).join(
-            flagged_accounts(alert_accounts, order), "nameOrig", "left"
-        )
+        named = rows.withColumn("nameOrig", F.col("nameOrig").cast("string"))
+        joined = spread_join(named, flagged_accounts(alert_accounts, order), ["nameOrig"], ["txn_id"])
     fraud = (F.coalesce(F.col("isSAR").cast("int"), F.lit(0)) == 1) | F.col("_scenario").isNotNull()
     return joined.select(
         "txn_id",
@@ -196,9 +197,8 @@ def mixed_sample(
 
     "Random" is the order of a seeded hash, so the same rows come back on every run.
     """
-    place = F.xxhash64(F.col(key), F.lit(seed))
-    some = df.orderBy(place, key).limit(n // 2)
-    positive = df.filter(F.col(label)).orderBy(F.xxhash64(F.col(key), F.lit(seed + 1)), key).limit(n // 2)
+    some = hash_sample(df, n // 2, key, seed)
+    positive = hash_sample(df.filter(F.col(label)), n // 2, key, seed + 1)
     return some.unionByName(positive).dropDuplicates([key]).limit(n)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paywatch.functions import timeline
+from paywatch.functions.keys import spread_join
 from paywatch.functions.timeline import MONEY
 from paywatch.runtime import scratch_path
 from paywatch.schemas import DAY, HOUR
@@ -63,7 +64,7 @@ class VelocityJob:
         })
         asked = rows.select("account_id", "ts_epoch").distinct()
         totals = timeline.sweep([points], asked, ["account_id"], "ts_epoch").drop("previous")
-        out = rows.join(totals, ["account_id", "ts_epoch"]).withColumns({
+        out = spread_join(rows, totals, ["account_id", "ts_epoch"], ["txn_id"], "inner").withColumns({
             c: F.col(c).cast("double") for c in ("amount_sum_1h", "amount_sum_24h")
         })
         out.select(*batch.columns, *[c for c in totals.columns if c not in ("account_id", "ts_epoch")]).write.mode(
@@ -77,7 +78,7 @@ class VelocityJob:
         spark.createDataFrame([(latest,)], "newest bigint").write.mode("overwrite").parquet(self._newest(batch_id))
 
     def run(self, stream: DataFrame, available_now: bool = True):
-        """Start the job on a stream with account_id, amount and timestamp."""
+        """Start the job on a stream with txn_id, account_id, amount and timestamp."""
         writer = stream.writeStream.foreachBatch(self.process).option(
             "checkpointLocation", f"{self.folder}/log"
         )
