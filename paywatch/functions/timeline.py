@@ -48,9 +48,12 @@ def blocked_scan(
     """
     group = [*keys, "_block"]
     wanted = dict.fromkeys([*keys, pos, *totals, *keep, *([latest] if latest else [])])
+    # The join below must not infer null filters for one of its sides only, or the two
+    # readers of ``base`` would no longer be the same plan and share one exchange.
     base = (
         points.select(*wanted)
-        .withColumn("_block", F.floor(F.col(pos) / block))
+        .filter(F.col(pos).isNotNull())
+        .withColumn("_block", F.coalesce(F.floor(F.col(pos) / block), F.lit(0)))
         .repartition(*group)
     )
     ordered = Window.partitionBy(*group).orderBy(pos)

@@ -1,7 +1,8 @@
 """Detectors for laundering patterns over the transaction table.
 
 Sliding windows go through ``functions.timeline``, so a busy account or beneficiary is
-split over time and no pairs of transactions are produced.
+split over time and no pairs of transactions are produced. Tables that several steps of a
+detector read are settled first (actions).
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from paywatch.schemas import DAY, HOUR
 def _burst(paid: DataFrame, keys: list[str], value: str, width: int, minimum: int, name: str) -> DataFrame:
     """Seconds at which a key has at least ``minimum`` distinct values in the last ``width``."""
     uses = timeline.with_epoch(paid).select(*keys, value, "ts_epoch").distinct()
-    seen = timeline.previous_second(uses, [*keys, value], "ts_epoch")
+    seen = settled(timeline.previous_second(uses, [*keys, value], "ts_epoch"), "uses")
     points = timeline.distinct_points(seen, keys, "ts_epoch", name, width)
-    counted = timeline.sweep([points], uses, keys, "ts_epoch")
+    counted = timeline.sweep([points], seen, keys, "ts_epoch")
     return counted.filter(F.col(name) >= minimum).select(*keys, "ts_epoch", name)
 
 
@@ -116,7 +117,7 @@ def forwarded(txn: DataFrame, within: int = DAY) -> DataFrame:
     Gives the number and amount of onward transfers and the first onward second; the
     numbers equal those of the interval self-join, without its pairs.
     """
-    moves = _transfers(txn)
+    moves = settled(_transfers(txn), "transfers")
     key = ["account_id"]
     sent = moves.groupBy("account_id", "ts_epoch").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("amount").cast(MONEY)).alias("total")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paywatch.functions import timeline
 from paywatch.functions.keys import spread_join, unique_by
 from paywatch.functions.timeline import MONEY, epoch
+from paywatch.runtime import settled
 from paywatch.schemas import BEHAVIOR_COLUMNS, DAY, FEATURE_COLUMNS, HOUR, VELOCITY_COLUMNS
 
 MONTH = 30 * DAY
@@ -27,7 +28,7 @@ def rolling_features(df: DataFrame, method: str = "auto", hot_rows: int = HOT_RO
 
     ``window`` uses range windows per account: one shuffle, but the whole account in one
     task and work proportional to the frame. ``sweep`` splits accounts over time and is
-    linear. ``auto`` measures account sizes (one narrow aggregate job) and sends only the
+    linear (action: settles its per-second tables). ``auto`` measures account sizes (one narrow aggregate job) and sends only the
     accounts above ``hot_rows`` through the sweep.
     """
     if method == "window":
@@ -107,12 +108,13 @@ def _by_sweep(df: DataFrame) -> DataFrame:
     rows = timeline.with_epoch(df)
     key = ["account_id"]
     at = [*key, "ts_epoch"]
-    per_second = rows.groupBy(*at).agg(
+    # Tables with one row per key and second, each read by several of the steps below.
+    per_second = settled(rows.groupBy(*at).agg(
         F.count("txn_id").alias("n"),
         F.sum(F.col("amount").cast(MONEY)).alias("total"),
         F.max("amount").alias("amount"),
         F.min("txn_id").alias("_first_txn"),
-    )
+    ), "per-second")
     points = [
         timeline.window_points(per_second, key, "ts_epoch", {
             "txn_count_1h": ("n", -HOUR, 0),
@@ -127,7 +129,7 @@ def _by_sweep(df: DataFrame) -> DataFrame:
     seen: dict[str, DataFrame] = {}
     for column, (name, seconds) in DISTINCT_WINDOWS.items():
         uses = rows.filter(F.col(column).isNotNull()).select(*key, column, "ts_epoch").distinct()
-        seen[column] = timeline.previous_second(uses, [*key, column], "ts_epoch")
+        seen[column] = settled(timeline.previous_second(uses, [*key, column], "ts_epoch"), column)
         points.append(timeline.distinct_points(seen[column], key, "ts_epoch", name, seconds))
 
     totals = timeline.sweep(points, per_second, key, "ts_epoch")
