@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paywatch.runtime import durable
+from paywatch.runtime import settled
 
 
 def running_totals(
@@ -19,7 +19,7 @@ def running_totals(
     picks other boundaries on each run, so the split must be kept). The offsets hold one
     row per partition, which bounds both the offset window and the broadcast.
     """
-    ranged = durable(
+    ranged = settled(
         df.repartitionByRange(*order).sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
     )

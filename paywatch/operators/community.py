@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from paywatch.functions.keys import spread_join
 from paywatch.operators.graph import account_label_rate
-from paywatch.runtime import durable
+from paywatch.runtime import settled
 
 
 # Community of every account when no device is shared at all.
@@ -98,10 +98,10 @@ def components(shared: DataFrame, max_rounds: int = 50) -> DataFrame:
     links = shared.select(
         F.concat(F.lit("a:"), "account_id").alias("u"), F.concat(F.lit("d:"), "device_id").alias("v")
     )
-    current = durable(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    current = settled(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):
-        current = durable(_large_star(current))
-        current = durable(_small_star(current))
+        current = settled(_large_star(current))
+        current = settled(_small_star(current))
         # Settled when the links form stars: one link per vertex, and no centre points on.
         chained = current.join(current.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
         doubled = current.groupBy("u").count().filter("count > 1")
@@ -148,7 +148,7 @@ def communities(
     swap; then communities become the nodes of the next level.
     """
     everyone = accounts.select("account_id").distinct()
-    member = durable(
+    member = settled(
         shared.select(
             F.col("account_id").alias("node"), "device_id", F.lit(1).cast("bigint").alias("m"), "accounts"
         )
@@ -158,7 +158,7 @@ def communities(
         return everyone.withColumn("community_id", F.lit(UNDIVIDED))
 
     # A device with n accounts stands for n(n-1) ordered pairs: n-1 for each of them.
-    nodes = durable(member.groupBy("node").agg(F.sum(F.col("accounts") - 1).alias("k")))
+    nodes = settled(member.groupBy("node").agg(F.sum(F.col("accounts") - 1).alias("k")))
     twice_weight = float(nodes.agg(F.sum("k")).first()[0])
     member = member.drop("accounts")
     assigned = nodes.select(F.col("node").alias("account_id"), F.col("node").alias("community_id"))
@@ -168,16 +168,16 @@ def communities(
         labels = _local_moving(member, size, nodes, twice_weight, rounds, level)
         if labels is None:
             break
-        assigned = durable(
+        assigned = settled(
             spread_join(
                 assigned, labels.withColumnRenamed("node", "community_id"), ["community_id"], ["account_id"],
                 "inner", rows=size,
             ).select("account_id", F.col("c").alias("community_id"))
         )
-        member = durable(
+        member = settled(
             _placed(member, size, labels).groupBy(F.col("c").alias("node"), "device_id").agg(F.sum("m").alias("m"))
         )
-        nodes = durable(nodes.join(labels, "node").groupBy(F.col("c").alias("node")).agg(F.sum("k").alias("k")))
+        nodes = settled(nodes.join(labels, "node").groupBy(F.col("c").alias("node")).agg(F.sum("k").alias("k")))
     named = assigned.groupBy("community_id").agg(F.min("account_id").alias("_name"))
     inside = spread_join(assigned, named, ["community_id"], ["account_id"], "inner", rows=size).select(
         "account_id", F.col("_name").alias("community_id")
@@ -199,12 +199,12 @@ def _local_moving(
     on_device = member.select("device_id", F.col("node").alias("c"), F.col("m").alias("on_device"))
     best, best_quality = None, _modularity(on_device, nodes, labels, twice_weight)
     for turn in range(rounds):
-        moves = durable(_moves(member, size, on_device, nodes, labels, twice_weight, level * 1000 + turn))
+        moves = settled(_moves(member, size, on_device, nodes, labels, twice_weight, level * 1000 + turn))
         told = moves.agg(F.count_if("wants").alias("wants"), F.count_if("moved").alias("moved")).first()
         if told["wants"] == 0:
             break
         labels = moves.select("node", "c")
-        on_device = durable(
+        on_device = settled(
             _placed(member, size, labels).groupBy("device_id", "c").agg(F.sum("m").alias("on_device"))
         )
         quality = _modularity(on_device, nodes, labels, twice_weight)
@@ -243,7 +243,7 @@ def _moves(
         .agg(F.max_by("c", F.struct("pull", "c")).alias("target"))
     )
     totals = nodes.join(labels, "node").groupBy("c").agg(F.sum("k").alias("total"))
-    choice = durable(
+    choice = settled(
         labels.withColumnRenamed("c", "own").join(nodes, "node").join(proposed, "node")
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paywatch.functions.sampling import hash_sample
-from paywatch.runtime import durable
+from paywatch.runtime import settled
 from paywatch.schemas import ANOMALY_FEATURES
 
 NODE = "tree int, node int, feature int, threshold double, below int, above int, size int"
@@ -33,7 +33,7 @@ def tree_samples(df: DataFrame, trees: int, sample: int, seed: int, key: str) ->
     The pool is a random ``trees * sample`` rows, dealt out to the trees; a smaller table
     is dealt out several times, each time in another order.
     """
-    pool = durable(hash_sample(df, trees * sample, key, seed))
+    pool = settled(hash_sample(df, trees * sample, key, seed))
     n = pool.count()
     copies = min(trees, -(-trees * sample // max(n, 1)))
     # At most trees * sample rows reach the window, times the copies that small tables need.
@@ -78,7 +78,7 @@ def train_forest(
         return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "below", "above", "size"])
 
     grown = samples.groupBy("tree").applyInPandas(grow, NODE)
-    return durable(grown)
+    return settled(grown)
 
 
 def raw_score(
@@ -138,7 +138,7 @@ def forest_score(
     """
     raw = raw_score(df, trees, columns, "_raw")
     if bounds is None:
-        raw = durable(raw)
+        raw = settled(raw)
         bounds = score_bounds(raw, "_raw")
     lo, hi = bounds
     if hi > lo:

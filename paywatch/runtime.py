@@ -27,23 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="paywatch-")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint that outlives lost executors."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/paywatch/{name}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """Write a table that several later steps read, and return the written copy.
+def settled(df: DataFrame, name: str = "step") -> DataFrame:
+    """Cut the lineage: write the table to the shared folder and return the written copy.
 
-    Unlike a checkpoint the copy is columnar, so each reader prunes its columns.
+    It outlives lost executors like a checkpoint. Unlike one, it is columnar, so each
+    reader prunes its columns, and it does not carry the old plan's constraints along,
+    which pile up over the rounds of an iteration.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
