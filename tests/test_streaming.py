@@ -38,8 +38,7 @@ def test_velocity_over_micro_batches_equals_batch(spark, sf_dir, tmp_path):
     assert len([p for p in query.recentProgress if p.numInputRows]) == 4
     want = features.rolling_features(txn).select("txn_id", *COLUMNS)
     got = job.result(spark).select("txn_id", *COLUMNS)
-    assert got.count() == txn.count()
-    assert want.exceptAll(got).count() == 0
+    assert sorted(got.collect()) == sorted(want.collect())
 
 
 def test_replayed_batch_writes_the_same(spark, make_txn, tmp_path):
