@@ -159,10 +159,13 @@ def structuring_buckets(
 
 
 def senders_and_receivers(txn: DataFrame) -> DataFrame:
-    """Accounts that also appear as a beneficiary."""
-    return txn.select("account_id").intersect(
-        txn.filter(F.col("beneficiary_id").isNotNull()).select(F.col("beneficiary_id"))
-    )
+    """Accounts that also appear as a beneficiary.
+
+    Both sides are made distinct first: ``intersect`` alone would shuffle every row by account.
+    """
+    senders = txn.select("account_id").distinct()
+    receivers = txn.select(F.col("beneficiary_id").alias("account_id")).distinct()
+    return senders.join(receivers, "account_id", "left_semi")
 
 
 def topology_flags(

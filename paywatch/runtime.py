@@ -24,7 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current.get()
     if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="paywatch-")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="paywatch-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
