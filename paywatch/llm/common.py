@@ -75,3 +75,18 @@ def training_labels(labels: DataFrame, target: str, most: int) -> DataFrame:
     known = labels.filter(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     one = known.groupBy("doc_id").agg(F.max(target).cast("int").alias("_y"))
     return one.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
+
+
+CELLS = 1 << 20
+
+
+def in_cells_of(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """Rows whose key may be among ``keys.name``: a filter that spares them a shuffle.
+
+    Keys are known by the cell they hash to. There are at most CELLS cells, which bounds
+    the broadcast whatever the data; when they are all in use, the filter passes every
+    row and the exact join that follows does the work.
+    """
+    cells = keys.select(F.pmod(F.xxhash64(name), F.lit(CELLS)).alias("__cell")).distinct()
+    marked = rows.withColumn("__cell", F.pmod(F.xxhash64(key), F.lit(CELLS)))
+    return marked.join(F.broadcast(cells), "__cell", "left_semi").drop("__cell")

@@ -41,10 +41,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paywatch.llm.common import map_rows, texts
+from paywatch.llm.common import in_cells_of, map_rows, texts
 from paywatch.runtime import settled
 
-BANDS, ROWS = 36, 6
+BANDS, ROWS = 27, 5
 SHINGLE, PERCENT = 5, 80
 BLOCK_ROWS, BLOCK_SHINGLES, SHARE_ROWS = 1_000, 1_000_000, 5_000
 CACHED_WORDS = 500_000
@@ -153,7 +153,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, text: str, key: str) ->
 
         return step
 
-    rows = docs.select(F.col(key).alias("v"), F.col(text).alias("text")).join(wanted, "v")
+    rows = docs.select(F.col(key).alias("v"), F.col(text).alias("text"))
+    rows = in_cells_of(rows, F.col("v"), wanted, "v").join(wanted, "v")
     return map_rows(rows, ["v", "text", "h1"], f"v {docs.schema[key].dataType.simpleString()}, n long, items array<long>", make)
 
 
@@ -276,13 +277,14 @@ def near_duplicates(
 
     # Crowds, each with its leader; crowds with the same members are one.
     banded = classes.select("v", "n", F.explode("bands").alias("band"))
-    crowds = banded.groupBy("band").agg(
-        F.count(F.lit(1)).alias("crowd"), F.min(F.struct("v", "n")).alias("lead"),
-        F.bit_xor(F.xxhash64("v")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "v")).alias("s2"),
-    ).filter("crowd > 1")
+    crowded = settled(banded.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1"), "crowded")
+    met = settled(in_cells_of(banded, F.col("band"), crowded, "band").join(crowded, "band"), "met")
+    crowds = met.groupBy("band", "crowd").agg(
+        F.min(F.struct("v", "n")).alias("lead"), F.bit_xor(F.xxhash64("v")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "v")).alias("s2"),
+    )
     crowds = settled(crowds.groupBy("crowd", "lead", "s1", "s2").agg(F.min("band").alias("band")), "crowds")
     members = settled(
-        banded.join(crowds.select("band", "crowd", F.col("lead.v").alias("leader"), F.col("lead.n").alias("leader_n")), "band").filter("v <> leader"),
+        met.join(crowds.select("band", F.col("lead.v").alias("leader"), F.col("lead.n").alias("leader_n")), "band").filter("v <> leader"),
         "members",
     )
 
