@@ -26,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paywatch.llm.common import CELLS
 from paywatch.runtime import settled
 
 SPACES = " \t\n\x0b\x0c\r"
 PREFIX = 64
-CELLS = 1 << 20
 
 
 def normalised(text: str | Column = "text") -> Column:
@@ -88,16 +88,18 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", carry
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows that stay, with all their columns (actions)."""
-    digest = F.sha2(normalised(text).cast("binary"), 256)
-    found = settled(exact_groups(docs, text, key, {"__digest": digest}).filter("group_size > 1"), "copies")
-    dropped = found.filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
+    found = settled(exact_groups(docs, text, key).select(F.col("doc_id").alias("__id"), "kept"), "copies")
+    dropped = settled(found.filter("NOT kept").select("__id").distinct(), "dropped")
     clean = docs.join(dropped, docs[key].eqNullSafe(dropped["__id"]), "left_anti")
-    # A repeated id can be dropped in one row and stay in another: one copy of each row
-    # that stays comes back.
-    again = found.filter("kept").select(F.col("doc_id").alias("__id"), "__digest").alias("a").join(dropped.alias("b"), F.expr("a.__id <=> b.__id"), "left_semi")
-    again = settled(again, "repeated")
-    if again.isEmpty():
+    # A repeated id can be dropped in one row and stay in another.
+    kept = found.filter("kept").alias("a")
+    mixed = settled(kept.join(dropped.alias("b"), F.expr("a.__id <=> b.__id"), "left_semi").select("__id").distinct(), "mixed")
+    if mixed.isEmpty():
         return clean
+    # One copy of each row that stays comes back; such rows are told apart by their content.
+    digest = F.sha2(normalised(text).cast("binary"), 256)
+    again = exact_groups(docs, text, key, {"__digest": digest}).filter("kept").select(F.col("doc_id").alias("__id"), "__digest").alias("a")
+    again = settled(again.join(mixed.alias("b"), F.expr("a.__id <=> b.__id"), "left_semi"), "repeated")
     own = docs.withColumn("__own", digest)
     order = Window.partitionBy(key, "__own").orderBy(F.desc(F.length(text)))
     back = (

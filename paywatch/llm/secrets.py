@@ -7,8 +7,9 @@ The method adds ``random`` spans. Two first-order character models are trained o
 taken from the corpus and labelled by where they stand: values that the patterns prove to
 be keys are samples of random strings, words are samples of ordinary identifiers. A run of
 key characters is a secret when the log-likelihood ratio of the two models exceeds
-``margin`` per character. The ratio is a sum over neighbouring characters, looked up in one
-array of ALPHABET squared numbers, so scanning is one pass of built-in functions.
+``evidence``, the log of the odds against a secret. The ratio is a sum over neighbouring
+characters, looked up in one array of ALPHABET squared numbers, so scanning is one pass of
+built-in functions.
 
 Everything is DataFrame operations. Positions are code points, the end is exclusive.
 
@@ -37,7 +38,7 @@ KINDS = ["assign", "access", "hex", "random"]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 IDENTIFIER = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{4,19}(?![A-Za-z0-9+/_=-])"
-SAMPLE_ROWS = 5_000
+SAMPLE_ROWS, BACKOFF = 5_000, 16
 SPAN = "struct<start:int,end:int,kind:string,value:string>"
 
 
@@ -97,11 +98,16 @@ def _transitions(samples: DataFrame) -> list[list[int]]:
 
 
 def log_ratios(random: list[list[int]], ordinary: list[list[int]]) -> list[float]:
-    """log P(b|a) under the first model less that under the second, one number per pair (a, b)."""
+    """log P(b|a) under the first model less that under the second, one number per pair (a, b).
+
+    Each model leans on the overall frequency of b, which counts as BACKOFF observations.
+    """
     n = len(ALPHABET)
 
     def logs(table: list[list[int]]) -> list[float]:
-        return [log((c + 1) / (sum(row) + n)) for row in table for c in row]
+        total = sum(map(sum, table))
+        overall = [(sum(row[b] for row in table) + 1) / (total + n) for b in range(n)]
+        return [log((c + BACKOFF * p) / (sum(row) + BACKOFF)) for row in table for c, p in zip(row, overall)]
 
     return [a - b for a, b in zip(logs(random), logs(ordinary))]
 
@@ -121,13 +127,12 @@ def train(docs: DataFrame, found: DataFrame, text: str = "text", key: str = "doc
 
 
 def ratio(value: Column, table: list[float]) -> Column:
-    """Log-likelihood ratio of a run, per pair of neighbouring characters."""
+    """Log-likelihood ratio of a run."""
     numbers = F.split(F.lit(",".join(f"{x:.4f}" for x in table)), ",").cast("array<double>")
-    total = F.aggregate(_cells(value), F.lit(0.0), lambda acc, cell: acc + F.element_at(numbers, cell.cast("int")))
-    return total / (F.length(value) - 1)
+    return F.aggregate(_cells(value), F.lit(0.0), lambda total, cell: total + F.element_at(numbers, cell.cast("int")))
 
 
-def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", margin: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", evidence: float = 6.0) -> DataFrame:
     """Per row the spans of the patterns (``base``) and those that the models add (``added``)."""
     body = F.coalesce(F.col(text), F.lit(""))
     found = settled(
@@ -138,7 +143,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", margin: float
     if table is None:
         return found.select("doc_id", "base", F.lit(None).cast(f"array<{SPAN}>").alias("added"))
     apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.filter("runs", lambda s: apart(s) & (ratio(s["value"], table) > margin))
+    added = F.filter("runs", lambda s: apart(s) & (ratio(s["value"], table) > evidence))
     return found.select("doc_id", "base", added.alias("added"))
 
 

@@ -34,6 +34,7 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 # Code points below this one fall into the same classes in both regex libraries (tested).
 SHARED_CLASSES = "՘"
 CACHED_PIECES, CACHED_ARRAYS = 400_000, 20_000
+SHORT_PIECE = 64
 LATE, WHOLE = 1 << 60, (-1, -1, -1)
 
 
@@ -216,13 +217,22 @@ class PrefixCounts:
         if not counts or counts[-1] <= budget:
             return len(text)
         k = bisect_right(counts, budget)
-        best = ends[k - 1] if k else 0
-        stop = ends[k]  # every piece has a token, so the first budget + 1 pieces are enough
-        while stop < len(text) and text[stop].isspace():
+        start, end = ends[k - 1] if k else 0, ends[k]  # every piece has a token: budget + 1 pieces are enough
+        stop = end
+        while stop < len(text) and text[end - 1].isspace() and text[stop].isspace():
             stop += 1
-        for at in range(stop, best, -1):
+        for at in range(stop, start if end - start <= SHORT_PIECE else end, -1):
             if self.count_at(text, at, known) <= budget:
                 return at
+        if end - start <= SHORT_PIECE:
+            return start
+        # A prefix of a long piece is one piece, whose counts a single pass gives.
+        left = budget - (counts[k - 1] if k else 0)
+        within, size, best = self._pass(text[start:end]), 0, start
+        for at in range(start, end):
+            size += len(text[at].encode("utf-8", "surrogatepass"))
+            if within[size] <= left:
+                best = at + 1
         return best
 
 
