@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from paywatch.schemas import DAY
 
-# Money is summed exactly, in ten-thousandths, so that entering and leaving cancel.
-MONEY = "decimal(18,4)"
+# Money is summed exactly, to ten places, so that entering and leaving cancel.
+MONEY = "decimal(28,10)"
 
 
 def epoch(ts: str | Column = "timestamp") -> Column:

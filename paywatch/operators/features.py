@@ -16,6 +16,9 @@ MONTH = 30 * DAY
 # Above this many rows an account leaves the plain window for the block-wise sweep.
 HOT_ROWS = 20_000
 
+# A row without account or time has no history but itself: it gets a key of its own.
+KEY = ["_account", "_alone"]
+
 DISTINCT_WINDOWS = {
     "merchant_id": ("unique_merchants_7d", 7 * DAY),
     "beneficiary_id": ("unique_beneficiaries_7d", 7 * DAY),
@@ -30,19 +33,34 @@ def rolling_features(df: DataFrame, method: str = "auto", hot_rows: int = HOT_RO
     task and work proportional to the frame. ``sweep`` splits accounts over time and is
     linear (action: settles its per-second tables). ``auto`` measures account sizes (one narrow aggregate job) and sends only the
     accounts above ``hot_rows`` through the sweep.
+
+    All three give the same rows. A row without account or time counts only itself, a null
+    amount adds nothing to sums and is no part of a mean.
     """
+    keyed = _keyed(df)
     if method == "window":
-        return _by_window(df)
+        return _by_window(keyed, df.columns)
     if method == "sweep":
-        return _by_sweep(df)
-    sizes = df.groupBy("account_id").agg(F.count(F.lit(1)).alias("_n"))
+        return _by_sweep(keyed, df.columns)
+    sizes = keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
     rows, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
     if (largest or 0) <= hot_rows:
-        return _by_window(df)
-    hot = sizes.filter(F.col("_n") > hot_rows).select("account_id")
-    calm = spread_join(df, hot, ["account_id"], ["txn_id"], "left_anti", rows=rows)
-    busy = spread_join(df, hot, ["account_id"], ["txn_id"], "left_semi", rows=rows)
-    return _by_window(calm).unionByName(_by_sweep(busy))
+        return _by_window(keyed, df.columns)
+    hot = settled(sizes.filter(F.col("_n") > hot_rows).select(*KEY), "hot-accounts")
+    calm = spread_join(keyed, hot, KEY, ["txn_id"], "left_anti", rows=rows)
+    busy = spread_join(keyed, hot, KEY, ["txn_id"], "left_semi", rows=rows)
+    return _by_window(calm, df.columns).unionByName(_by_sweep(busy, df.columns))
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """Adds the second and a key without nulls."""
+    rows = timeline.with_epoch(df)
+    alone = F.col("account_id").isNull() | F.col("ts_epoch").isNull()
+    return rows.withColumns({
+        "_account": F.coalesce(F.col("account_id").cast("string"), F.lit("")),
+        "_alone": F.when(alone, F.coalesce(F.col("txn_id").cast("string"), F.lit("?"))).otherwise(""),
+        "ts_epoch": F.coalesce("ts_epoch", F.lit(0)),
+    })
 
 
 def velocity(df: DataFrame, method: str = "auto") -> DataFrame:
@@ -71,8 +89,8 @@ def _novelty(previous_device: Column, previous_beneficiary: Column) -> dict[str,
     }
 
 
-def _by_window(df: DataFrame) -> DataFrame:
-    own = Window.partitionBy("account_id").orderBy("ts_epoch")
+def _by_window(keyed: DataFrame, carried: list[str]) -> DataFrame:
+    own = Window.partitionBy(*KEY).orderBy("ts_epoch")
     past_month = own.rangeBetween(-MONTH, -1)
 
     def trailing(seconds: int):
@@ -80,10 +98,10 @@ def _by_window(df: DataFrame) -> DataFrame:
 
     def last_use(value: str) -> Column:
         # Same account hash as the other windows, so only the sort differs.
-        uses = Window.partitionBy("account_id", value).orderBy("ts_epoch")
+        uses = Window.partitionBy(*KEY, value).orderBy("ts_epoch")
         return F.max("ts_epoch").over(uses.rangeBetween(Window.unboundedPreceding, -1))
 
-    in_order = Window.partitionBy("account_id").orderBy("ts_epoch", "txn_id")
+    in_order = Window.partitionBy(*KEY).orderBy("ts_epoch", "txn_id")
     counted = {
         "txn_count_1h": F.count("txn_id").over(trailing(HOUR)),
         "txn_count_24h": F.count("txn_id").over(trailing(DAY)),
@@ -97,21 +115,20 @@ def _by_window(df: DataFrame) -> DataFrame:
     for column, (name, seconds) in DISTINCT_WINDOWS.items():
         counted[name] = F.size(F.collect_set(column).over(trailing(seconds)))
     rows = (
-        timeline.with_epoch(df)
-        .withColumns(counted)
+        keyed.withColumns(counted)
         .withColumns({"_device": last_use("device_id"), "_payee": last_use("beneficiary_id")})
     )
-    return _finish(rows, df.columns, F.col("_device"), F.col("_payee"))
+    return _finish(rows, carried, F.col("_device"), F.col("_payee"))
 
 
-def _by_sweep(df: DataFrame) -> DataFrame:
-    rows = timeline.with_epoch(df)
-    key = ["account_id"]
+def _by_sweep(rows: DataFrame, carried: list[str]) -> DataFrame:
+    key = KEY
     at = [*key, "ts_epoch"]
     # Tables with one row per key and second, each read by several of the steps below.
     per_second = settled(rows.groupBy(*at).agg(
         F.count("txn_id").alias("n"),
-        F.sum(F.col("amount").cast(MONEY)).alias("total"),
+        F.count("amount").alias("amounts"),
+        F.coalesce(F.sum(F.col("amount").cast(MONEY)), F.lit(0).cast(MONEY)).alias("total"),
         F.max("amount").alias("amount"),
         F.min("txn_id").alias("_first_txn"),
     ), "per-second")
@@ -122,7 +139,7 @@ def _by_sweep(df: DataFrame) -> DataFrame:
             "txn_count_7d": ("n", -7 * DAY, 0),
             "amount_sum_1h": ("total", -HOUR, 0),
             "amount_sum_24h": ("total", -DAY, 0),
-            "_n_30d": ("n", -MONTH, -1),
+            "_n_30d": ("amounts", -MONTH, -1),
             "_sum_30d": ("total", -MONTH, -1),
         })
     ]
@@ -151,7 +168,7 @@ def _by_sweep(df: DataFrame) -> DataFrame:
         .withColumn("_before", F.when(F.col("txn_id") > F.col("_first_txn"), F.col("ts_epoch"))
                     .otherwise(F.col("_previous_second")))
     )
-    return _finish(joined, df.columns, F.col("_device"), F.col("_payee"))
+    return _finish(joined, carried, F.col("_device"), F.col("_payee"))
 
 
 def _finish(rows: DataFrame, carried: list[str], device: Column, payee: Column) -> DataFrame:
@@ -160,7 +177,7 @@ def _finish(rows: DataFrame, carried: list[str], device: Column, payee: Column)
     return rows.select(
         *carried,
         *[F.col(c).cast("bigint").alias(c) for c in ("txn_count_1h", "txn_count_24h", "txn_count_7d")],
-        "amount_sum_1h", "amount_sum_24h",
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("amount_sum_1h", "amount_sum_24h")],
         *[F.col(name).cast("bigint").alias(name) for name, _ in DISTINCT_WINDOWS.values()],
         _ratio("amount", F.col("_avg_30d")).alias("amount_vs_30d_avg"),
         _ratio("amount", F.col("_max_30d")).alias("amount_vs_30d_max"),
@@ -175,14 +192,17 @@ def risk_tier(rate: str | Column) -> Column:
     return F.when(value > 0.04, "HIGH").when(value > 0.015, "MEDIUM").otherwise("LOW")
 
 
-def merchant_ip(df: DataFrame, merchant: DataFrame | None = None, ip: DataFrame | None = None) -> DataFrame:
+def merchant_ip(
+    df: DataFrame, merchant: DataFrame | None = None, ip: DataFrame | None = None, measured: DataFrame | None = None
+) -> DataFrame:
     """Left joins to the merchant and IP tables; a missing table gives constant columns.
 
     The dimensions are reduced to one row per key first, so they cannot multiply facts.
     Whether a side is broadcast is left to the optimizer, which knows its measured size;
-    beyond that size, rows without a merchant and dominant merchants are spread.
+    beyond that size, rows without a merchant and dominant merchants are spread. ``measured``
+    is a cheaper table with the same rows to count them on.
     """
-    facts = df
+    facts = df if measured is None else measured
     n = None if merchant is None and ip is None else facts.count()
     if merchant is None:
         df = df.withColumns({
@@ -218,7 +238,7 @@ def transaction_features(
     txn: DataFrame, merchant: DataFrame | None = None, ip: DataFrame | None = None, method: str = "auto"
 ) -> DataFrame:
     """The full per-transaction feature table."""
-    return merchant_ip(rolling_features(txn, method), merchant, ip).select(*FEATURE_COLUMNS)
+    return merchant_ip(rolling_features(txn, method), merchant, ip, measured=txn).select(*FEATURE_COLUMNS)
 
 
 def account_profiles(features: DataFrame) -> DataFrame:

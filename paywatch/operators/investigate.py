@@ -149,7 +149,8 @@ def _account_links(txn: DataFrame) -> DataFrame:
 
 
 def neighborhood(ids: DataFrame, txn: DataFrame, hops: int = 2) -> DataFrame:
-    """Devices, payees, IPs, merchants and co-users of devices, each list capped.
+    """Devices, payees, IPs, merchants and co-users of devices, each list capped;
+    ``total_neighbors`` counts all devices, payees and IPs, listed or not.
 
     The first neighbours in id order are kept. Devices offer at most one account more than
     the cap, so a device that everyone uses does not multiply rows.
@@ -195,29 +196,26 @@ def neighborhood(ids: DataFrame, txn: DataFrame, hops: int = 2) -> DataFrame:
         )
     else:
         lists = lists.withColumn("shared_device_accounts", none)
-    return lists.withColumn(
-        "total_neighbors",
-        F.size("connected_devices") + F.size("connected_beneficiaries") + F.size("connected_ips"),
-    )
+    total = links.filter("kind <> 'merchant'").groupBy("account_id").agg(F.count(F.lit(1)).cast("int").alias("total_neighbors"))
+    return lists.join(total, "account_id", "left").withColumn("total_neighbors", F.coalesce("total_neighbors", F.lit(0)))
 
 
 def device_users(ids: DataFrame, txn: DataFrame, cap: int = 20) -> DataFrame:
-    """Accounts on the devices asked for, the first ``cap`` in id order."""
+    """Accounts on the devices asked for: their number, and the first ``cap`` in id order."""
     asked = ids.select(F.col("device_id").cast("string").alias("device_id")).distinct()
     uses = _account_links(txn).filter("kind = 'device'").select(F.col("id").alias("device_id"), "account_id")
-    first = top_k(only(uses, asked, "device_id", ["account_id"]), ["device_id"], [F.col("account_id")], cap, ["account_id"])
-    return first.groupBy("device_id").agg(
-        F.array_sort(F.collect_list("account_id")).alias("accounts_using_device"),
-        F.count(F.lit(1)).alias("account_count"),
-        (F.count(F.lit(1)) > 1).alias("is_shared"),
-    )
+    mine = only(uses, asked, "device_id", ["account_id"])
+    first = top_k(mine, ["device_id"], [F.col("account_id")], cap, ["account_id"])
+    listed = first.groupBy("device_id").agg(F.array_sort(F.collect_list("account_id")).alias("accounts_using_device"))
+    counted = mine.groupBy("device_id").agg(F.count(F.lit(1)).alias("account_count"))
+    return listed.join(counted, "device_id").withColumn("is_shared", F.col("account_count") > 1)
 
 
-def reachable(starts: DataFrame, edge_table: DataFrame, hops: int = 2, cap: int = 20) -> DataFrame:
+def reachable(starts: DataFrame, edge_table: DataFrame, hops: int = 2, cap: int | None = None) -> DataFrame:
     """Vertices within ``hops`` of each start (vertex_type, vertex_id), any vertex type.
 
-    Each vertex passes on its first ``cap`` neighbours in (type, id) order, so the result
-    holds at most cap + cap^2 rows per start.
+    With a ``cap`` each vertex passes on its first neighbours in (type, id) order only, so
+    that the result holds at most cap + cap^2 rows per start.
     """
     if hops not in (1, 2):
         raise ValueError("hops must be 1 or 2")
@@ -235,20 +233,19 @@ def reachable(starts: DataFrame, edge_table: DataFrame, hops: int = 2, cap: int
         )).alias("_e")
     ).select("_e.*")
     vertex = ["vertex_type", "vertex_id"]
-    near = top_k(
+    near = both if cap is None else top_k(
         both, vertex, [F.col("near_type"), F.col("near_id")], cap, ["near_type", "near_id"]
-    ).groupBy(*vertex).agg(F.collect_list(F.struct("near_type", "near_id")).alias("near"))
+    )
     frontier = starts.select(
         F.col("vertex_type").alias("start_type"), F.col("vertex_id").cast("string").alias("start_id"),
         "vertex_type", F.col("vertex_id").cast("string").alias("vertex_id"),
     ).distinct()
     found = None
     for hop in range(1, hops + 1):
-        met = spread_join(frontier, near, vertex, ["start_type", "start_id"], "inner")
-        step = met.select("start_type", "start_id", F.explode("near").alias("_v")).select(
-            "start_type", "start_id", F.col("_v.near_type").alias("vertex_type"),
-            F.col("_v.near_id").alias("vertex_id"), F.lit(hop).alias("hop"),
-        )
+        step = frontier.join(near, vertex).select(
+            "start_type", "start_id", F.col("near_type").alias("vertex_type"),
+            F.col("near_id").alias("vertex_id"), F.lit(hop).alias("hop"),
+        ).distinct()
         found = step if found is None else found.unionByName(step)
         frontier = step.drop("hop").distinct()
     itself = (F.col("vertex_type") == F.col("start_type")) & (F.col("vertex_id") == F.col("start_id"))

@@ -677,7 +677,7 @@ def device_users(spark, sf):
 def reachable_entities(spark, sf):
     edges = graph.edges(data.transactions(spark, sf))
     starts = edges.filter("edge_type = 'device_ip'").select(F.lit("ip").alias("vertex_type"), F.col("dst").alias("vertex_id"))
-    return investigate.reachable(starts, edges, hops=2, cap=5)
+    return investigate.reachable(starts, edges, hops=2)
 
 
 @query

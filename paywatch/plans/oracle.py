@@ -430,7 +430,7 @@ lists AS (
     coalesce(string_agg(id, '|' ORDER BY id) FILTER (kind = 'beneficiary' AND place <= 20), '') AS connected_beneficiaries,
     coalesce(string_agg(id, '|' ORDER BY id) FILTER (kind = 'ip' AND place <= 20), '') AS connected_ips,
     coalesce(string_agg(id, '|' ORDER BY id) FILTER (kind = 'merchant' AND place <= 10), '') AS connected_merchants,
-    CAST(count(*) FILTER (kind <> 'merchant' AND place <= 20) AS INTEGER) AS total_neighbors
+    CAST(count(*) FILTER (kind <> 'merchant') AS INTEGER) AS total_neighbors
   FROM placed_links GROUP BY account_id
 ),
 met AS (
@@ -814,15 +814,16 @@ FROM recent JOIN acts USING (account_id) GROUP BY account_id, actions, last""",
   unique_beneficiaries_7d, unique_devices_30d FROM feat
   QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY ts DESC, txn_id DESC) = 1""",
     "neighborhood": with_(TXN, LINKS) + "SELECT * FROM around",
-    "device_users": with_(TXN, LINKS) + """SELECT device_id, string_agg(account_id, '|' ORDER BY account_id) AS accounts_using_device,
+    "device_users": with_(TXN, LINKS) + """SELECT device_id,
+  string_agg(account_id, '|' ORDER BY account_id) FILTER (n <= 20) AS accounts_using_device,
   count(*) AS account_count, count(*) > 1 AS is_shared FROM (
     SELECT id AS device_id, account_id, row_number() OVER (PARTITION BY id ORDER BY account_id) AS n
-    FROM links WHERE kind = 'device') WHERE n <= 20 GROUP BY device_id""",
+    FROM links WHERE kind = 'device') GROUP BY device_id""",
     "reachable_entities": with_(TXN, EDGES) + """, typed AS (
   SELECT split_part(edge_type, '_', 1) AS ft, src AS f, split_part(edge_type, '_', 2) AS tt, dst AS t FROM edges
   UNION ALL SELECT split_part(edge_type, '_', 2), dst, split_part(edge_type, '_', 1), src FROM edges
 ),
-near AS (SELECT * FROM typed QUALIFY row_number() OVER (PARTITION BY ft, f ORDER BY tt, t) <= 5),
+near AS (SELECT DISTINCT * FROM typed),
 one AS (SELECT f AS start_id, tt, t, 1 AS hop FROM near WHERE ft = 'ip'),
 two AS (SELECT start_id, n.tt, n.t, 2 AS hop FROM one JOIN near n ON one.tt = n.ft AND one.t = n.f)
 SELECT 'ip' AS start_type, start_id, tt AS vertex_type, t AS vertex_id, CAST(min(hop) AS INTEGER) AS hop

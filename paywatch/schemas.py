@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
 
 HOUR = 3600
 DAY = 86400
@@ -71,30 +70,9 @@ ALERT_COLUMNS = [
     "risk_band", "action", "reason_codes", "alert_id", "triggered_at",
 ]
 DRIFT_FEATURES = ["txn_risk_score", "behavior_anomaly_score", "final_risk_score", "amount"]
-ACCOUNT_TYPES = ["CHECKING", "SAVINGS", "BUSINESS", "PREPAID"]
-ACCOUNT_STATUSES = ["ACTIVE", "DORMANT", "FROZEN", "CLOSED"]
-CHANNELS = ["MOBILE", "ONLINE", "BRANCH", "ATM"]
-TXN_TYPES = ["PAYMENT", "TRANSFER", "CASH_OUT", "CASH_IN", "DEBIT"]
-FRAUD_SCENARIOS = [
-    "MULE_CHAIN", "FAN_OUT", "FAN_IN", "ACCOUNT_TAKEOVER_BURST", "SHARED_DEVICE_RING",
-    "STRUCTURING", "PAYSIM_FRAUD", "AMLSIM_AML",
-]
 
 # --- end of fixed values ---
 
-
-def _schema(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)
-
-
-def transaction_event() -> T.StructType:
-    return _schema(
-        "txn_id string, account_id string, merchant_id string, beneficiary_id string, "
-        "device_id string, ip_id string, amount double, currency string, txn_type string, "
-        "channel string, timestamp timestamp, is_fraud boolean, fraud_scenario string, source string"
-    )
-
-
 # DDL strings, usable wherever Spark takes a schema.
 MOBILE_MONEY = "step int, type string, amount double, nameOrig string, nameDest string, isFraud int"
 AML_TRANSACTIONS = (
@@ -121,14 +99,6 @@ DIMENSIONS = {
     "watchlist_entity": "entity_id string, entity_type string, name string, reason string, "
                         "listed_at timestamp, source string",
 }
-EVENT_LOGS = {
-    "login": "login_id string, account_id string, device_id string, ip_id string, "
-             "timestamp timestamp, success boolean, mfa_used boolean",
-    "payee_add": "event_id string, account_id string, beneficiary_id string, device_id string, "
-                 "timestamp timestamp",
-    "profile_change": "event_id string, account_id string, change_type string, old_value string, "
-                      "new_value string, device_id string, timestamp timestamp",
-}
 CASE_MEMO = (
     "case_id string, alert_id string, recommended_action string, confidence double, priority string, "
     "reason_codes array<string>, entities_involved struct<account_ids: array<string>, "

@@ -40,11 +40,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header. Columns are matched by header name and cast to the schema."""
+    """CSV with a header. Columns are matched by header name and cast to the schema; a cell
+    that cannot be cast becomes null."""
     raw = spark.read.option("header", True).csv(path)
     wanted = spark.createDataFrame([], schema).schema
     require_columns(raw, [f.name for f in wanted], path)
-    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
+    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def read_mobile_money(spark: SparkSession, path: str) -> DataFrame:

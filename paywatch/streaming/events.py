@@ -69,8 +69,9 @@ def realtime_reasons() -> Column:
 
 
 def decide_events(scored: DataFrame) -> DataFrame:
-    """Fuse both scores of streamed events; without a graph score it counts as 0."""
-    total = F.lit(0.50) * F.col("txn_risk_score") + F.lit(0.25) * F.col("behavior_anomaly_score")
+    """Fuse both scores of streamed events; a missing score counts as 0."""
+    known = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    total = F.lit(0.50) * known("txn_risk_score") + F.lit(0.25) * known("behavior_anomaly_score")
     if "graph_risk_score" in scored.columns:
         total = total + F.lit(0.25) * F.coalesce("graph_risk_score", F.lit(0.0))
     fused = scored.withColumn("final_risk_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))

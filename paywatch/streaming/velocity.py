@@ -19,7 +19,7 @@ from paywatch.runtime import scratch_path
 from paywatch.schemas import DAY, HOUR
 
 WEEK = 7 * DAY
-STATE = "account_id {id}, ts_epoch bigint, n bigint, total decimal(38,4)"
+STATE = "account_id {id}, ts_epoch bigint, n bigint, total decimal(38,10)"
 
 
 class VelocityJob:
@@ -53,10 +53,10 @@ class VelocityJob:
         if newest is not None:
             rows = rows.filter(F.col("ts_epoch") >= newest - self.delay)
         per_second = rows.groupBy("account_id", "ts_epoch").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.col("amount").cast(MONEY)).cast("decimal(38,4)").alias("total")
+            F.count(F.lit(1)).alias("n"), F.sum(F.col("amount").cast(MONEY)).cast("decimal(38,10)").alias("total")
         )
         known = before.unionByName(per_second).groupBy("account_id", "ts_epoch").agg(
-            F.sum("n").alias("n"), F.sum("total").cast("decimal(38,4)").alias("total")
+            F.sum("n").alias("n"), F.sum("total").cast("decimal(38,10)").alias("total")
         )
         points = timeline.window_points(known, ["account_id"], "ts_epoch", {
             "txn_count_1h": ("n", -HOUR, 0), "txn_count_24h": ("n", -DAY, 0), "txn_count_7d": ("n", -WEEK, 0),
