@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from paywatch.llm.common import map_rows, texts
 
 LONG_WORD = 256  # at most 1024, the positions that CONTRACT packs beside a rank
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 # Token rows that one decoding query orders.
-DECODED_ROWS = 400_000
+DECODED_ROWS = 250_000
 
 CONTRACT = """
 WITH RECURSIVE step(round, word, pos, tok) AS (
@@ -71,7 +71,7 @@ class Codec:
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.words: dict[str, bytes] = {}
         # The working folder of a task is its own; nothing in it is read by another one.
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": tempfile.mkdtemp()})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": tempfile.mkdtemp()})
         ids = pa.array(self.ranks.values(), pa.int32())
         self._load("vocabulary", pa.table({"tok": ids, "piece": pa.array(self.ranks, pa.binary())}))
         splits = [
