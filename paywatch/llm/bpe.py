@@ -33,6 +33,8 @@ from paywatch.llm.common import map_rows, texts
 
 LONG_WORD = 256  # at most 1024, the positions that CONTRACT packs beside a rank
 CACHED_WORDS = 300_000
+# Rows that one recursive query makes, about: a word of n bytes makes n (n + 1) / 2 at most.
+STEP_ROWS = 1_000_000
 # Token rows that one decoding query orders.
 DECODED_ROWS = 250_000
 
@@ -109,6 +111,13 @@ class Codec:
                 out[words[i]] = flat[bounds[k] : bounds[k + 1]]
         return out
 
+    def _parts(self, words: list[str]) -> list[list[str]]:
+        """Words cut into lists for one query each, so that long words do not add up in memory."""
+        size = np.array([len(w.encode("utf-8", "replace")) for w in words], np.int64)
+        made = np.where(size > self.long_word, 0, size * (size + 1) // 2).cumsum() // STEP_ROWS
+        cuts = [0, *(np.flatnonzero(np.diff(made)) + 1).tolist(), len(words)]
+        return [words[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def _long(self, data: bytes) -> bytes:
         """The same contraction with a heap of pairs, ordered by rank, then position."""
         parts: list[bytes | None] = [data[i : i + 1] for i in range(len(data))]
@@ -141,8 +150,8 @@ class Codec:
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
         new = list({w for words in split for w in words}.difference(self.words))
-        for at in range(0, len(new), 20_000):
-            self.words.update(self.encode_words(new[at : at + 20_000]))
+        for part in self._parts(new):
+            self.words.update(self.encode_words(part))
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
     def decode(self, rows: list[bytes]) -> list[bytes]:

@@ -134,6 +134,16 @@ def test_bpe_equals_library(long_word):
     assert codec.decode(ids) == [t.encode() for t in rows]
 
 
+def test_bpe_cuts_queries_by_their_rows(monkeypatch):
+    monkeypatch.setattr(bpe, "STEP_ROWS", 50)
+    codec, words = bpe.Codec(RANKS, PATTERN), ["a" * n for n in range(1, 30)] + ["", "b" * 300]
+    parts = codec._parts(words)
+    assert [w for p in parts for w in p] == words and len(parts) > 20
+    assert codec._parts([]) == [[]]
+    text = " ".join(words)
+    assert codec.encode([text]) == bpe.Codec(RANKS, PATTERN).encode([text])
+
+
 def test_bpe_round_trip_of_odd_rows(docs, none):
     rows = bpe.round_trip(docs, RANKS, PATTERN, keep_ids=True).collect()
     assert len(rows) == len(brute.ODD) and all(r.same_text and r.n_tokens == len(r.ids) for r in rows)
