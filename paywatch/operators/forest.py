@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paywatch.functions.sampling import hash_sample
@@ -115,7 +115,8 @@ def raw_score(
 
     @F.pandas_udf("double")
     def score(values: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for columns_in in values:
+        for given in values:
+            columns_in = (given,) if isinstance(given, pd.Series) else given  # one column comes bare
             points = np.column_stack([c.fillna(0.0).to_numpy(float) for c in columns_in])
             yield pd.Series(walk(points))
 
@@ -148,6 +149,17 @@ def forest_score(
     return raw.withColumn(name, scaled).drop("_raw")
 
 
+def save(trees: DataFrame, bounds: tuple[float, float], path: str) -> None:
+    """Write the trees and the bounds of their scores, both of which later scoring needs."""
+    trees.write.mode("overwrite").parquet(f"{path}/trees")
+    row = trees.sparkSession.createDataFrame([bounds], "low double, high double")
+    row.write.mode("overwrite").parquet(f"{path}/bounds")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[float, float]]:
+    return spark.read.parquet(f"{path}/trees"), tuple(spark.read.parquet(f"{path}/bounds").first())
+
+
 def separation(scored: DataFrame, score: str = "behavior_anomaly_score", label: str = "is_fraud") -> DataFrame:
     """Mean score of positives and negatives."""
     return scored.groupBy(F.col(label).cast("boolean").alias("is_fraud")).agg(

@@ -283,7 +283,8 @@ def graph_patterns(
 
 
 def watchlist_screen(entities: DataFrame, watchlist: DataFrame) -> DataFrame:
-    """First watchlist entry whose id equals the entity id or whose name contains it.
+    """First watchlist entry whose id equals the entity id or whose name contains it, with
+    its listing time where the list has one.
 
     Names are cut into substrings of the lengths that occur among the ids, so the search
     is an equality join; each substring keeps only its first entry. Case is ignored in
@@ -293,7 +294,10 @@ def watchlist_screen(entities: DataFrame, watchlist: DataFrame) -> DataFrame:
     sizes = sorted(
         r[0] for r in asked.select(F.length(F.lower("entity_id")).alias("n")).filter("n > 0").distinct().collect()
     )
-    entry = F.struct(F.col("entity_id").alias("matched_watchlist_id"), F.col("name").alias("matched_name"), "reason", "source")
+    entry = F.struct(
+        F.col("entity_id").alias("matched_watchlist_id"), F.col("name").alias("matched_name"), "reason", "source",
+        *[c for c in ["listed_at"] if c in watchlist.columns],
+    )
     by_id = watchlist.select(F.col("entity_id").alias("gram"), entry.alias("hit"))
     lower = F.lower("name")
     grams = F.flatten(F.transform(

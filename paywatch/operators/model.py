@@ -96,7 +96,8 @@ def stratified_split(
     place = F.xxhash64(F.col(key), F.lit(seed))
     placed = df.withColumn("_place", place)
     cuts = placed.groupBy(label).agg(F.percentile_approx("_place", fraction, 100_000).alias("_cut"))
-    joined = placed.join(F.broadcast(cuts), label)  # one row per label
+    cuts = cuts.withColumnRenamed(label, "_label")  # one row per label, null being one
+    joined = placed.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_label")))
     held = joined.filter(F.col("_place") <= F.col("_cut")).select(*df.columns)
     rest = joined.filter(F.col("_place") > F.col("_cut")).select(*df.columns)
     return rest, held

@@ -14,6 +14,7 @@ from paywatch.operators import (
     metrics, model, quality,
 )
 from paywatch.plans import stages
+from paywatch.runtime import settled
 from paywatch.schemas import (
     BEHAVIOR_COLUMNS, CANONICAL_COLUMNS, FEATURE_COLUMNS, MERCHANT_IP_COLUMNS, VELOCITY_COLUMNS,
 )
@@ -553,7 +554,7 @@ def class_balance(spark, sf):
 def _prepared(spark, sf):
     txn = data.transactions(spark, sf)
     nodes = graph.node_features(graph.edges(txn)).withColumn("account_id", F.col("account_id").cast("bigint"))
-    return model.prepare(_feature_table(spark, sf), nodes, graph.topology_flags(txn, **NEAR))
+    return settled(model.prepare(_feature_table(spark, sf), nodes, graph.topology_flags(txn, **NEAR)), "prepared")
 
 
 @query
@@ -699,8 +700,7 @@ def merchant_risk(spark, sf):
     return investigate.merchant_risk(data.transactions(spark, sf), data.merchants(spark, sf))
 
 
-@query
-def watchlist_screen(spark, sf):
+def _screened(spark, sf):
     entities = data.table(spark, sf, "customer").select(
         F.expr("CASE WHEN c_custkey % 3 = 0 THEN lpad(cast(c_custkey AS string), 4, '0') "
                "WHEN c_custkey % 3 = 1 THEN cast(c_custkey AS string) ELSE c_name END").alias("entity_id")
@@ -708,6 +708,16 @@ def watchlist_screen(spark, sf):
     return investigate.watchlist_screen(entities, data.watchlist(spark, sf))
 
 
+@query
+def watchlist_screen(spark, sf):
+    return stamp(_screened(spark, sf), "listed_at")
+
+
+@query
+def watchlist_edges(spark, sf):
+    return stamp(investigate.watchlist_edges(_screened(spark, sf), "Customer", F.col("listed_at")), "matched_at")
+
+
 @query
 def anomaly_summary(spark, sf):
     rows = data.scored(spark, sf)

@@ -47,6 +47,22 @@ txn AS (
     FROM keyed)
 )"""
 
+# Customers against the watchlist, with the first entry of each as n = 1.
+SCREEN = """WITH entity AS (
+  SELECT DISTINCT CASE c_custkey % 3 WHEN 0 THEN lpad(CAST(c_custkey AS VARCHAR), 4, '0')
+    WHEN 1 THEN CAST(c_custkey AS VARCHAR) ELSE c_name END AS entity_id FROM customer
+),
+listed AS (
+  SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, 'LISTED_' || s_nationkey AS reason, n_name AS source,
+    strftime(TIMESTAMP '2023-01-01' + s_suppkey * INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS listed_at
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey
+),
+hits AS (
+  SELECT entity_id, id, name, reason, source, listed_at, row_number() OVER (PARTITION BY entity_id ORDER BY id) AS n
+  FROM entity JOIN listed ON entity_id = id OR contains(lower(name), lower(entity_id))
+)
+"""
+
 SCORED = """
 scored AS (
   SELECT *, (txn_id * 37 % 1000) / 1000.0::DOUBLE AS txn_risk_score,
@@ -839,20 +855,14 @@ FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE NOT (tt = 'ip' AND t
   half_up(fraud_rate_hist, 4) AS fraud_rate_hist, CASE WHEN fraud_rate_hist > 0.04::DOUBLE THEN 'HIGH'
   WHEN fraud_rate_hist > 0.015::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END AS risk_tier
   FROM merchant WHERE merchant_id IN (SELECT merchant_id FROM txn)""",
-    "watchlist_screen": """WITH entity AS (
-  SELECT DISTINCT CASE c_custkey % 3 WHEN 0 THEN lpad(CAST(c_custkey AS VARCHAR), 4, '0')
-    WHEN 1 THEN CAST(c_custkey AS VARCHAR) ELSE c_name END AS entity_id FROM customer
-),
-listed AS (
-  SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, 'LISTED_' || s_nationkey AS reason, n_name AS source
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey
-),
-hits AS (
-  SELECT entity_id, id, name, reason, source, row_number() OVER (PARTITION BY entity_id ORDER BY id) AS n
-  FROM entity JOIN listed ON entity_id = id OR contains(lower(name), lower(entity_id))
-)
-SELECT entity_id, id IS NOT NULL AS hit, id AS matched_watchlist_id, name AS matched_name, reason, source
-FROM entity LEFT JOIN (SELECT * FROM hits WHERE n = 1) USING (entity_id)""",
+    "watchlist_screen": SCREEN + """SELECT entity_id, id IS NOT NULL AS hit, id AS matched_watchlist_id, name AS matched_name, reason,
+  source, listed_at FROM entity LEFT JOIN (SELECT * FROM hits WHERE n = 1) USING (entity_id)""",
+    "watchlist_edges": SCREEN + """SELECT entity_id, 'Customer' AS entity_type, id AS watchlist_entity_id, listed_at AS matched_at
+FROM hits WHERE n = 1""",
+    "mixed_sample": f"""WITH {TXN.strip()},
+drawn AS (SELECT * FROM txn ORDER BY md5('42:' || txn_id), txn_id LIMIT 500),
+positive AS (SELECT * FROM txn WHERE is_fraud ORDER BY md5('43:' || txn_id), txn_id LIMIT 500)
+SELECT txn_id, account_id, amount, is_fraud FROM drawn UNION SELECT txn_id, account_id, amount, is_fraud FROM positive""",
     "anomaly_summary": S + """SELECT account_id, half_up(arg_max(behavior_anomaly_score, (ts, txn_id)), 4) AS latest_anomaly_score,
   half_up(avg(behavior_anomaly_score), 4) AS avg_anomaly_score, count(*) AS total_transactions_scored,
   CASE WHEN avg(behavior_anomaly_score) > 0.6 THEN 'HIGHLY_ANOMALOUS' WHEN avg(behavior_anomaly_score) > 0.3

@@ -51,6 +51,11 @@ def graph_stage(txn: DataFrame, label_cutoff=None, **thresholds) -> GraphTables:
     return GraphTables(graph.graph_features(nodes, rated), graph.topology_flags(txn, **thresholds))
 
 
+def prepared_stage(tables: FeatureTables, network: GraphTables) -> DataFrame:
+    """The training table, written once: fitting, bounds and scoring all read it."""
+    return settled(model.prepare(tables.transactions, network.accounts, network.flags), "prepared")
+
+
 def training_stage(prepared: DataFrame, cutoff=model.TRAIN_CUTOFF, rounds: int = 100, trees: int = 200) -> Models:
     """Both models, trained before the cutoff; the forest sees normal transactions only."""
     train, _ = model.temporal_split(prepared, cutoff)

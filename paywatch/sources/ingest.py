@@ -39,13 +39,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str, keep_rest: bool = False) -> DataFrame:
     """CSV with a header. Columns are matched by header name and cast to the schema; a cell
-    that cannot be cast becomes null."""
+    that cannot be cast becomes null. Other columns are dropped, or kept as text."""
     raw = spark.read.option("header", True).csv(path)
     wanted = spark.createDataFrame([], schema).schema
     require_columns(raw, [f.name for f in wanted], path)
-    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted])
+    rest = [c for c in raw.columns if c not in wanted.names] if keep_rest else []
+    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted], *rest)
 
 
 def read_mobile_money(spark: SparkSession, path: str) -> DataFrame:
@@ -54,12 +55,12 @@ def read_mobile_money(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_aml(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The AML tables that are present in the folder."""
+    """The AML tables that are present in the folder; accounts with all their columns."""
     found = {}
     for name, schema in AML_FILES.items():
         path = f"{folder.rstrip('/')}/{name}.csv"
         if exists(spark, path):
-            found[name] = read_csv(spark, path, schema)
+            found[name] = read_csv(spark, path, schema, keep_rest=name == "accounts")
     return found
 
 

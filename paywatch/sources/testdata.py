@@ -79,6 +79,7 @@ def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_name").alias("name"),
         F.concat(F.lit("LISTED_"), F.col("s_nationkey").cast("string")).alias("reason"),
         "source",
+        F.expr("timestampadd(DAY, cast(s_suppkey AS int), timestamp'2023-01-01')").alias("listed_at"),
     )
 
 

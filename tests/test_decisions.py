@@ -162,8 +162,10 @@ def test_aml_ingest(spark, tmp_path):
     (tmp_path / "alert_accounts.csv").write_text(
         "alertID,reason,accountID,isSAR\n1,fan_in,7,true\n2,CYCLE,7,true\n3,fan_out,8,false\n"
     )
+    (tmp_path / "accounts.csv").write_text("accountID,balance,country\n7,12.5,US\n8,,DE\n")
     tables = ingest.read_aml(spark, str(tmp_path))
-    assert sorted(tables) == ["alert_accounts", "transactions"]
+    assert sorted(tables) == ["accounts", "alert_accounts", "transactions"]
+    assert sorted(map(tuple, tables["accounts"].collect())) == [("7", "12.5", "US"), ("8", None, "DE")]
     txn = ingest.canonical_aml(tables["transactions"], tables["alert_accounts"]).orderBy("timestamp").collect()
     assert [(r.account_id, r.is_fraud, r.fraud_scenario) for r in txn] == [
         ("ACC_AML_7", True, "MULE_CHAIN"), ("ACC_AML_9", True, "AMLSIM_AML"), ("ACC_AML_8", False, None),

@@ -83,11 +83,16 @@ def test_top_k_and_top_n(spark):
 
 def test_hash_sample_is_exact_and_repeatable(spark):
     df = spark.range(20_000)
-    plain = df.orderBy(F.xxhash64("id", F.lit(42)), "id").limit(50)
+    plain = df.orderBy(F.md5(F.concat(F.lit("42:"), F.col("id").cast("string")).cast("binary")), "id").limit(50)
     assert rows_of(hash_sample(df, 50, "id")) == rows_of(plain)
     assert hash_sample(df.limit(10), 50, "id").count() == 10
 
 
+def test_hash_sample_of_repeated_keys_is_full(spark):
+    df = spark.range(5_000).select((F.col("id") % 3).alias("id"))
+    assert all(hash_sample(df, 50, "id", seed).count() == 50 for seed in range(4))
+
+
 def test_unique_by(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")], "k string, o int, v string")
     assert rows_of(keys.unique_by(df, ["k"], [F.col("o")])) == [("a", 1, "y"), ("b", 5, "z")]

@@ -62,6 +62,17 @@ def test_forest_puts_outliers_on_top(spark):
     assert set(top) == {5000 + i for i in range(5)}
 
 
+def test_forest_survives_saving(spark, tmp_path):
+    df = spark.range(300).select(F.col("id").alias("txn_id"), (F.col("id") * 1.0).alias("txn_count_7d"))
+    trees = forest.train_forest(df, trees=5, sample=32)
+    bounds = forest.score_bounds(forest.raw_score(df, trees))
+    forest.save(trees, bounds, str(tmp_path / "f"))
+    again, kept = forest.load(spark, str(tmp_path / "f"))
+    assert kept == bounds
+    first, second = (forest.forest_score(df, t, b) for t, b in [(trees, bounds), (again, kept)])
+    assert first.exceptAll(second).count() == 0
+
+
 def test_forest_is_repeatable(spark):
     df = spark.range(300).select(F.col("id").alias("txn_id"), (F.col("id") * 1.0).alias("txn_count_7d"))
     first, second = (sorted(forest.train_forest(df, trees=5, sample=32).collect()) for _ in range(2))
@@ -81,5 +92,11 @@ def test_stratified_split_keeps_the_label_share(prepared):
         assert held.filter(F.col("is_fraud") == label).count() == pytest.approx(whole * 0.25, abs=3)
 
 
+def test_stratified_split_keeps_rows_without_label(spark):
+    df = spark.range(400).select(F.col("id").alias("txn_id"), F.expr("nullif(id % 3, 2)").alias("is_fraud"))
+    rest, held = model.stratified_split(df)
+    assert rest.unionByName(held).exceptAll(df).count() == 0 and rest.count() + held.count() == 400
+
+
 def test_missing_features_are_skipped(prepared):
     assert model.feature_columns(prepared) == ["txn_count_7d", "amount_sum_24h", "is_new_device", "mcc_risk_tier"]
