@@ -11,6 +11,7 @@ from paywatch.functions.numbers import settle
 from paywatch.functions.quantiles import exact_quantiles
 from paywatch.functions.topk import top_k
 from paywatch.operators.alerts import period
+from paywatch.runtime import settled
 from paywatch.schemas import DRIFT_FEATURES
 
 PSI_THRESHOLD = 0.2
@@ -167,9 +168,11 @@ def verdict(psi_table: DataFrame, precision: DataFrame) -> DataFrame:
     )
 
 
-def heat_table(psi_table: DataFrame, periods: Sequence[str]) -> DataFrame:
-    """Features as rows, periods as columns."""
-    return psi_table.groupBy("feature").pivot("period", list(periods)).agg(F.first("psi"))
+def heat_table(psi_table: DataFrame, periods: Sequence[str] | None = None) -> DataFrame:
+    """Features as rows, periods as columns: those named, or all in order (action)."""
+    if periods is None:
+        psi_table = settled(psi_table, "psi")
+    return psi_table.groupBy("feature").pivot("period", periods and list(periods)).agg(F.first("psi"))
 
 
 def monitoring_series(precision: DataFrame, rates: DataFrame) -> DataFrame:

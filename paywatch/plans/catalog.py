@@ -598,7 +598,7 @@ def psi_by_month(spark, sf):
 
 @query
 def psi_heat_table(spark, sf):
-    return drift.heat_table(_shipment_psi(spark, sf), ["1998-10", "1998-11", "1998-12", "1999-01"])
+    return drift.heat_table(_shipment_psi(spark, sf))
 
 
 @query
@@ -819,7 +819,7 @@ def stratified_split(spark, sf):
 def risk_model_scores(spark, sf):
     prepared = _prepared(spark, sf)
     train, _ = model.temporal_split(prepared, SPLIT)
-    risk = model.train_risk(train, rounds=10)
+    risk = model.train_risk(train)
     return model.risk_score(risk, prepared).select("txn_id", "is_fraud", "txn_risk_score")
 
 
@@ -834,7 +834,7 @@ def anomaly_forest_scores(spark, sf):
 def attribution_importance(spark, sf):
     prepared = _prepared(spark, sf)
     train, test = model.temporal_split(prepared, SPLIT)
-    explained = attribution.attributions(test, model.train_risk(train, rounds=10))
+    explained = attribution.attributions(test, model.train_risk(train))
     return model.categorized_importance(attribution.global_importance(explained))
 
 
@@ -875,7 +875,7 @@ def streaming_alerts(spark, sf):
 @query
 def streaming_model_scores(spark, sf):
     prepared = _prepared(spark, sf)
-    models = stages.training_stage(prepared, SPLIT, rounds=5, trees=50)
+    models = stages.training_stage(prepared, SPLIT)
     known = graph.node_features(graph.edges(data.transactions(spark, sf))).withColumn(
         "account_id", F.col("account_id").cast("bigint")
     )
