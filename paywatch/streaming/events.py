@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from paywatch.functions.numbers import settle
 from paywatch.operators import alerts as alert_views
@@ -98,9 +101,14 @@ def score(
     return decide_events(scored)
 
 
-def volume(events: DataFrame, window: str = "1 hour", watermark: str = "1 hour", by: str = "action") -> DataFrame:
-    """Events per window and value. Partial sums keep a dominant value cheap."""
-    timed = events.withWatermark("timestamp", watermark)
+def volume(
+    events: DataFrame, window: str = "1 hour", watermark: str | None = "1 hour", by: str = "action"
+) -> DataFrame:
+    """Events per window and value. Partial sums keep a dominant value cheap.
+
+    Without a watermark no event is too late; the state then holds every window and value.
+    """
+    timed = events if watermark is None else events.withWatermark("timestamp", watermark)
     return timed.groupBy(F.window("timestamp", window), by).agg(
         F.count(F.lit(1)).alias("event_count")
     ).select(F.col("window.start").alias("window_start"), by, "event_count")
@@ -124,6 +132,34 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def drained_updates(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Run an aggregated stream over all available input and return the last row of each key.
+
+    In update mode open windows are written too, where append mode holds them back until the
+    watermark passes. A micro-batch replaces its own folder, so a replayed one counts once.
+    """
+    spark = stream.sparkSession
+    out = scratch_path(spark, name)
+    numbers = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        numbers.append(number)
+
+    query = (
+        stream.writeStream.foreachBatch(write).outputMode("update")
+        .option("checkpointLocation", scratch_path(spark, f"{name}-log"))
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    if not numbers:  # no input, so no folder was written
+        return spark.createDataFrame([], stream.schema)
+    written = spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).parquet(out)
+    rest = [c for c in stream.columns if c not in keys]
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_l"))
+    return last.select(*[c if c in keys else f"_l.{c}" for c in stream.columns])
+
+
 def latest_alerts(alerts: DataFrame, limit: int = 50, risk_band: str | None = None) -> DataFrame:
     """The bounded view over the alert sink: last ``limit`` alerts, then the band."""
     if not 1 <= limit <= 1000:

@@ -92,3 +92,23 @@ def test_defaults_give_way_to_account_features(spark, make_txn):
 def test_limits(spark):
     with pytest.raises(ValueError):
         live.latest_alerts(spark.range(1), 1001)
+
+
+def test_volume_counts_open_windows_and_late_events(spark, make_txn, tmp_path):
+    hours = [0, 30, 3600, 5 * 3600, 5 * 3600 + 60, 60]  # the last event is late by hours
+    txn = make_txn([{"at": at} for at in hours]).select("txn_id", "account_id", "amount", "timestamp")
+    for i in range(len(hours)):
+        txn.filter(F.col("txn_id") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    counts = live.volume(stream_of(spark, tmp_path / "in"), watermark=None, by="account_id")
+    got = live.drained_updates(counts, "volume", ["window_start", "account_id"])
+    assert got.dtypes == counts.dtypes
+    rows = got.select(F.hour("window_start").alias("h"), "event_count").collect()
+    assert sorted((r.h, r.event_count) for r in rows) == [(0, 3), (1, 1), (5, 2)]
+
+
+def test_volume_query_counts_every_event(spark, sf_dir):
+    import __spark_entry__ as entry_points
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    counted = entry_points.queries()["streaming_volume"](spark, sf_dir).agg(F.sum("event_count")).first()[0]
+    assert counted == events
