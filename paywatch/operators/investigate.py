@@ -148,9 +148,31 @@ def _account_links(txn: DataFrame) -> DataFrame:
     )
 
 
+def neighbors(ids: DataFrame, txn: DataFrame, cap: int | None = None) -> DataFrame:
+    """All devices, payees, IPs, merchants and co-users of devices of each account, as rows
+    (account_id, kind, id, kind_count); co-users have the kind ``account``.
+
+    With a ``cap`` only the first ids of each kind are listed; ``kind_count`` stays the true
+    count. Every co-user is a row, so a device of n accounts asked for gives n(n-1) of them.
+    """
+    asked = ids.select(F.col("account_id").cast("string").alias("account_id")).distinct()
+    everyone = _account_links(txn)
+    links = only(everyone, asked, "account_id", ["id"])
+    users = everyone.filter("kind = 'device'").select(F.col("id").alias("device"), F.col("account_id").alias("id"))
+    followed = links.filter("kind = 'device'").select("account_id", F.col("id").alias("device"))
+    sharers = (
+        followed.join(users, "device").filter(F.col("id") != F.col("account_id"))
+        .select("account_id", F.lit("account").alias("kind"), "id").distinct()
+    )
+    rows = links.unionByName(sharers)
+    counts = rows.groupBy("account_id", "kind").agg(F.count(F.lit(1)).alias("kind_count"))
+    listed = rows if cap is None else top_k(rows, ["account_id", "kind"], [F.col("id")], cap, ["id"])
+    return listed.join(counts, ["account_id", "kind"])
+
+
 def neighborhood(ids: DataFrame, txn: DataFrame, hops: int = 2) -> DataFrame:
-    """Devices, payees, IPs, merchants and co-users of devices, each list capped;
-    ``total_neighbors`` counts all devices, payees and IPs, listed or not.
+    """Devices, payees, IPs, merchants and co-users of devices, each list capped (``neighbors``
+    has all of them); ``total_neighbors`` counts all devices, payees and IPs, listed or not.
 
     The first neighbours in id order are kept. Devices offer at most one account more than
     the cap, so a device that everyone uses does not multiply rows.

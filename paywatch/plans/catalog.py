@@ -668,6 +668,13 @@ def neighborhood(spark, sf):
     return joined(found, *[c for c in found.columns if c.startswith(("connected", "shared"))])
 
 
+@query
+def neighbors(spark, sf):
+    """Every neighbour and co-user as a row; ``neighborhood`` has the capped lists."""
+    txn = data.transactions(spark, sf)
+    return investigate.neighbors(txn, txn)
+
+
 @query
 def device_users(spark, sf):
     txn = data.transactions(spark, sf)

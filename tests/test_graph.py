@@ -183,3 +183,20 @@ def test_similar_cases_in_slices(spark):
     sliced = sorted(tuple(r) for r in investigate.similar_cases(asked, cases, library_rows=7).collect())
     assert whole == sliced and len(whole) == 6
     assert {r[1] for r in whole if r[0] == 1} == {"C029", "C031", "C027"} or whole[0][2] == 1.0
+
+
+def test_neighbors_are_all_listed_and_counted(make_txn):
+    rows = [{"account_id": f"A{i:02d}", "device_id": "HUB", "beneficiary_id": f"P{i:02d}"} for i in range(40)]
+    rows += [{"account_id": "A00", "device_id": f"D{i:02d}", "merchant_id": f"M{i:02d}"} for i in range(30)]
+    rows += [{"account_id": "Z", "device_id": "D29"}]
+    txn = make_txn(rows)
+    found = investigate.neighbors(txn, txn).collect()
+    mine = {}
+    for r in found:
+        mine.setdefault((r.account_id, r.kind), set()).add(r.id)
+    assert all(r.kind_count == len(mine[r.account_id, r.kind]) for r in found) and len(found) == sum(map(len, mine.values()))
+    assert mine["A00", "device"] == {"HUB", *(f"D{i:02d}" for i in range(30))}
+    assert len(mine["A00", "merchant"]) == 30 and mine["Z", "account"] == {"A00"}
+    assert mine["A00", "account"] == {f"A{i:02d}" for i in range(1, 40)} | {"Z"}
+    few = investigate.neighbors(txn, txn, cap=3).filter("account_id = 'A00' and kind = 'device'").collect()
+    assert [r.kind_count for r in few] == [31] * 3
