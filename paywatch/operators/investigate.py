@@ -366,14 +366,11 @@ def similar_cases(
 ) -> DataFrame:
     """The ``k`` cases closest by cosine to each query (query_id, txn_risk_score, reason_codes).
 
-    Cases with equal vectors are interchangeable, so a vector keeps its first ``k`` ids;
-    confidences have two places, which bounds the number of distinct vectors. The vectors
-    are compared in slices of at most about ``library_rows`` rows, each query keeping
+    Cases with equal vectors are interchangeable, so a vector keeps its first ``k`` ids.
+    Confidences are compared as they are. The vectors are compared in slices of at most about ``library_rows`` rows, each query keeping
     ``k`` per slice (one action counts them). Similarity is 0 for an all-zero vector.
     """
-    vectors = cases.select(
-        "case_id", settle("confidence", 2).alias("confidence"), "reason_codes"
-    ).select("case_id", case_vector("confidence", "reason_codes").alias("vector"))
+    vectors = cases.select("case_id", case_vector("confidence", "reason_codes").alias("vector"))
     library = top_k(vectors, ["vector"], [F.col("case_id")], k, ["case_id"])
     slices = max(1, -(-library.count() // library_rows))
     asked = queries.select("query_id", case_vector("txn_risk_score", "reason_codes").alias("vector"))

@@ -200,3 +200,15 @@ def test_neighbors_are_all_listed_and_counted(make_txn):
     assert mine["A00", "account"] == {f"A{i:02d}" for i in range(1, 40)} | {"Z"}
     few = investigate.neighbors(txn, txn, cap=3).filter("account_id = 'A00' and kind = 'device'").collect()
     assert [r.kind_count for r in few] == [31] * 3
+
+
+def test_similar_cases_tell_third_places_apart(spark):
+    cases = spark.createDataFrame(
+        [("C1", 0.301, ["WATCHLIST_HIT"]), ("C2", 0.302, ["WATCHLIST_HIT"]), ("C3", 0.304, ["WATCHLIST_HIT"])],
+        "case_id string, confidence double, reason_codes array<string>",
+    )
+    asked = spark.createDataFrame(
+        [(1, 0.304, ["WATCHLIST_HIT"])], "query_id bigint, txn_risk_score double, reason_codes array<string>"
+    )
+    rows = investigate.similar_cases(asked, cases).orderBy("rank").collect()
+    assert [r.case_id for r in rows] == ["C3", "C2", "C1"]
