@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paywatch.llm import bpe, decontaminate, exact_dedup, minhash, quality, secrets, sharding, token_count, toxicity, warc
+from paywatch.llm import (
+    bpe, conversation_repair, decontaminate, exact_dedup, hard_negatives, minhash, quality, secrets, sharding, suffix_dedup, token_count,
+    toxicity, warc,
+)
 from paywatch.llm.common import held_out, table
 
 TOKEN_LIMIT = 512
@@ -73,6 +76,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return kept.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audited(table(spark, sf_dir, "conversations"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in [
         op1_token_counts, op2_decontamination, op3_bpe, op4_sharding, op5_exact_dedup, op6_toxicity, op7_minhash,
-        op8_secrets, op9_quality, op10_warc, pipeline,
+        op8_secrets, op9_quality, op10_warc, op11_suffix_dedup, op12_conversations, op13_hard_negatives, pipeline,
     ]
 }
 

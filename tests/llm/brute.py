@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+import zlib
 from collections import defaultdict
 
 ODD = [
@@ -107,3 +110,99 @@ def segments(scores: list[float]) -> list[tuple[int, int]]:
         return [] if best is None else [*inside(a, best[1]), best[1:], *inside(best[2] + 1, b)]
 
     return inside(0, len(scores))
+
+
+def without_repeats(rows: list[tuple[int | None, str | None]], length: int) -> dict:
+    """Per id: bytes, removed bytes, removed runs, and what is left, window by window; ids are unique."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for at in range(len(data) - length + 1):
+            window = data[at : at + length]
+            if window in seen:
+                gone[at : at + length] = b"\1" * length
+            seen.add(window)
+        runs = len(re.findall(b"\1+", bytes(gone)))
+        out[doc_id] = (len(data), sum(gone), runs, bytes(b for b, g in zip(data, gone) if not g))
+    return out
+
+
+SPACES = " \t\n\x0b\x0c\r"
+STEPS = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+
+
+def damage(rows: list[tuple]) -> list[tuple]:
+    """Conversation rows after the trial damage, in order."""
+    out = []
+    shown = lambda v: " " if v is None else v
+    for conv, turn, role, text in rows:
+        code = zlib.crc32(f"{shown(conv)}:{shown(turn)}".encode()) % 20
+        role, text = shown(role), shown(text)
+        if code:
+            text = "" if code == 1 else re.sub("[.!?]", "", text) if code == 2 else text
+            out += [(conv, turn, "user" if code == 4 else role, text)] * (2 if code == 3 else 1)
+    return sorted(out, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2], r[3]))
+
+
+def repair(rows: list[tuple[int | None, str, str]]) -> tuple:
+    """Result columns of one conversation by a search over whole audits; rows are (turn, role, text)."""
+    seen, faults = set(), []
+    for _, role, text in rows:
+        body = text.rstrip(SPACES)
+        faults.append("blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else "")
+        seen.add((role, text))
+
+    def with_inserts(best: dict) -> dict:
+        out, todo = dict(best), dict(best)
+        while todo:
+            new = {}
+            for last, (cost, audit, kept) in todo.items():
+                for role in ("user", "assistant"):
+                    after, way = STEPS.get((last, role[0])), (cost + 2, audit + "I", [*kept, (role, "")])
+                    if after and (after not in out or way[:2] < out[after][:2]):
+                        out[after] = new[after] = way
+            todo = new
+        return out
+
+    best = with_inserts({"": (0, "", [])})
+    for (_, role, text), fault in zip(rows, faults):
+        new: dict = {}
+        for last, (cost, audit, kept) in best.items():
+            ways = [(last, (cost + 3, audit + "D", kept))]
+            if fault not in ("blank", "duplicate"):
+                more = cost + (fault == "truncated")
+                ways.append((STEPS.get((last, role[:1])), (more, audit + "K", [*kept, (role, text)])))
+                ways += [(STEPS.get((last, r[0])), (more + 2, audit + "R", [*kept, (r, text)])) for r in ("user", "assistant")]
+            for after, way in ways:
+                if after is not None and (after not in new or way[:2] < new[after][:2]):
+                    new[after] = way
+        best = with_inserts(new)
+    cost, audit, kept = min((best[k] for k in ("", "a") if k in best), key=lambda w: w[:2])
+    turns = {t for t, _, _ in rows if t is not None}
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    sha = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in kept).encode()).hexdigest()
+    return gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, sha
+
+
+def repaired_conversations(rows: list[tuple]) -> dict:
+    out, after = {}, damage(rows)
+    for conv in {r[0] for r in rows}:
+        out[conv] = repair([r[1:] for r in after if r[0] == conv])
+    return out
+
+
+def hard_negatives(rows: list[tuple], every: int = 50) -> list[tuple]:
+    """Rows (vec_id, vector, label) with unique ids: all scores, as whole numbers."""
+    good = [(i, [math.floor(256 * x) for x in v], label) for i, v, label in rows
+            if i is not None and v is not None and label is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a, anchor, own in good:
+        if a % every:
+            continue
+        ranked = sorted((-sum(x * y for x, y in zip(anchor, v)), i, label) for i, v, label in good)
+        for p, i, _ in [r for r in ranked if r[2] == own and r[1] != a][:5]:
+            inside = [(n, j) for n, j, label in ranked if label != own and -50 * p <= -100 * n <= -95 * p][:3]
+            out += [(a, i, k + 1, j, -p, -n) for k, (n, j) in enumerate(inside)]
+    return sorted(out)
