@@ -12,6 +12,9 @@ rule of rank files: the rank of a pair is the id of its union.
 A word of n bytes takes up to n rounds over n rows, so words over LONG_WORD bytes (runs
 without any break) are contracted by the same rule with a heap instead; see README.
 
+A Python worker keeps its codec, and with it the words it has met, for all its tasks. Words
+that were not met again for a while go (two generations), not the frequent ones.
+
 Cases: a null or empty text has no tokens. Repeated rows give repeated rows, other columns
 are not read. Texts are processed whole.
 """
@@ -21,7 +24,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import sys
 import tempfile
+import types
 
 import duckdb
 import numpy as np
@@ -31,10 +36,10 @@ from pyspark.sql import DataFrame
 
 from paywatch.llm.common import map_rows, texts
 
-LONG_WORD = 256  # at most 1024, the positions that CONTRACT packs beside a rank
-CACHED_WORDS = 300_000
+LONG_WORD = 1024  # the positions that CONTRACT packs beside a rank
+CACHED_WORDS = 400_000
 # Rows that one recursive query makes, about: a word of n bytes makes n (n + 1) / 2 at most.
-STEP_ROWS = 1_000_000
+STEP_ROWS = 500_000
 # Token rows that one decoding query orders.
 DECODED_ROWS = 250_000
 
@@ -72,8 +77,10 @@ class Codec:
         self.long_word = long_word
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.words: dict[str, bytes] = {}
-        # The working folder of a task is its own; nothing in it is read by another one.
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": tempfile.mkdtemp()})
+        self.earlier: dict[str, bytes] = {}
+        # The working folder of a worker is its own; nothing in it is read by another one.
+        self.folder = tempfile.TemporaryDirectory()
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": self.folder.name})
         ids = pa.array(self.ranks.values(), pa.int32())
         self._load("vocabulary", pa.table({"tok": ids, "piece": pa.array(self.ranks, pa.binary())}))
         splits = [
@@ -147,10 +154,12 @@ class Codec:
     def encode(self, rows: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
         split = [self.pattern.findall(t) for t in rows]
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        new = list({w for words in split for w in words}.difference(self.words))
-        for part in self._parts(new):
+        if len(self.words) > CACHED_WORDS // 2:
+            self.earlier, self.words = self.words, {}
+        new = set().union(*split).difference(self.words)
+        again = new.intersection(self.earlier)
+        self.words.update((w, self.earlier[w]) for w in again)
+        for part in self._parts(list(new - again)):
             self.words.update(self.encode_words(part))
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
@@ -181,11 +190,23 @@ class Codec:
         return out
 
 
+def kept_codec(path: str, pattern: str) -> Codec:
+    """The codec of this Python worker, which outlives its tasks.
+
+    Functions reach a worker by value, with a module of their own each time, so the codecs
+    are kept under a name among the interpreter's modules.
+    """
+    kept = sys.modules.setdefault("_paywatch_codecs", types.ModuleType("_paywatch_codecs")).__dict__
+    if (path, pattern) not in kept:
+        kept[path, pattern] = Codec(path, pattern)
+    return kept[path, pattern]
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row the ids, in order."""
 
     def make():
-        codec = Codec(vocabulary, pattern)
+        codec = kept_codec(vocabulary, pattern)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = [np.frombuffer(r, "<u4").astype(np.int32) for r in codec.encode(texts(batch.column(1)))]
@@ -200,7 +221,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str, key: str
     """Per row of ids the text; bytes that are no UTF-8 become the replacement character."""
 
     def make():
-        codec = Codec(vocabulary, pattern)
+        codec = kept_codec(vocabulary, pattern)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = [np.array(r or [], "<u4").tobytes() for r in batch.column(1).to_pylist()]
@@ -219,7 +240,7 @@ def round_trip(
     text, and the ids themselves if asked for."""
 
     def make():
-        codec = Codec(vocabulary, pattern)
+        codec = kept_codec(vocabulary, pattern)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = texts(batch.column(1))

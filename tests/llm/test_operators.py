@@ -123,6 +123,24 @@ def test_decontamination_of_odd_rows(spark, docs, none):
 # --- 3 byte-level BPE
 
 
+def test_words_equal_library_for_all_code_points():
+    with open(RANKS, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    library = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pattern = bpe.kept_codec(RANKS, PATTERN).pattern
+    for code in (c for c in range(0x110000) if not 0xD800 <= c < 0xE000):
+        text = f"a{chr(code)}1{chr(code)} {chr(code)}!"
+        assert [t for w in pattern.findall(text) for t in library._core_bpe.encode_single_piece(w.encode())] == library.encode_ordinary(text)
+
+
+def test_forgotten_words_are_made_again(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 6)
+    codec, rows = bpe.Codec(RANKS, PATTERN), [f"again {i} more{i % 7}" for i in range(40)]
+    want = [bpe.Codec(RANKS, PATTERN).encode([r])[0] for r in rows[:8]] * 5
+    got = [codec.encode([r])[0] for r in rows[:8] * 5]
+    assert got == want and len(codec.words) + len(codec.earlier) < 20
+
+
 @pytest.mark.parametrize("long_word", [bpe.LONG_WORD, 8])
 def test_bpe_equals_library(long_word):
     codec, rng = bpe.Codec(RANKS, PATTERN, long_word), random.Random(2)
