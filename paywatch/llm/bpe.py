@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from paywatch.llm.common import map_rows, texts
 
 LONG_WORD = 1024  # the positions that CONTRACT packs beside a rank
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 # Rows that one recursive query makes, about: a word of n bytes makes n (n + 1) / 2 at most.
 STEP_ROWS = 500_000
 # Token rows that one decoding query orders.
