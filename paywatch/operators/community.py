@@ -136,48 +136,81 @@ def _small_star(links: DataFrame) -> DataFrame:
     return out.filter(F.col("u") != F.col("v")).distinct()
 
 
-def communities(
-    accounts: DataFrame, shared: DataFrame, rounds: int = 8, levels: int = 3
-) -> DataFrame:
-    """Communities of the projection by modularity local moving (action per round).
+# Communities of one device that a node compares, about.
+COMPARED = 64
+# Rounds of disjoint moves before communities become the nodes of the next level.
+LEVEL_ROUNDS = 4
+# Rounds without gain after which free moves end, and the share of nodes that move in one.
+PATIENCE, FREE_SHARE = 4, 3
+GAIN = 1e-9
+
+
+def communities(accounts: DataFrame, shared: DataFrame, compared: int = COMPARED) -> DataFrame:
+    """Communities of the projection by modularity (actions in every round).
 
     ``accounts`` lists every account of the graph. Accounts without a shared device stay
-    alone; if no device is shared at all, everyone is in one community. Nodes move in
-    parallel to the neighbouring community that raises modularity most among the leading
-    communities of their devices, half of the nodes per round so that neighbours do not
-    swap; then communities become the nodes of the next level.
+    alone; if no device is shared at all, everyone is in one community.
+
+    Each node weighs the gain of every community it shares a device with. In the coarsening
+    rounds a node moves when its gain is the largest of all moves from or to the two
+    communities; such moves touch no community twice, so their gains add up exactly and every
+    round raises modularity. After LEVEL_ROUNDS rounds, or when nobody wants to move,
+    communities become the nodes of the next level. From the second cycle on, single accounts
+    move freely first, a third of them a round, as long as that helps. Cycles go on until
+    modularity no longer rises; there is no other end. Communities that moves have torn apart
+    are split into their connected parts, which raises modularity again.
+
+    A device with more than ``compared`` communities offers a node its largest one and a share
+    of about ``compared``, dealt out by hash: pairs grow with the members, not their square.
+    The pull of a community that a device does not offer is left out, so gains are never
+    overrated; the pull of the own community is always exact.
     """
     everyone = accounts.select("account_id").distinct()
-    member = settled(
-        shared.select(
-            F.col("account_id").alias("node"), "device_id", F.lit(1).cast("bigint").alias("m"), "accounts"
-        )
+    base = settled(
+        shared.select(F.col("account_id").alias("node"), "device_id", F.lit(1).cast("bigint").alias("m"), "accounts")
     )
-    size = member.count()
+    size = base.count()
     if size == 0:
         return everyone.withColumn("community_id", F.lit(UNDIVIDED))
 
     # A device with n accounts stands for n(n-1) ordered pairs: n-1 for each of them.
-    nodes = settled(member.groupBy("node").agg(F.sum(F.col("accounts") - 1).alias("k")))
-    twice_weight = float(nodes.agg(F.sum("k")).first()[0])
-    member = member.drop("accounts")
-    assigned = nodes.select(F.col("node").alias("account_id"), F.col("node").alias("community_id"))
-    for level in range(levels):
-        if member.groupBy("device_id").count().filter("count > 1").isEmpty():
+    degrees = settled(base.groupBy("node").agg(F.sum(F.col("accounts") - 1).alias("k")))
+    twice_weight = float(degrees.agg(F.sum("k")).first()[0])
+    base = settled(spread_join(base.drop("accounts"), degrees, ["node"], ["device_id"], "inner", rows=size))
+    graph = _Graph(base, size, degrees, twice_weight, compared)
+    labels = degrees.select("node", F.col("node").alias("c"), "k")
+    quality, torn, cycle = graph.modularity(labels), False, 0
+    while True:
+        moved = False
+        if cycle:
+            better, left = graph.free_moves(labels, quality, cycle)
+            if better is not None:
+                labels, torn, moved = better, torn or left, True
+        level, changed = (graph.merged(labels) if cycle else graph), False
+        while True:
+            level_labels, left = level.disjoint_moves()
+            if level_labels is None:
+                break
+            changed, torn = True, torn or left
+            joined = level_labels.select(F.col("node").alias("c"), F.col("c").alias("_c"))
+            labels = settled(
+                spread_join(labels, joined, ["c"], ["node"], "inner", rows=size).select("node", F.col("_c").alias("c"), "k")
+            )
+            level = level.merged(level_labels)
+        if not (moved or changed):
             break
-        labels = _local_moving(member, size, nodes, twice_weight, rounds, level)
-        if labels is None:
+        reached = graph.modularity(labels)
+        if reached < quality + GAIN:
             break
-        assigned = settled(
-            spread_join(
-                assigned, labels.withColumnRenamed("node", "community_id"), ["community_id"], ["account_id"],
-                "inner", rows=size,
-            ).select("account_id", F.col("c").alias("community_id"))
+        quality, cycle = reached, cycle + 1
+    if torn:
+        placed = graph.placed(labels)
+        parts = components(placed.select(F.col("node").alias("account_id"), F.concat_ws("\u0001", "c", "device_id").alias("device_id")))
+        # A node alone on its device within its community is a part too.
+        labels = labels.join(parts.select(F.col("account_id").alias("node"), "component_id"), "node", "left").select(
+            "node", F.coalesce("component_id", "node").alias("c")
         )
-        member = settled(
-            _placed(member, size, labels).groupBy(F.col("c").alias("node"), "device_id").agg(F.sum("m").alias("m"))
-        )
-        nodes = settled(nodes.join(labels, "node").groupBy(F.col("c").alias("node")).agg(F.sum("k").alias("k")))
+    assigned = labels.select(F.col("node").alias("account_id"), F.col("c").alias("community_id"))
     named = assigned.groupBy("community_id").agg(F.min("account_id").alias("_name"))
     inside = spread_join(assigned, named, ["community_id"], ["account_id"], "inner", rows=size).select(
         "account_id", F.col("_name").alias("community_id")
@@ -186,102 +219,105 @@ def communities(
     return inside.unionByName(alone)
 
 
-def _placed(member: DataFrame, size: int, labels: DataFrame) -> DataFrame:
-    """Device memberships with the community of their node."""
-    return spread_join(member, labels.select("node", "c"), ["node"], ["device_id"], "inner", rows=size)
-
-
-def _local_moving(
-    member: DataFrame, size: int, nodes: DataFrame, twice_weight: float, rounds: int, level: int
-) -> DataFrame | None:
-    """Labels (node, c) of the best state met while moving, or None when none beats staying."""
-    labels = nodes.select("node", F.col("node").alias("c"))
-    on_device = member.select("device_id", F.col("node").alias("c"), F.col("m").alias("on_device"))
-    best, best_quality = None, _modularity(on_device, nodes, labels, twice_weight)
-    for turn in range(rounds):
-        moves = settled(_moves(member, size, on_device, nodes, labels, twice_weight, level * 1000 + turn))
-        told = moves.agg(F.count_if("wants").alias("wants"), F.count_if("moved").alias("moved")).first()
-        if told["wants"] == 0:
-            break
-        labels = moves.select("node", "c")
-        on_device = settled(
-            _placed(member, size, labels).groupBy("device_id", "c").agg(F.sum("m").alias("on_device"))
+class _Graph:
+    """Nodes of one level: ``member`` (node, k, device, accounts of it there), degrees in ``nodes``."""
+
+    def __init__(self, member: DataFrame, size: int, nodes: DataFrame, twice_weight: float, compared: int):
+        self.member, self.size, self.nodes = member, size, nodes
+        self.twice_weight, self.compared = twice_weight, compared
+
+    def merged(self, labels: DataFrame) -> _Graph:
+        """The graph whose nodes are the communities."""
+        nodes = settled(labels.groupBy(F.col("c").alias("node")).agg(F.sum("k").alias("k")))
+        member = self.placed(labels).groupBy(F.col("c").alias("node"), "device_id").agg(F.sum("m").alias("m"))
+        member = settled(spread_join(member, nodes, ["node"], ["device_id"], "inner", rows=self.size))
+        return _Graph(member, self.size, nodes, self.twice_weight, self.compared)
+
+    def placed(self, labels: DataFrame) -> DataFrame:
+        """Device memberships with the community of their node."""
+        return spread_join(self.member, labels.select("node", "c"), ["node"], ["device_id"], "inner", rows=self.size)
+
+    def modularity(self, labels: DataFrame) -> float:
+        """Share of the link weight inside communities, less the share expected by degree."""
+        on_device = self.placed(labels).groupBy("device_id", "c").agg(F.sum("m").alias("n"))
+        inside = on_device.select((F.col("n") * (F.col("n") - 1) / F.lit(self.twice_weight)).alias("q"))
+        totals = labels.groupBy("c").agg(F.sum("k").alias("k"))
+        expected = totals.select((-F.pow(F.col("k") / F.lit(self.twice_weight), 2)).alias("q"))
+        return inside.unionByName(expected).agg(F.sum("q")).first()[0]
+
+    def wishes(self, labels: DataFrame, seed: int) -> DataFrame:
+        """(node, c, target, gain, mates) of the nodes that gain by leaving for a community on their devices.
+
+        ``mates`` tells whether others stay behind in the community.
+        """
+        placed = self.placed(labels)
+        on_device = placed.groupBy("device_id", "c").agg(F.sum("m").alias("n"))
+        sizes = on_device.groupBy("device_id").agg(
+            F.ceil(F.count(F.lit(1)) / self.compared).cast("int").alias("shares"),
+            F.max_by(F.struct("c", "n"), F.struct("n", "c")).alias("lead"),
         )
-        quality = _modularity(on_device, nodes, labels, twice_weight)
-        if quality > best_quality:
-            best, best_quality = labels, quality
-    return best
-
-
-def _modularity(on_device: DataFrame, nodes: DataFrame, labels: DataFrame, twice_weight: float) -> float:
-    """Share of the link weight inside communities, less the share expected by degree."""
-    inside = on_device.select(
-        (F.col("on_device") * (F.col("on_device") - 1) / F.lit(twice_weight)).alias("q")
-    )
-    totals = nodes.join(labels, "node").groupBy("c").agg(F.sum("k").alias("k"))
-    expected = totals.select((-F.pow(F.col("k") / F.lit(twice_weight), 2)).alias("q"))
-    return inside.unionByName(expected).agg(F.sum("q")).first()[0]
-
-
-def _moves(
-    member: DataFrame, size: int, on_device: DataFrame, nodes: DataFrame, labels: DataFrame,
-    twice_weight: float, seed: int,
-) -> DataFrame:
-    # The community with the most accounts on each device is what the device proposes.
-    leading = on_device.groupBy("device_id").agg(
-        F.max_by(F.struct("c", "on_device"), F.struct("on_device", "c")).alias("lead")
-    )
-    proposed = (
-        spread_join(member, leading, ["device_id"], ["node"], "inner", member, size)
-        .transform(
-            spread_join, labels.select("node", F.col("c").alias("own")), ["node"], ["device_id"], "inner", member, size
+        offered = spread_join(on_device, sizes, ["device_id"], ["c"], "inner", self.member, self.size)
+        share_of = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.col("shares")).cast("int")
+        offered = offered.withColumn("share", share_of("c"))
+        own = spread_join(placed, offered.drop("n"), ["device_id", "c"], ["node"], "inner", rows=self.size)
+        mates = offered.select("device_id", "share", F.col("c").alias("target"), "n")
+        # The own community is always among them; a node does not pull itself.
+        pull = (F.col("m") * (F.col("n") - F.when(F.col("target") == F.col("c"), F.col("m")).otherwise(0))).alias("pull")
+        near = own.join(mates, ["device_id", "share"]).select("node", "k", "c", "target", pull)
+        leads = own.filter((F.col("shares") > 1) & (share_of("lead.c") != F.col("share"))).select(
+            "node", "k", "c", F.col("lead.c").alias("target"), (F.col("m") * F.col("lead.n")).alias("pull")
         )
-        .filter(F.col("lead.c") != F.col("own"))
-        .groupBy("node", F.col("lead.c").alias("c"))
-        .agg(F.sum(F.col("m") * F.col("lead.on_device")).alias("pull"))
-        .groupBy("node")
-        .agg(F.max_by("c", F.struct("pull", "c")).alias("target"))
-    )
-    totals = nodes.join(labels, "node").groupBy("c").agg(F.sum("k").alias("total"))
-    choice = settled(
-        labels.withColumnRenamed("c", "own").join(nodes, "node").join(proposed, "node")
-    )
-
-    # Exact link weights to the own and the target community, both in one pass: a choice is
-    # looked up per membership, then the two communities are counted on that device.
-    asked = spread_join(member, choice.select("node", "own", "target"), ["node"], ["device_id"], "inner", member, size)
-    sides = asked.select(
-        "node", "device_id", "m", F.explode(F.array(
-            F.struct(F.col("own").alias("c"), F.lit(False).alias("is_target")),
-            F.struct(F.col("target").alias("c"), F.lit(True).alias("is_target")),
-        )).alias("_s"),
-    ).select("node", "device_id", "m", "_s.*")
-    counted = spread_join(sides, on_device, ["device_id", "c"], ["node"], "inner", rows=2 * size)
-    weights = counted.groupBy("node").agg(
-        F.coalesce(F.sum(F.when(F.col("is_target"), F.col("m") * F.col("on_device"))), F.lit(0)).alias("w_target"),
-        # The node itself is part of its own community's count.
-        F.sum(F.when(~F.col("is_target"), F.col("m") * (F.col("on_device") - F.col("m")))).alias("w_own"),
-    )
-
-    def total_of(side: str) -> DataFrame:
-        return totals.select(F.col("c").alias(side), F.col("total").alias(f"t_{side}"))
-
-    rated = (
-        choice.join(weights, "node")
-        .transform(spread_join, total_of("own"), ["own"], ["node"], "inner", choice, size)
-        .transform(spread_join, total_of("target"), ["target"], ["node"], "inner", choice, size)
-    )
-    gain = (F.col("w_target") - F.col("w_own")) - F.col("k") * (
-        F.col("t_target") - (F.col("t_own") - F.col("k"))
-    ) / F.lit(twice_weight)
-    active = F.pmod(F.xxhash64("node", F.lit(seed // 2)) + F.lit(seed % 2), F.lit(2)) == 0
-    eager = rated.filter(gain > 1e-9).select(
-        "node", F.when(active, F.col("target")).alias("_to"), F.lit(True).alias("wants")
-    )
-    return labels.join(eager, "node", "left").select(
-        "node", F.coalesce("_to", "c").alias("c"),
-        F.coalesce("wants", F.lit(False)).alias("wants"), F.col("_to").isNotNull().alias("moved"),
-    )
+        pulls = near.unionByName(leads).groupBy("node", "k", "c", "target").agg(F.sum("pull").alias("pull"))
+        totals = labels.groupBy(F.col("c").alias("target")).agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("nodes"))
+        rated = spread_join(pulls, totals, ["target"], ["node"], "inner", rows=self.size)
+        stays = F.col("target") == F.col("c")
+        others = F.col("total") - F.when(stays, F.col("k")).otherwise(0)
+        value = F.col("pull") - F.col("k") * others / F.lit(self.twice_weight)
+        best = rated.withColumn("v", value).groupBy("node", "c").agg(
+            F.max(F.when(~stays, F.struct("v", "target"))).alias("best"),
+            F.max(F.when(stays, F.col("v"))).alias("kept"),
+            F.max(F.when(stays, F.col("nodes") > 1)).alias("mates"),
+        )
+        return best.select(
+            "node", "c", F.col("best.target").alias("target"), (F.col("best.v") - F.col("kept")).alias("gain"), "mates",
+        ).filter(F.col("gain") > GAIN)
+
+    def disjoint_moves(self) -> tuple[DataFrame | None, bool]:
+        """Labels after up to LEVEL_ROUNDS rounds, None when nobody wants to move, and whether
+        a community was left by some of its nodes."""
+        labels, changed, torn = self.nodes.select("node", F.col("node").alias("c"), "k"), False, False
+        for turn in range(LEVEL_ROUNDS):
+            wishes = settled(self.wishes(labels, turn))
+            order = F.struct("gain", F.xxhash64("node"), "node")
+            sides = wishes.select("node", F.explode(F.array("c", "target")).alias("side"), order.alias("o"))
+            first = sides.groupBy("side").agg(F.max("o").alias("o")).select(F.col("o.node").alias("node"))
+            both = first.groupBy("node").count().filter("count = 2").select("node")
+            moves = wishes.join(both, "node", "left_semi").select("node", "target", "mates")
+            moved = settled(labels.join(moves, "node", "left").select("node", F.coalesce("target", "c").alias("c"), "k", "mates"))
+            told = moved.agg(F.count("mates").alias("n"), F.max("mates").alias("torn")).first()
+            if not told["n"]:
+                break
+            changed, torn = True, torn or told["torn"]
+            labels = moved.select("node", "c", "k")
+        return (labels, torn) if changed else (None, False)
+
+    def free_moves(self, labels: DataFrame, quality: float, cycle: int) -> tuple[DataFrame | None, bool]:
+        """The best labels met while shares of the nodes move at once, None when none is better."""
+        best, stale, turn = None, 0, 0
+        while stale < PATIENCE:
+            turn += 1
+            wishes = settled(self.wishes(labels, turn))
+            if wishes.isEmpty():
+                break
+            active = F.pmod(F.xxhash64("node", F.lit(cycle * 1000 + turn)), F.lit(FREE_SHARE)) == 0
+            moves = wishes.filter(active).select("node", "target")
+            labels = settled(labels.join(moves, "node", "left").select("node", F.coalesce("target", "c").alias("c"), "k"))
+            reached = self.modularity(labels)
+            if reached > quality + GAIN:
+                best, quality, stale = labels, reached, 0
+            else:
+                stale += 1
+        return best, best is not None
 
 
 def community_features(assigned: DataFrame, txn: DataFrame, label_cutoff=None) -> DataFrame:

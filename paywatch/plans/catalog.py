@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -265,37 +266,49 @@ def components(spark, sf):
     return community.components(_shared(spark, sf))
 
 
-def _component_ids(spark, sf):
-    """Every account with its component; accounts without a shared device stand alone."""
-    accounts = data.transactions(spark, sf).select(F.col("account_id").cast("string").alias("account_id")).distinct()
-    found = community.components(_shared(spark, sf))
-    return accounts.join(found, "account_id", "left").select(
-        "account_id", F.coalesce("component_id", "account_id").alias("community_id")
-    )
+def _communities(spark, sf):
+    edges = graph.edges(data.transactions(spark, sf))
+    return community.communities(graph.node_features(edges), community.incidence(edges))
 
 
 @query
 def communities(spark, sf):
-    edges = graph.edges(data.transactions(spark, sf))
-    return community.communities(graph.node_features(edges), community.incidence(edges))
+    return _communities(spark, sf)
+
+
+@query
+def communities_of_ring(spark, sf):
+    """Customers in about as many groups as a group has members; each group shares a device and
+    its first member another one with the first member of the next group: one component."""
+    customers = data.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    groups = F.lit(max(math.isqrt(customers.count()), 1))
+    ring = customers.withColumn("g", F.pmod("id", groups))
+    heads = ring.groupBy("g").agg(F.min("id").alias("id"))
+    device = lambda kind, g: F.concat(F.lit(kind), g.cast("string")).alias("dst")
+    uses = ring.select("id", device("group ", F.col("g"))).unionByName(
+        heads.select("id", F.explode(F.array("g", F.pmod(F.col("g") + 1, groups))).alias("g")).select("id", device("bridge ", F.col("g")))
+    )
+    table = uses.select(F.col("id").cast("string").alias("src"), "dst", F.lit("account_device").alias("edge_type"))
+    accounts = customers.select(F.col("id").cast("string").alias("account_id"))
+    return community.communities(accounts, community.incidence(table))
 
 
 @query
 def community_features(spark, sf):
-    rated = community.community_features(_component_ids(spark, sf), data.transactions(spark, sf))
+    rated = community.community_features(_communities(spark, sf), data.transactions(spark, sf))
     return rounded(rated, "community_fraud_rate")
 
 
 @query
 def community_summary(spark, sf):
-    rated = community.community_features(_component_ids(spark, sf), data.transactions(spark, sf))
+    rated = community.community_features(_communities(spark, sf), data.transactions(spark, sf))
     return rounded(community.community_summary(rated), "avg_community_size", "avg_community_fraud_rate")
 
 
 @query
 def graph_features(spark, sf):
     txn = data.transactions(spark, sf)
-    rated = community.community_features(_component_ids(spark, sf), txn)
+    rated = community.community_features(_communities(spark, sf), txn)
     table = graph.graph_features(graph.node_features(graph.edges(txn)), rated)
     return rounded(table, "community_fraud_rate", "graph_risk_score")
 
@@ -788,7 +801,7 @@ def case_list(spark, sf):
 @query
 def account_card(spark, sf):
     txn = data.transactions(spark, sf)
-    rated = community.community_features(_component_ids(spark, sf), txn)
+    rated = community.community_features(_communities(spark, sf), txn)
     table = graph.graph_features(graph.node_features(graph.edges(txn)), rated)
     card = investigate.account_card(txn, txn, graph.topology_flags(txn, **NEAR), table)
     kept = card.select(

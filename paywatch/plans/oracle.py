@@ -611,6 +611,9 @@ _SQL: dict[str, str] = {
   community_size, half_up(community_fraud_rate, 6) AS community_fraud_rate FROM rated""",
     # Accounts that share a device here form cliques, where communities and components agree.
     "communities": with_(TXN, EDGES, PAIRS, REACH, recursive=True) + "SELECT account_id, community_id FROM placed",
+    "communities_of_ring": """SELECT CAST(c_custkey AS VARCHAR) AS account_id,
+  min(CAST(c_custkey AS VARCHAR)) OVER (PARTITION BY c_custkey % (SELECT floor(sqrt(count(*)))::BIGINT FROM customer)) AS community_id
+  FROM customer""",
     "community_summary": with_(TXN, EDGES, PAIRS, REACH, recursive=True) + """SELECT count(DISTINCT community_id) AS communities,
   half_up(avg(community_size), 6) AS avg_community_size, half_up(avg(community_fraud_rate), 6) AS avg_community_fraud_rate
   FROM rated""",

@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,3 +213,33 @@ def test_similar_cases_tell_third_places_apart(spark):
     )
     rows = investigate.similar_cases(asked, cases).orderBy("rank").collect()
     assert [r.case_id for r in rows] == ["C3", "C2", "C1"]
+
+
+# The friendships of a karate club (Zachary 1977), the usual yardstick for communities.
+CLUB = """1-2 1-3 2-3 1-4 2-4 3-4 1-5 1-6 1-7 5-7 6-7 1-8 2-8 3-8 4-8 1-9 3-9 3-10 1-11 5-11 6-11 1-12 1-13 4-13 1-14
+2-14 3-14 4-14 6-17 7-17 1-18 2-18 1-20 2-20 1-22 2-22 24-26 25-26 3-28 24-28 25-28 3-29 24-30 27-30 2-31 9-31 1-32
+25-32 26-32 29-32 3-33 9-33 15-33 16-33 19-33 21-33 23-33 24-33 30-33 31-33 32-33 9-34 10-34 14-34 15-34 16-34 19-34
+20-34 21-34 23-34 24-34 27-34 28-34 29-34 30-34 31-34 32-34 33-34"""
+
+
+def test_communities_of_the_club(spark):
+    links = [tuple(pair.split("-")) for pair in CLUB.split()]
+    rows = [(a, f"d{i}", 2) for i, link in enumerate(links) for a in link]
+    shared = spark.createDataFrame(rows, "account_id string, device_id string, accounts long")
+    of = {r.account_id: r.community_id for r in community.communities(shared.select("account_id"), shared, compared=5).collect()}
+    degree = Counter(a for link in links for a in link)
+    total = Counter()
+    for account, k in degree.items():
+        total[of[account]] += k
+    twice = 2 * len(links)
+    inside = sum(2 for a, b in links if of[a] == of[b])
+    assert inside / twice - sum((t / twice) ** 2 for t in total.values()) >= 0.41
+    # Every community hangs together.
+    for name in set(of.values()):
+        members = {a for a in of if of[a] == name}
+        reached, todo = set(), [name]
+        while todo:
+            a = todo.pop()
+            reached.add(a)
+            todo += [y for x, y in [*links, *((b, a) for a, b in links)] if x == a and y in members - reached]
+        assert reached == members
