@@ -52,7 +52,7 @@ def structuring(
         txn.filter(F.col("amount").between(lo, hi) & F.col("beneficiary_id").isNotNull())
     )
     per_second = near.groupBy(*keys, "ts_epoch").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("amount").cast(MONEY)).alias("total")
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("amount").try_cast(MONEY)).alias("total")
     )
     points = timeline.window_points(per_second, keys, "ts_epoch", {
         "near_threshold_txns": ("n", -days * DAY, 0),
@@ -120,7 +120,7 @@ def forwarded(txn: DataFrame, within: int = DAY) -> DataFrame:
     moves = settled(_transfers(txn), "transfers")
     key = ["account_id"]
     sent = moves.groupBy("account_id", "ts_epoch").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("amount").cast(MONEY)).alias("total")
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("amount").try_cast(MONEY)).alias("total")
     )
     received = moves.select(F.col("beneficiary_id").alias("account_id"), "ts_epoch").distinct()
     points = timeline.window_points(sent, key, "ts_epoch", {

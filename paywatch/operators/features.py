@@ -34,8 +34,10 @@ def rolling_features(df: DataFrame, method: str = "auto", hot_rows: int = HOT_RO
     linear (action: settles its per-second tables). ``auto`` measures account sizes (one narrow aggregate job) and sends only the
     accounts above ``hot_rows`` through the sweep.
 
-    All three give the same rows. A row without account or time counts only itself, a null
-    amount adds nothing to sums and is no part of a mean.
+    All three give the same rows: money is added up as exact decimals with ten places in
+    every form. A row without account or time counts only itself. An amount that is null, no
+    number, or too large for the money type adds nothing to sums and is no part of a mean or
+    maximum.
     """
     keyed = _keyed(df)
     if method == "window":
@@ -60,7 +62,8 @@ def _keyed(df: DataFrame) -> DataFrame:
         "_account": F.coalesce(F.col("account_id").cast("string"), F.lit("")),
         "_alone": F.when(alone, F.coalesce(F.col("txn_id").cast("string"), F.lit("?"))).otherwise(""),
         "ts_epoch": F.coalesce("ts_epoch", F.lit(0)),
-    })
+        "_money": F.col("amount").try_cast(MONEY),
+    }).withColumn("_amount", F.when(F.col("_money").isNotNull(), F.col("amount")))
 
 
 def velocity(df: DataFrame, method: str = "auto") -> DataFrame:
@@ -106,10 +109,10 @@ def _by_window(keyed: DataFrame, carried: list[str]) -> DataFrame:
         "txn_count_1h": F.count("txn_id").over(trailing(HOUR)),
         "txn_count_24h": F.count("txn_id").over(trailing(DAY)),
         "txn_count_7d": F.count("txn_id").over(trailing(7 * DAY)),
-        "amount_sum_1h": F.sum("amount").over(trailing(HOUR)),
-        "amount_sum_24h": F.sum("amount").over(trailing(DAY)),
-        "_avg_30d": F.avg("amount").over(past_month),
-        "_max_30d": F.max("amount").over(past_month),
+        "amount_sum_1h": F.sum("_money").over(trailing(HOUR)).cast("double"),
+        "amount_sum_24h": F.sum("_money").over(trailing(DAY)).cast("double"),
+        "_avg_30d": F.sum("_money").over(past_month).cast("double") / F.nullif(F.count("_money").over(past_month), F.lit(0)),
+        "_max_30d": F.max("_amount").over(past_month),
         "_before": F.lag("ts_epoch").over(in_order),
     }
     for column, (name, seconds) in DISTINCT_WINDOWS.items():
@@ -127,9 +130,9 @@ def _by_sweep(rows: DataFrame, carried: list[str]) -> DataFrame:
     # Tables with one row per key and second, each read by several of the steps below.
     per_second = settled(rows.groupBy(*at).agg(
         F.count("txn_id").alias("n"),
-        F.count("amount").alias("amounts"),
-        F.coalesce(F.sum(F.col("amount").cast(MONEY)), F.lit(0).cast(MONEY)).alias("total"),
-        F.max("amount").alias("amount"),
+        F.count("_money").alias("amounts"),
+        F.coalesce(F.sum("_money"), F.lit(0)).cast("decimal(38,10)").alias("total"),
+        F.max("_amount").alias("amount"),
         F.min("txn_id").alias("_first_txn"),
     ), "per-second")
     points = [

@@ -1,91 +1,124 @@
 """Velocity features over a stream, equal to the batch form for rows within the delay.
 
-Each micro-batch is joined with the last seven days of per-second totals and goes through
-the same block-wise sweep as the batch operator, so a busy account is split over time
-instead of living in one state entry. The totals are a table in the shared folder, kept
-in two slots that micro-batches write in turn: a replayed micro-batch finds the slot of
-the one before untouched and writes its own again.
+State is keyed by account: the per-second counts and exact sums of its last week. A
+micro-batch reads and writes the state of the accounts it holds and of no other. An entry
+is bounded by the seconds of a week, however busy the account; it goes when the account has
+been silent for as long. Restarts, replays and the output are Spark's: state store, log and
+file sink commit together.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+from decimal import Context, Decimal
+from itertools import accumulate
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from paywatch.functions import timeline
-from paywatch.functions.keys import spread_join
 from paywatch.functions.timeline import MONEY
 from paywatch.runtime import scratch_path
 from paywatch.schemas import DAY, HOUR
 
 WEEK = 7 * DAY
-STATE = "account_id {id}, ts_epoch bigint, n bigint, total decimal(38,10)"
+STATE = "seconds array<long>, counts array<long>, totals array<decimal(38,10)>"
+COUNTS = {"txn_count_1h": HOUR, "txn_count_24h": DAY, "txn_count_7d": WEEK}
+SUMS = {"amount_sum_1h": HOUR, "amount_sum_24h": DAY}
+EXACT = Context(prec=60)
+
+
+def merged_seconds(state: tuple, seconds: np.ndarray, amounts: list[Decimal | None]) -> tuple[list, list, list]:
+    """The state's seconds with the rows of a micro-batch added."""
+    known = {s: [n, t] for s, n, t in zip(*state)}
+    for second, amount in zip(seconds.tolist(), amounts):
+        entry = known.setdefault(second, [0, Decimal(0)])
+        entry[0] += 1
+        if amount is not None:
+            entry[1] = EXACT.add(entry[1], amount)
+    order = sorted(known)
+    return order, [known[s][0] for s in order], [known[s][1] for s in order]
+
+
+def trailing(order: list[int], values: list, seconds: np.ndarray, width: int) -> list:
+    """Sum of the values in [t - width, t] for each t."""
+    upto = list(accumulate(values, EXACT.add if values and isinstance(values[0], Decimal) else None, initial=values[0] * 0 if values else 0))
+    last, first = np.searchsorted(order, seconds, "right"), np.searchsorted(order, seconds - width, "left")
+    minus = EXACT.subtract if values and isinstance(values[0], Decimal) else int.__sub__
+    return [minus(upto[b], upto[a]) for a, b in zip(first, last)]
 
 
 class VelocityJob:
     """Sliding counts and sums per account over micro-batches.
 
-    ``delay`` is how many seconds behind the newest event a row may be. Later rows are
-    dropped, as after a watermark. A row counts the events that arrived up to its own
-    micro-batch.
+    ``delay`` is how many seconds behind the newest event of earlier micro-batches a row may
+    be. Later rows are dropped, as the watermark says. A row counts the events that arrived up
+    to its own micro-batch. A row without account or time counts itself alone.
     """
 
     def __init__(self, folder: str, delay: int = HOUR):
         self.folder = folder.rstrip("/")
         self.delay = delay
 
-    def _state(self, batch_id: int) -> str:
-        return f"{self.folder}/state/slot{batch_id % 2}"
-
-    def _newest(self, batch_id: int) -> str:
-        return f"{self.folder}/newest/slot{batch_id % 2}"
-
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        kind = batch.schema["account_id"].dataType.simpleString()
-        if batch_id > 0:
-            before = spark.read.schema(STATE.format(id=kind)).parquet(self._state(batch_id - 1))
-            newest = spark.read.parquet(self._newest(batch_id - 1)).first()["newest"]
-        else:
-            before = spark.createDataFrame([], STATE.format(id=kind))
-            newest = None
-        rows = timeline.with_epoch(batch)
-        if newest is not None:
-            rows = rows.filter(F.col("ts_epoch") >= newest - self.delay)
-        per_second = rows.groupBy("account_id", "ts_epoch").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.col("amount").cast(MONEY)).cast("decimal(38,10)").alias("total")
-        )
-        known = before.unionByName(per_second).groupBy("account_id", "ts_epoch").agg(
-            F.sum("n").alias("n"), F.sum("total").cast("decimal(38,10)").alias("total")
+    def features(self, stream: DataFrame) -> DataFrame:
+        """The stream's rows with their velocity columns; it needs account_id, amount and timestamp."""
+        delay, columns = self.delay, stream.columns
+        # Whole values pass through Python as text: a null would turn numbers into floats.
+        rows = timeline.with_epoch(stream.withWatermark("timestamp", f"{delay} seconds")).select(
+            F.col("account_id").alias("_key"), "timestamp", F.coalesce("ts_epoch", F.lit(-1)).alias("_second"),
+            F.col("amount").try_cast(MONEY).cast("string").alias("_amount"), *[F.col(c).cast("string").alias(f"_of_{c}") for c in columns],
         )
-        points = timeline.window_points(known, ["account_id"], "ts_epoch", {
-            "txn_count_1h": ("n", -HOUR, 0), "txn_count_24h": ("n", -DAY, 0), "txn_count_7d": ("n", -WEEK, 0),
-            "amount_sum_1h": ("total", -HOUR, 0), "amount_sum_24h": ("total", -DAY, 0),
-        })
-        asked = rows.select("account_id", "ts_epoch").distinct()
-        totals = timeline.sweep([points], asked, ["account_id"], "ts_epoch").drop("previous")
-        out = spread_join(rows, totals, ["account_id", "ts_epoch"], ["txn_id"], "inner").withColumns({
-            c: F.col(c).cast("double") for c in ("amount_sum_1h", "amount_sum_24h")
-        })
-        out.select(*batch.columns, *[c for c in totals.columns if c not in ("account_id", "ts_epoch")]).write.mode(
-            "overwrite"
-        ).parquet(f"{self.folder}/out/v={batch_id}")
-
-        latest = rows.agg(F.max("ts_epoch")).first()[0]
-        latest = max(x for x in (latest, newest, 0) if x is not None)
-        kept = known.filter(F.col("ts_epoch") >= latest - WEEK - self.delay)
-        kept.write.mode("overwrite").parquet(self._state(batch_id))
-        spark.createDataFrame([(latest,)], "newest bigint").write.mode("overwrite").parquet(self._newest(batch_id))
-
-    def run(self, stream: DataFrame, available_now: bool = True):
-        """Start the job on a stream with txn_id, account_id, amount and timestamp."""
-        writer = stream.writeStream.foreachBatch(self.process).option(
-            "checkpointLocation", f"{self.folder}/log"
+
+        def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            if state.hasTimedOut:
+                state.remove()
+                return
+            batch = pd.concat(list(parts), ignore_index=True)
+            out = batch[[f"_of_{c}" for c in columns]].copy()
+            seconds = batch["_second"].to_numpy(np.int64)
+            amounts = [None if a is None else Decimal(a) for a in batch["_amount"]]
+            if key[0] is None or pd.isna(key[0]):
+                for name in COUNTS:
+                    out[name] = 1
+                for name in SUMS:
+                    out[name] = [float(a or 0) for a in amounts]
+                yield out
+                return
+            order, counts, totals = merged_seconds(state.get if state.exists else ([], [], []), seconds, amounts)
+            # No row that is still to come reaches back further.
+            old = bisect_left(order, max(order[-1], state.getCurrentWatermarkMs() // 1000 + delay) - WEEK - delay)
+            if old < len(order):
+                state.update((order[old:], counts[old:], totals[old:]))
+                gone = (order[-1] + WEEK + delay + 1) * 1000
+                state.setTimeoutTimestamp(max(gone, state.getCurrentWatermarkMs() + 1))
+            for name, width in COUNTS.items():
+                out[name] = trailing(order, counts, seconds, width)
+            for name, width in SUMS.items():
+                out[name] = [float(t) for t in trailing(order, totals, seconds, width)]
+            yield out
+
+        carried = ", ".join(f"`_of_{c}` string" for c in columns)
+        added = ", ".join([f"{n} long" for n in COUNTS] + [f"{n} double" for n in SUMS])
+        found = rows.groupBy("_key").applyInPandasWithState(
+            step, f"{carried}, {added}", STATE, "append", GroupStateTimeout.EventTimeTimeout
         )
-        return (writer.trigger(availableNow=True) if available_now else writer).start()
+        return found.select(*[F.col(f"_of_{c}").cast(stream.schema[c].dataType).alias(c) for c in columns], *COUNTS, *SUMS)
+
+    def run(self, stream: DataFrame, available_now: bool = True) -> StreamingQuery:
+        """Start the job on a stream with account_id, amount and timestamp."""
+        found = self.features(stream)
+        self.schema: StructType = found.schema
+        writer = found.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{self.folder}/log")
+        return (writer.trigger(availableNow=True) if available_now else writer).start(f"{self.folder}/out")
 
     def result(self, spark) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/out").drop("v")
+        return spark.read.schema(self.schema).parquet(f"{self.folder}/out")
 
 
 def drained_velocity(stream: DataFrame, delay: int = HOUR) -> DataFrame:

@@ -41,24 +41,50 @@ def test_velocity_over_micro_batches_equals_batch(spark, sf_dir, tmp_path):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
-def test_replayed_batch_writes_the_same(spark, make_txn, tmp_path):
-    rows = [{"at": i * 600, "amount": float(i)} for i in range(12)]
-    txn = make_txn(rows).select("txn_id", "account_id", "amount", "timestamp")
-    first, second = txn.filter("txn_id < 6"), txn.filter("txn_id >= 6")
-    job = VelocityJob(str(tmp_path))
-    job.process(first, 0)
-    job.process(second, 1)
-    before = sorted(job.result(spark).collect())
-    job.process(second, 1)
-    assert sorted(job.result(spark).collect()) == before
-
-
-def test_late_rows_are_dropped(spark, make_txn, tmp_path):
-    txn = make_txn([{"at": 100_000}, {"at": 10}, {"at": 99_000}]).select("txn_id", "account_id", "amount", "timestamp")
-    job = VelocityJob(str(tmp_path), delay=3600)
-    job.process(txn.filter("txn_id = 0"), 0)
-    job.process(txn.filter("txn_id > 0"), 1)
-    assert sorted(r.txn_id for r in job.result(spark).collect()) == [0, 2]
+def add_file(txn, folder):
+    txn.select("txn_id", "account_id", "amount", "timestamp").coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def test_restarted_job_goes_on_from_its_state(spark, make_txn, tmp_path):
+    txn = make_txn([{"at": i * 600, "amount": 0.1 * i, "account_id": f"A{i % 2}"} for i in range(12)])
+    add_file(txn.filter("txn_id < 6"), tmp_path / "in")
+    VelocityJob(str(tmp_path / "job")).run(stream_of(spark, tmp_path / "in")).awaitTermination()
+    add_file(txn.filter("txn_id >= 6"), tmp_path / "in")
+    job = VelocityJob(str(tmp_path / "job"))
+    job.run(stream_of(spark, tmp_path / "in")).awaitTermination()
+    want = features.rolling_features(txn).select("txn_id", *COLUMNS)
+    assert sorted(job.result(spark).select("txn_id", *COLUMNS).collect()) == sorted(want.collect())
+
+
+def test_only_accounts_of_a_batch_are_touched(spark, make_txn, tmp_path):
+    txn = make_txn([{"at": i, "account_id": f"A{i}"} for i in range(40)] + [{"at": 100, "account_id": "A3"}])
+    add_file(txn.filter("txn_id < 40"), tmp_path / "in")
+    add_file(txn.filter("txn_id = 40"), tmp_path / "in")
+    query = VelocityJob(str(tmp_path / "job")).run(stream_of(spark, tmp_path / "in"))
+    query.awaitTermination()
+    told = [p.stateOperators[0] for p in query.recentProgress if p.numInputRows]
+    assert [(t.numRowsUpdated, t.numRowsTotal) for t in told] == [(40, 40), (1, 40)]
+
+
+def test_late_rows_are_dropped_and_old_state_goes(spark, make_txn, tmp_path):
+    month = 30 * 86400
+    txn = make_txn([{"at": 100_000}, {"at": 99_000}, {"at": month, "account_id": "B"}, {"at": 10}, {"at": month + 5}])
+    for i in range(5):
+        add_file(txn.filter(F.col("txn_id") == i), tmp_path / "in")
+    job = VelocityJob(str(tmp_path / "job"), delay=3600)
+    query = job.run(stream_of(spark, tmp_path / "in"))
+    query.awaitTermination()
+    assert sorted((r.txn_id, r.txn_count_1h) for r in job.result(spark).collect()) == [(0, 1), (1, 1), (2, 1), (4, 1)]
+    assert sum(p.stateOperators[0].numRowsRemoved for p in query.recentProgress) == 1
+
+
+def test_rows_without_account_or_amount(spark, make_txn, tmp_path):
+    txn = make_txn([{"account_id": None}, {"account_id": None, "at": 1}, {"at": 2, "amount": None}, {"at": 3, "amount": float("nan")}, {"at": 4}])
+    add_file(txn, tmp_path / "in")
+    job = VelocityJob(str(tmp_path / "job"))
+    job.run(stream_of(spark, tmp_path / "in")).awaitTermination()
+    got = {r.txn_id: (r.txn_count_1h, r.amount_sum_1h) for r in job.result(spark).collect()}
+    assert got == {0: (1, 100.0), 1: (1, 100.0), 2: (1, 0.0), 3: (2, 0.0), 4: (3, 100.0)}
 
 
 def test_json_events(spark, tmp_path):
