@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paywatch.functions.keys import only, spread_join
+from paywatch.functions.keys import only, spread_join, unique_by
 from paywatch.functions.numbers import settle
+from paywatch.functions.ordered import running_totals
 from paywatch.functions.topk import top_k
 from paywatch.operators.features import risk_tier
 from paywatch.operators.graph import EDGE_TYPES
+from paywatch.runtime import settled
 from paywatch.schemas import ACTIONS, REASON_CODES
 
 # --- fixed values: caps and confidences of the lookups ---
@@ -350,74 +348,70 @@ def watchlist_edges(screened: DataFrame, entity_type: str, matched_at: Column) -
     )
 
 
-# Distinct case vectors compared at a time; more are handled in further passes.
-LIBRARY_ROWS = 20_000
-QUERY_ROWS = 512
+CASE_FIELDS = ["recommended_action", "confidence", "reason_codes", "summary"]
 
 
-def case_vector(score: str, codes: str) -> Column:
-    """Score followed by one 0/1 entry per known reason code."""
-    known = [F.when(F.array_contains(codes, c), 1.0).otherwise(0.0) for c in REASON_CODES]
-    return F.array(F.coalesce(F.col(score).cast("double"), F.lit(0.5)), *known)
+def _code_set(codes: str) -> Column:
+    """The known reason codes as bits of a number."""
+    bits = [F.when(F.array_contains(codes, c), F.lit(1 << i)).otherwise(0) for i, c in enumerate(REASON_CODES)]
+    return sum(bits[1:], bits[0])
 
 
-def similar_cases(
-    queries: DataFrame, cases: DataFrame, k: int = 3, library_rows: int = LIBRARY_ROWS
-) -> DataFrame:
-    """The ``k`` cases closest by cosine to each query (query_id, txn_risk_score, reason_codes).
+def similar_cases(queries: DataFrame, cases: DataFrame, k: int = 3) -> DataFrame:
+    """The ``k`` cases closest by cosine to each query (query_id, txn_risk_score, reason_codes) (actions).
 
-    Cases with equal vectors are interchangeable, so a vector keeps its first ``k`` ids.
-    Confidences are compared as they are. The vectors are compared in slices of at most about ``library_rows`` rows, each query keeping
-    ``k`` per slice (one action counts them). Similarity is 0 for an all-zero vector.
+    A case is its confidence followed by one 0/1 entry per known reason code. Among the cases
+    with the same codes the cosine rises with the confidence up to one point, which follows
+    from the query, and falls beyond. So the cases are ordered by (codes, confidence) once,
+    each query's point is merged into that order, and only the k vectors below and above it are
+    compared, for each of the at most 2^14 sets of codes in use. The order is range-partitioned;
+    nothing is compared all against all. Equal vectors keep their first k ids, equal queries
+    are looked up once. Ties go to the smaller id. Similarity is 0 for an all-zero vector. Of
+    repeated case ids the one with the lowest confidence stands. The fields of a case that
+    ``cases`` has come along.
     """
-    vectors = cases.select("case_id", case_vector("confidence", "reason_codes").alias("vector"))
-    library = top_k(vectors, ["vector"], [F.col("case_id")], k, ["case_id"])
-    slices = max(1, -(-library.count() // library_rows))
-    asked = queries.select("query_id", case_vector("txn_risk_score", "reason_codes").alias("vector"))
-    matches = None
-    for part in range(slices):
-        share = library.filter(F.pmod(F.xxhash64("case_id"), F.lit(slices)) == part)
-        found = _closest(asked, share, k)
-        matches = found if matches is None else matches.unionByName(found)
-    order = [F.col("similarity").desc(), F.col("case_id")]
-    return top_k(matches, ["query_id"], order, k, ["case_id"], spread=1, rank="rank").withColumn(
-        "similarity", settle("similarity", 4)
+    fields = [c for c in CASE_FIELDS if c in cases.columns]
+    known = settled(unique_by(
+        cases.select("case_id", F.coalesce(F.col("confidence").cast("double"), F.lit(0.5)).alias("_s"), _code_set("reason_codes").alias("_codes"), *fields),
+        ["case_id"], [F.col("_s"), F.col("_codes")],
+    ), "cases")
+    # Without codes only the sign of the confidence counts.
+    flat = F.when(F.col("_codes") == 0, F.signum("_s")).otherwise(F.col("_s")).alias("_s")
+    few = top_k(known.select("case_id", "_codes", flat), ["_codes", "_s"], [F.col("case_id")], k, ["case_id"])
+    vectors = settled(few.groupBy("_codes", "_s").agg(F.collect_list("case_id").alias("ids")), "vectors")
+    sets = [r["_codes"] for r in vectors.select("_codes").distinct().collect()]  # at most 2^14
+
+    asked = settled(queries.select(
+        "query_id", F.coalesce(F.col("txn_risk_score").cast("double"), F.lit(0.5)).alias("_q"), _code_set("reason_codes").alias("_asked"),
+    ), "asked")
+    shared, size = F.bit_count(F.col("_asked").bitwiseAND(F.col("_codes"))), F.bit_count("_codes")
+    points = asked.select("_q", "_asked").distinct().withColumn("_codes", F.explode(F.lit(sets).cast("array<int>")))
+    points = points.withColumns({"_o": shared, "_b": size}).withColumn("_s", (
+        F.when(F.col("_o") > 0, F.col("_q") * F.col("_b") / F.col("_o"))
+        .when(F.col("_q") > 0, float("inf")).when(F.col("_q") < 0, float("-inf")).otherwise(0.0)
+    ))
+    one, none = F.lit(1).cast("long").alias("_one"), F.lit(0).cast("long").alias("_one")
+    merged = vectors.select("_codes", "_s", "ids", one).unionByName(
+        points.select("_codes", "_s", "_q", "_asked", "_o", "_b", none), allowMissingColumns=True
     )
-
-
-def _closest(asked: DataFrame, share: DataFrame, k: int) -> DataFrame:
-    rows = share.orderBy("case_id").toPandas()
-    ids = rows["case_id"].to_numpy()
-    width = len(REASON_CODES) + 1
-    points = np.array(rows["vector"].tolist(), dtype=float).reshape(len(ids), width)
-    points = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300)
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for start in range(0, len(batch), QUERY_ROWS):
-                part = batch.iloc[start:start + QUERY_ROWS]
-                q = np.array(part["vector"].tolist(), dtype=float).reshape(len(part), width)
-                q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-                close = np.round(q @ points.T, 9)
-                found = min(k, len(ids))
-                least = np.partition(close, -found, axis=1)[:, -found]
-                for row, floor in enumerate(least):
-                    # The library is in id order, so a stable sort breaks ties by id.
-                    fit = np.flatnonzero(close[row] >= floor)
-                    best = fit[np.argsort(-close[row, fit], kind="stable")[:found]]
-                    out.append((part["query_id"].iloc[row], best, close[row, best]))
-            yield pd.DataFrame({
-                "query_id": np.repeat([o[0] for o in out], [len(o[1]) for o in out]),
-                "case_id": ids[np.concatenate([o[1] for o in out])] if out else ids[:0],
-                "similarity": np.concatenate([o[2] for o in out]) if out else np.zeros(0),
-            })
-
-    kinds = {f.name: f.dataType.simpleString() for f in asked.schema} | {
-        f.name: f.dataType.simpleString() for f in share.schema if f.name == "case_id"
-    }
-    return asked.mapInPandas(
-        match, f"query_id {kinds['query_id']}, case_id {kinds['case_id']}, similarity double"
+    # At the same place a vector stands before a point, so it is among those below.
+    placed = settled(running_totals(merged, [F.col("_codes"), F.col("_s"), F.desc("_one")], {"_place": "_one"}), "merged-cases")
+    library = placed.filter("_one = 1").select("_codes", F.col("_s").alias("_c"), "ids", "_place")
+    around = F.explode(F.sequence(F.col("_place") - (k - 1), F.col("_place") + k)).alias("_place")
+    near = placed.filter("_one = 0").select("_codes", "_q", "_asked", "_o", "_b", around).join(library, ["_codes", "_place"])
+    near = near.select("_q", "_asked", "_o", "_b", "_c", F.explode("ids").alias("case_id"))
+    # Where nothing is in common all similarities are 0, and the first ids of the set count.
+    firsts = top_k(known.select("case_id", "_codes", flat), ["_codes"], [F.col("case_id")], k, ["case_id"])
+    level = points.filter("_q = 0 AND _o = 0").drop("_s").join(firsts, "_codes").select("_q", "_asked", "_o", "_b", F.col("_s").alias("_c"), "case_id")
+    length = F.sqrt(F.col("_q") * F.col("_q") + F.bit_count("_asked")) * F.sqrt(F.col("_c") * F.col("_c") + F.col("_b"))
+    rated = near.unionByName(level).distinct().select(
+        "_q", "_asked", "case_id", F.coalesce((F.col("_q") * F.col("_c") + F.col("_o")) / F.nullif(length, F.lit(0.0)), F.lit(0.0)).alias("similarity"),
+    )
+    best = settled(top_k(rated, ["_q", "_asked"], [F.desc("similarity"), F.col("case_id")], k, ["case_id"], spread=1, rank="rank"), "best-cases")
+    best = spread_join(best, known.select("case_id", *fields), ["case_id"], ["_q", "_asked"], "inner")
+    # Both sides are read from written tables, so a query that many ask can be split.
+    return asked.join(settled(best, "described-cases"), ["_q", "_asked"]).select(
+        "query_id", "rank", "case_id", settle("similarity", 4).alias("similarity"), *fields,
     )
 
 

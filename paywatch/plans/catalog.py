@@ -761,6 +761,7 @@ def _memos(spark, sf):
         (F.col("final_risk_score") + F.when(F.col("txn_id") % 13 == 0, 1.0).otherwise(0.0)).alias("confidence"),
         F.when(F.col("txn_id") % 17 == 0, "URGENT").otherwise("HIGH").alias("priority"),
         "reason_codes",
+        F.concat(F.col("alert_id"), F.lit(" on account "), F.col("account_id").cast("string")).alias("summary"),
         F.struct(*[c.alias(n) for n, c in listed.items()]).alias("entities_involved"),
     )
 
@@ -776,7 +777,7 @@ def similar_cases(spark, sf):
     asked = _alerts(spark, sf).filter("action <> 'ALLOW'").select(
         F.col("txn_id").alias("query_id"), "txn_risk_score", "reason_codes"
     )
-    return investigate.similar_cases(asked, cases)
+    return joined(investigate.similar_cases(asked, cases), "reason_codes")
 
 
 @query

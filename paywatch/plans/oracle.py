@@ -876,17 +876,20 @@ library AS (
 ),
 asked AS (SELECT txn_id AS query_id, txn_risk_score AS q, reason_codes AS codes FROM alerts WHERE action <> 'ALLOW'),
 asked_vec AS (SELECT *, list_filter(string_split(codes, '|'), lambda c: list_contains({CODE_LIST}, c)) AS cs FROM asked),
-library_vec AS (SELECT *, list_filter(string_split(codes, '|'), lambda c: list_contains({CODE_LIST}, c)) AS cs FROM library),
+library_sets AS (SELECT *, list_filter(string_split(codes, '|'), lambda c: list_contains({CODE_LIST}, c)) AS cs FROM library),
+library_vec AS (SELECT * REPLACE (CASE WHEN len(cs) = 0 THEN sign(s) ELSE s END AS s) FROM library_sets),
 rated_pairs AS (
   SELECT query_id, unnest(ids) AS case_id,
     coalesce((q * s + len(list_intersect(a.cs, b.cs))) / nullif(sqrt(q * q + len(a.cs)) * sqrt(s * s + len(b.cs)), 0), 0) AS sim
   FROM asked_vec a, library_vec b
 ),
 best AS (
-  SELECT query_id, case_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, case_id) AS rank
+  SELECT query_id, case_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, case_id) AS rank
   FROM rated_pairs
 )
-SELECT query_id, case_id, half_up(sim, 4) AS similarity, CAST(rank AS INTEGER) AS rank FROM best WHERE rank <= 3""",
+SELECT query_id, case_id, half_up(sim, 4) AS similarity, CAST(rank AS INTEGER) AS rank, recommended_action,
+  half_up(confidence, 2) AS confidence, reason_codes, alert_id || ' on account ' || CAST(account_id AS VARCHAR) AS summary
+  FROM best JOIN checked USING (case_id) WHERE rank <= 3""",
     "case_detail": M + """SELECT case_id, alert_id, recommended_action, half_up(txn_risk_score, 4) AS txn_risk_score,
   half_up(behavior_anomaly_score, 4) AS behavior_anomaly_score, half_up(graph_risk_score, 4) AS graph_risk_score,
   half_up(final_risk_score, 4) AS final_risk_score, half_up(amount, 2) AS amount FROM memos""",

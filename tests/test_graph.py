@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 from collections import Counter
 
@@ -172,18 +173,39 @@ def test_watchlist_first_hit(spark):
     assert got == {"Acme-7": "W1", "7": "7", "nobody": None, "W2": "W2"}
 
 
-def test_similar_cases_in_slices(spark):
-    cases = spark.createDataFrame(
-        [(f"C{i:03d}", i / 100, ["WATCHLIST_HIT"] if i % 2 else ["BURST_VELOCITY", "UNKNOWN"]) for i in range(60)],
-        "case_id string, confidence double, reason_codes array<string>",
-    )
-    asked = spark.createDataFrame(
-        [(1, 0.3, ["WATCHLIST_HIT"]), (2, 0.0, [])], "query_id bigint, txn_risk_score double, reason_codes array<string>"
+def cosine(a, b):
+    length = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+    return sum(x * y for x, y in zip(a, b)) / length if length else 0.0
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_similar_cases_equal_all_pairs(spark, k):
+    rng = random.Random(k)
+    codes = [*investigate.REASON_CODES[:4], "UNKNOWN"]
+    some = lambda: rng.sample(codes, rng.choice([0, 1, 1, 2, 3]))
+    score = lambda: rng.choice([0.0, 0.5, 1.0, None, round(rng.random(), 3), round(rng.random(), 3)])
+    cases = [(f"C{i:03d}", score(), some(), "BLOCK", f"case {i}") for i in rng.sample(range(200), 120)]
+    asked = [(i, score(), some()) for i in range(50)]
+    vector = lambda s, cs: [0.5 if s is None else s, *[float(c in cs) for c in investigate.REASON_CODES]]
+    want = set()
+    for q, s, cs in asked:
+        rated = sorted((-round(cosine(vector(s, cs), vector(*c[1:3])), 12), c[0]) for c in cases)[:k]
+        want |= {(q, r + 1, c) for r, (_, c) in enumerate(rated)}
+    library = spark.createDataFrame(cases, "case_id string, confidence double, reason_codes array<string>, recommended_action string, summary string")
+    found = investigate.similar_cases(
+        spark.createDataFrame(asked, "query_id bigint, txn_risk_score double, reason_codes array<string>"), library, k
     )
-    whole = sorted(tuple(r) for r in investigate.similar_cases(asked, cases).collect())
-    sliced = sorted(tuple(r) for r in investigate.similar_cases(asked, cases, library_rows=7).collect())
-    assert whole == sliced and len(whole) == 6
-    assert {r[1] for r in whole if r[0] == 1} == {"C029", "C031", "C027"} or whole[0][2] == 1.0
+    rows = found.collect()
+    # Vectors at the same angle differ in the last digit, where ids may change places.
+    of = {c[0]: c for c in cases}
+    assert len(rows) == len(want) and len({(r.query_id, r.rank) for r in rows}) == len(rows)
+    by_place = {(q, r): c for q, r, c in want}
+    for r in rows:
+        q, s, cs = asked[r.query_id]
+        angle = lambda c: cosine(vector(s, cs), vector(*of[c][1:3]))  # noqa: B023, E731
+        assert abs(angle(r.case_id) - angle(by_place[r.query_id, r.rank])) < 1e-9
+        assert (r.confidence, r.reason_codes, r.recommended_action, r.summary) == of[r.case_id][1:]
+    assert investigate.similar_cases(found.select("query_id", F.lit(0.1).alias("txn_risk_score"), "reason_codes"), library.limit(0)).collect() == []
 
 
 def test_neighbors_are_all_listed_and_counted(make_txn):
