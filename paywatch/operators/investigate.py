@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +16,23 @@ from paywatch.operators.graph import EDGE_TYPES
 from paywatch.runtime import settled
 from paywatch.schemas import ACTIONS, REASON_CODES
 
-# --- fixed values: caps and confidences of the lookups ---
-NEIGHBOUR_CAPS = {"device": 20, "beneficiary": 20, "ip": 20, "merchant": 10}
-DEVICES_FOLLOWED = 5
-SHARERS_PER_DEVICE = 10
-SHARERS = 20
+
+
+@dataclass(frozen=True)
+class Caps:
+    """How many neighbours a report shows, in id order; None shows all of them."""
+
+    device: int | None = None
+    beneficiary: int | None = None
+    ip: int | None = None
+    merchant: int | None = None
+    followed: int | None = None  # devices whose users are listed
+    offered: int | None = None  # users of one device
+    sharers: int | None = None  # users of all devices together
+
+
+# --- fixed values: caps of the report, confidences of the lookups ---
+REPORT_CAPS = Caps(device=20, beneficiary=20, ip=20, merchant=10, followed=5, offered=10, sharers=20)
 PATTERN_CONFIDENCE = {
     "FAN_OUT": ("is_fan_out_source", 0.8),
     "FAN_IN": ("is_fan_in_target", 0.7),
@@ -146,86 +160,101 @@ def _account_links(txn: DataFrame) -> DataFrame:
     )
 
 
-def neighbors(ids: DataFrame, txn: DataFrame, cap: int | None = None) -> DataFrame:
-    """All devices, payees, IPs, merchants and co-users of devices of each account, as rows
-    (account_id, kind, id, kind_count); co-users have the kind ``account``.
+def neighbors(ids: DataFrame, txn: DataFrame) -> DataFrame:
+    """Everything around the accounts as links: (owner_type, owner_id, kind, id, kind_count).
 
-    With a ``cap`` only the first ids of each kind are listed; ``kind_count`` stays the true
-    count. Every co-user is a row, so a device of n accounts asked for gives n(n-1) of them.
+    Accounts own their devices, payees, IPs and merchants; the devices of these accounts own
+    their users. That is one row per link, however many accounts meet on a device; who meets
+    whom through them, for accounts asked for, is ``co_users``. ``kind_count`` is the number of
+    rows of the owner and kind.
     """
     asked = ids.select(F.col("account_id").cast("string").alias("account_id")).distinct()
     everyone = _account_links(txn)
-    links = only(everyone, asked, "account_id", ["id"])
-    users = everyone.filter("kind = 'device'").select(F.col("id").alias("device"), F.col("account_id").alias("id"))
-    followed = links.filter("kind = 'device'").select("account_id", F.col("id").alias("device"))
-    sharers = (
-        followed.join(users, "device").filter(F.col("id") != F.col("account_id"))
-        .select("account_id", F.lit("account").alias("kind"), "id").distinct()
+    links = settled(only(everyone, asked, "account_id", ["id"]), "links")
+    devices = links.filter("kind = 'device'").select(F.col("id").alias("device_id"))
+    users = everyone.filter("kind = 'device'").select(F.col("id").alias("device_id"), "account_id")
+    users = only(users, devices, "device_id", ["account_id"])
+    rows = links.select(F.lit("account").alias("owner_type"), F.col("account_id").alias("owner_id"), "kind", "id").unionByName(
+        users.select(F.lit("device").alias("owner_type"), F.col("device_id").alias("owner_id"), F.lit("account").alias("kind"), F.col("account_id").alias("id"))
     )
-    rows = links.unionByName(sharers)
-    counts = rows.groupBy("account_id", "kind").agg(F.count(F.lit(1)).alias("kind_count"))
-    listed = rows if cap is None else top_k(rows, ["account_id", "kind"], [F.col("id")], cap, ["id"])
-    return listed.join(counts, ["account_id", "kind"])
+    owner = ["owner_type", "owner_id", "kind"]
+    counts = rows.groupBy(*owner).agg(F.count(F.lit(1)).alias("kind_count"))
+    return spread_join(rows, counts, owner, ["id"], "inner")
 
 
-def neighborhood(ids: DataFrame, txn: DataFrame, hops: int = 2) -> DataFrame:
-    """Devices, payees, IPs, merchants and co-users of devices, each list capped (``neighbors``
-    has all of them); ``total_neighbors`` counts all devices, payees and IPs, listed or not.
+def co_users(ids: DataFrame, txn: DataFrame) -> DataFrame:
+    """(account_id, id) of accounts on a common device, for the accounts asked for.
 
-    The first neighbours in id order are kept. Devices offer at most one account more than
-    the cap, so a device that everyone uses does not multiply rows.
+    The result holds every user of every device of theirs: ask for single accounts, not for
+    all of them.
+    """
+    asked = ids.select(F.col("account_id").cast("string").alias("account_id")).distinct()
+    uses = settled(_account_links(txn).filter("kind = 'device'").select("account_id", F.col("id").alias("device")), "uses")
+    followed = settled(only(uses, asked, "account_id", ["device"]), "followed")
+    # Both sides are read from written tables, so a device that fills a partition can be split.
+    met = followed.join(uses.select("device", F.col("account_id").alias("id")), "device")
+    return met.filter(F.col("id") != F.col("account_id")).select("account_id", "id").distinct()
+
+
+def neighborhood(ids: DataFrame, txn: DataFrame, hops: int = 2, caps: Caps = Caps()) -> DataFrame:
+    """Devices, payees, IPs, merchants and co-users of devices as sorted lists with their counts.
+
+    Without ``caps`` every list is whole. A report caps them (REPORT_CAPS): the first ids are
+    kept, and capped devices offer at most one account more than shown, so a device that
+    everyone uses does not multiply rows. Counts are of all neighbours, listed or not, those of
+    co-users only without caps on them; ``total_neighbors`` counts devices, payees and IPs.
     """
     asked = ids.select(F.col("account_id").cast("string").alias("account_id")).distinct()
     everyone = _account_links(txn)
     links = only(everyone, asked, "account_id", ["id"])
-    ranked = top_k(links, ["account_id", "kind"], [F.col("id")], max(NEIGHBOUR_CAPS.values()), ["id"], rank="place")
+    kept = links
+    if None not in (caps.device, caps.beneficiary, caps.ip, caps.merchant, caps.followed):
+        most = max(caps.device, caps.beneficiary, caps.ip, caps.merchant, caps.followed)
+        kept = top_k(links, ["account_id", "kind"], [F.col("id")], most, ["id"])
+
+    def first(column: Column, cap: int | None) -> Column:
+        return F.array_sort(column) if cap is None else F.slice(F.array_sort(column), 1, cap)
 
     def listed(kind: str) -> Column:
-        mine = (F.col("kind") == kind) & (F.col("place") <= NEIGHBOUR_CAPS[kind])
-        return F.array_sort(F.collect_list(F.when(mine, F.col("id"))))
-
-    lists = ranked.groupBy("account_id").agg(
-        listed("device").alias("connected_devices"),
-        listed("beneficiary").alias("connected_beneficiaries"),
-        listed("ip").alias("connected_ips"),
-        listed("merchant").alias("connected_merchants"),
+        return first(F.collect_list(F.when(F.col("kind") == kind, F.col("id"))), getattr(caps, kind))
+
+    names = {"device": "connected_devices", "beneficiary": "connected_beneficiaries", "ip": "connected_ips", "merchant": "connected_merchants"}
+    lists = kept.groupBy("account_id").agg(*[listed(kind).alias(name) for kind, name in names.items()])
+    counted = {f"{kind}_count": F.count_if(F.col("kind") == kind) for kind in names}
+    counts = links.groupBy("account_id").agg(
+        *[c.alias(n) for n, c in counted.items()], F.count_if(F.col("kind") != "merchant").cast("int").alias("total_neighbors"),
     )
+    lists = lists.join(counts, "account_id")
     none = F.array().cast("array<string>")
-    if hops >= 2:
-        users = everyone.filter("kind = 'device'").select(F.col("id").alias("device"), F.col("account_id").alias("other"))
-        offered = top_k(users, ["device"], [F.col("other")], SHARERS_PER_DEVICE + 1, ["other"]).groupBy(
-            "device"
-        ).agg(F.collect_list("other").alias("others"))
-        followed = ranked.filter(f"kind = 'device' and place <= {DEVICES_FOLLOWED}").select(
-            "account_id", F.col("id").alias("device")
-        )
-        met = spread_join(followed, offered, ["device"], ["account_id"], "inner").select(
-            "account_id",
-            F.slice(
-                F.array_sort(F.array_remove("others", F.col("account_id"))), 1, SHARERS_PER_DEVICE
-            ).alias("others"),
-        )
-        # At most DEVICES_FOLLOWED short lists per account.
-        sharers = met.groupBy("account_id").agg(
-            F.slice(
-                F.array_sort(F.array_distinct(F.flatten(F.collect_list("others")))), 1, SHARERS
-            ).alias("shared_device_accounts")
-        )
-        lists = lists.join(sharers, "account_id", "left").withColumn(
-            "shared_device_accounts", F.coalesce("shared_device_accounts", none)
-        )
+    if hops < 2:
+        return lists.withColumn("shared_device_accounts", none)
+    devices = kept.filter("kind = 'device'").select("account_id", F.col("id").alias("device"))
+    if caps.followed is not None:
+        devices = top_k(devices, ["account_id"], [F.col("device")], caps.followed, ["device"])
+    if caps.offered is None:
+        met = co_users(asked, txn) if caps.followed is None else _met(devices, everyone)
     else:
-        lists = lists.withColumn("shared_device_accounts", none)
-    total = links.filter("kind <> 'merchant'").groupBy("account_id").agg(F.count(F.lit(1)).cast("int").alias("total_neighbors"))
-    return lists.join(total, "account_id", "left").withColumn("total_neighbors", F.coalesce("total_neighbors", F.lit(0)))
+        users = everyone.filter("kind = 'device'").select(F.col("id").alias("device"), F.col("account_id").alias("other"))
+        offered = top_k(users, ["device"], [F.col("other")], caps.offered + 1, ["other"]).groupBy("device").agg(F.collect_list("other").alias("others"))
+        met = spread_join(devices, offered, ["device"], ["account_id"], "inner").select(
+            "account_id", F.explode(F.slice(F.array_sort(F.array_remove("others", F.col("account_id"))), 1, caps.offered)).alias("id"),
+        ).distinct()
+    sharers = met.groupBy("account_id").agg(first(F.collect_list("id"), caps.sharers).alias("shared_device_accounts"))
+    return lists.join(sharers, "account_id", "left").withColumn("shared_device_accounts", F.coalesce("shared_device_accounts", none))
+
+
+def _met(devices: DataFrame, everyone: DataFrame) -> DataFrame:
+    users = everyone.filter("kind = 'device'").select(F.col("id").alias("device"), F.col("account_id").alias("id"))
+    met = settled(devices, "followed").join(settled(users, "users"), "device")
+    return met.filter(F.col("id") != F.col("account_id")).select("account_id", "id").distinct()
 
 
-def device_users(ids: DataFrame, txn: DataFrame, cap: int = 20) -> DataFrame:
-    """Accounts on the devices asked for: their number, and the first ``cap`` in id order."""
+def device_users(ids: DataFrame, txn: DataFrame, cap: int | None = None) -> DataFrame:
+    """Accounts on the devices asked for: their number, and all or the first ``cap`` in id order."""
     asked = ids.select(F.col("device_id").cast("string").alias("device_id")).distinct()
     uses = _account_links(txn).filter("kind = 'device'").select(F.col("id").alias("device_id"), "account_id")
     mine = only(uses, asked, "device_id", ["account_id"])
-    first = top_k(mine, ["device_id"], [F.col("account_id")], cap, ["account_id"])
+    first = mine if cap is None else top_k(mine, ["device_id"], [F.col("account_id")], cap, ["account_id"])
     listed = first.groupBy("device_id").agg(F.array_sort(F.collect_list("account_id")).alias("accounts_using_device"))
     counted = mine.groupBy("device_id").agg(F.count(F.lit(1)).alias("account_count"))
     return listed.join(counted, "device_id").withColumn("is_shared", F.col("account_count") > 1)
@@ -450,10 +479,10 @@ def case_ids(cases: DataFrame) -> DataFrame:
 
 
 def account_card(
-    ids: DataFrame, txn: DataFrame, flags: DataFrame, graph: DataFrame
+    ids: DataFrame, txn: DataFrame, flags: DataFrame, graph: DataFrame, caps: Caps = Caps()
 ) -> DataFrame:
     """Graph values, neighbours and patterns of each account in one row."""
-    around = neighborhood(ids, txn)
+    around = neighborhood(ids, txn, caps=caps)
     shown = graph_patterns(ids, txn, flags).withColumn("account_id", F.col("account_id").cast("string"))
     values = graph.select(
         F.col("account_id").cast("string").alias("account_id"), "account_degree", "graph_risk_score",

@@ -677,21 +677,36 @@ def velocity_snapshot(spark, sf):
 @query
 def neighborhood(spark, sf):
     txn = data.transactions(spark, sf)
-    found = investigate.neighborhood(txn, txn)
+    found = investigate.neighborhood(txn, txn, caps=investigate.REPORT_CAPS)
     return joined(found, *[c for c in found.columns if c.startswith(("connected", "shared"))])
 
 
 @query
 def neighbors(spark, sf):
-    """Every neighbour and co-user as a row; ``neighborhood`` has the capped lists."""
+    """Every link as a row; ``neighborhood`` has the report's lists."""
     txn = data.transactions(spark, sf)
     return investigate.neighbors(txn, txn)
 
 
+@query
+def co_users(spark, sf):
+    """Whom the accounts with an id divisible by 100 meet on their devices."""
+    txn = data.transactions(spark, sf)
+    return investigate.co_users(txn.filter("account_id % 100 = 0"), txn)
+
+
+@query
+def neighborhood_whole(spark, sf):
+    """Whole lists, for the accounts with an id divisible by 100."""
+    txn = data.transactions(spark, sf)
+    found = investigate.neighborhood(txn.filter("account_id % 100 = 0"), txn)
+    return joined(found, *[c for c in found.columns if c.startswith(("connected", "shared"))])
+
+
 @query
 def device_users(spark, sf):
     txn = data.transactions(spark, sf)
-    return joined(investigate.device_users(txn, txn), "accounts_using_device")
+    return joined(investigate.device_users(txn, txn, cap=20), "accounts_using_device")
 
 
 @query
@@ -804,7 +819,7 @@ def account_card(spark, sf):
     txn = data.transactions(spark, sf)
     rated = community.community_features(_communities(spark, sf), txn)
     table = graph.graph_features(graph.node_features(graph.edges(txn)), rated)
-    card = investigate.account_card(txn, txn, graph.topology_flags(txn, **NEAR), table)
+    card = investigate.account_card(txn, txn, graph.topology_flags(txn, **NEAR), table, investigate.REPORT_CAPS)
     kept = card.select(
         "account_id", "community", "account_degree", "graph_risk_score", "community_fraud_rate",
         "connected_devices", "shared_device_accounts", "total_neighbors", "patterns_detected", "confidence",

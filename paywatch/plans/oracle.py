@@ -446,7 +446,9 @@ lists AS (
     coalesce(string_agg(id, '|' ORDER BY id) FILTER (kind = 'beneficiary' AND place <= 20), '') AS connected_beneficiaries,
     coalesce(string_agg(id, '|' ORDER BY id) FILTER (kind = 'ip' AND place <= 20), '') AS connected_ips,
     coalesce(string_agg(id, '|' ORDER BY id) FILTER (kind = 'merchant' AND place <= 10), '') AS connected_merchants,
-    CAST(count(*) FILTER (kind <> 'merchant') AS INTEGER) AS total_neighbors
+    CAST(count(*) FILTER (kind <> 'merchant') AS INTEGER) AS total_neighbors, count(*) FILTER (kind = 'device') AS device_count,
+    count(*) FILTER (kind = 'beneficiary') AS beneficiary_count, count(*) FILTER (kind = 'ip') AS ip_count,
+    count(*) FILTER (kind = 'merchant') AS merchant_count
   FROM placed_links GROUP BY account_id
 ),
 met AS (
@@ -831,6 +833,30 @@ FROM recent JOIN acts USING (account_id) GROUP BY account_id, actions, last""",
   unique_beneficiaries_7d, unique_devices_30d FROM feat
   QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY ts DESC, txn_id DESC) = 1""",
     "neighborhood": with_(TXN, LINKS) + "SELECT * FROM around",
+    "neighbors": with_(TXN, LINKS) + """, owned AS (
+  SELECT 'account' AS owner_type, account_id AS owner_id, kind, id FROM links
+  UNION ALL SELECT 'device', id, 'account', account_id FROM links WHERE kind = 'device'
+)
+SELECT *, count(*) OVER (PARTITION BY owner_type, owner_id, kind) AS kind_count FROM owned""",
+    "co_users": with_(TXN, LINKS) + """SELECT DISTINCT a.account_id, b.account_id AS id
+  FROM links a JOIN links b ON a.id = b.id AND a.account_id <> b.account_id
+  WHERE a.kind = 'device' AND b.kind = 'device' AND CAST(a.account_id AS BIGINT) % 100 = 0""",
+    "neighborhood_whole": with_(TXN, LINKS) + """, mine AS (SELECT * FROM links WHERE CAST(account_id AS BIGINT) % 100 = 0),
+met_all AS (
+  SELECT DISTINCT a.account_id, b.account_id AS id FROM mine a JOIN links b ON a.id = b.id AND b.kind = 'device' AND a.account_id <> b.account_id
+  WHERE a.kind = 'device'
+),
+everything AS (SELECT * FROM mine UNION ALL SELECT account_id, 'account', id FROM met_all)
+SELECT account_id,
+  coalesce(string_agg(id, '|' ORDER BY id) FILTER (kind = 'device'), '') AS connected_devices,
+  coalesce(string_agg(id, '|' ORDER BY id) FILTER (kind = 'beneficiary'), '') AS connected_beneficiaries,
+  coalesce(string_agg(id, '|' ORDER BY id) FILTER (kind = 'ip'), '') AS connected_ips,
+  coalesce(string_agg(id, '|' ORDER BY id) FILTER (kind = 'merchant'), '') AS connected_merchants,
+  coalesce(string_agg(id, '|' ORDER BY id) FILTER (kind = 'account'), '') AS shared_device_accounts,
+  count(*) FILTER (kind = 'device') AS device_count, count(*) FILTER (kind = 'beneficiary') AS beneficiary_count,
+  count(*) FILTER (kind = 'ip') AS ip_count, count(*) FILTER (kind = 'merchant') AS merchant_count,
+  CAST(count(*) FILTER (kind IN ('device', 'beneficiary', 'ip')) AS INTEGER) AS total_neighbors
+  FROM everything GROUP BY account_id""",
     "device_users": with_(TXN, LINKS) + """SELECT device_id,
   string_agg(account_id, '|' ORDER BY account_id) FILTER (n <= 20) AS accounts_using_device,
   count(*) AS account_count, count(*) > 1 AS is_shared FROM (

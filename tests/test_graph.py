@@ -155,7 +155,7 @@ def test_neighborhood_caps(make_txn):
     rows = [{"account_id": f"A{i:02d}", "device_id": "HUB", "beneficiary_id": f"P{i:02d}"} for i in range(40)]
     rows += [{"account_id": "A00", "device_id": f"D{i:02d}", "merchant_id": f"M{i:02d}"} for i in range(30)]
     txn = make_txn(rows)
-    got = {r.account_id: r for r in investigate.neighborhood(txn, txn).collect()}
+    got = {r.account_id: r for r in investigate.neighborhood(txn, txn, caps=investigate.REPORT_CAPS).collect()}
     assert len(got["A00"].connected_devices) == 20 and len(got["A00"].connected_merchants) == 10
     assert got["A05"].shared_device_accounts == [f"A{i:02d}" for i in range(11) if i != 5][:10]
     users = investigate.device_users(txn, txn).filter("device_id = 'HUB'").first()
@@ -216,13 +216,19 @@ def test_neighbors_are_all_listed_and_counted(make_txn):
     found = investigate.neighbors(txn, txn).collect()
     mine = {}
     for r in found:
-        mine.setdefault((r.account_id, r.kind), set()).add(r.id)
-    assert all(r.kind_count == len(mine[r.account_id, r.kind]) for r in found) and len(found) == sum(map(len, mine.values()))
-    assert mine["A00", "device"] == {"HUB", *(f"D{i:02d}" for i in range(30))}
-    assert len(mine["A00", "merchant"]) == 30 and mine["Z", "account"] == {"A00"}
-    assert mine["A00", "account"] == {f"A{i:02d}" for i in range(1, 40)} | {"Z"}
-    few = investigate.neighbors(txn, txn, cap=3).filter("account_id = 'A00' and kind = 'device'").collect()
-    assert [r.kind_count for r in few] == [31] * 3
+        mine.setdefault((r.owner_type, r.owner_id, r.kind), set()).add(r.id)
+    assert all(r.kind_count == len(mine[r.owner_type, r.owner_id, r.kind]) for r in found) and len(found) == sum(map(len, mine.values()))
+    assert mine["account", "A00", "device"] == {"HUB", *(f"D{i:02d}" for i in range(30))}
+    assert len(mine["account", "A00", "merchant"]) == 30
+    assert mine["device", "HUB", "account"] == {f"A{i:02d}" for i in range(40)} and mine["device", "D29", "account"] == {"A00", "Z"}
+    asked = txn.filter("account_id in ('A00', 'Z')")
+    met = {(r.account_id, r.id) for r in investigate.co_users(asked, txn).collect()}
+    assert met == {("Z", "A00"), ("A00", "Z"), *(("A00", f"A{i:02d}") for i in range(1, 40))}
+    whole = {r.account_id: r for r in investigate.neighborhood(asked, txn).collect()}
+    assert whole["A00"].connected_devices == [*(f"D{i:02d}" for i in range(30)), "HUB"] and whole["A00"].device_count == 31
+    assert whole["A00"].shared_device_accounts == [*(f"A{i:02d}" for i in range(1, 40)), "Z"]
+    report = {r.account_id: r for r in investigate.neighborhood(asked, txn, caps=investigate.REPORT_CAPS).collect()}
+    assert len(report["A00"].connected_devices) == 20 and report["A00"].device_count == 31 and report["A00"].merchant_count == 30
 
 
 def test_similar_cases_tell_third_places_apart(spark):
