@@ -4,76 +4,111 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paywatch.functions.ordered import running_totals
 
 # Up to this many values the built-in exact percentile fits comfortably in one task.
 SMALL = 1_000_000
+# The approximate percentile misses a rank by at most n / ACCURACY, so a bracket twice as wide
+# on either side is certain to hold a wanted rank of a large column.
 ACCURACY = 10_000
+MARGIN = 2.0 / ACCURACY
+
+
+class Spread(NamedTuple):
+    """Number of values, the least and the largest one, and the quantiles asked for."""
+
+    n: int
+    low: float
+    high: float
+    at: list[float]
 
 
 def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], small: int = SMALL
 ) -> list[float] | None:
     """Quantiles at ``probs`` (action). Null and NaN values are ignored; None when empty."""
-    values = df.select(F.col(value).cast("double").alias("v")).filter(
-        F.col("v").isNotNull() & ~F.isnan("v")
-    )
-    n = values.count()
-    if n == 0:
-        return None
-    if n <= small:
-        row = values.agg(F.percentile("v", F.array(*map(F.lit, map(float, probs)))).alias("q")).first()
-        return list(row["q"])
-    return _bracketed(values, n, probs)
+    found = column_quantiles(df, [value], probs, small)[value]
+    return found and found.at
 
 
-def _bracketed(values: DataFrame, n: int, probs: Sequence[float]) -> list[float]:
-    """Large inputs: narrow to a bracket around each rank, then rank inside the brackets.
+def column_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], small: int = SMALL
+) -> dict[str, Spread | None]:
+    """Quantiles of many columns at once, in at most four jobs however many columns there are.
 
-    The approximate percentile misses a rank by at most n / ACCURACY, so the brackets
-    are certain to hold the wanted ranks. Only bracketed values are sorted, and equal
-    values are one row.
+    The first pass counts, and brackets every wanted rank by approximate percentiles. Columns
+    of up to ``small`` values get the built-in exact percentile, all in one pass. For the
+    others a second pass counts values: those inside a bracket one by one (equal ones
+    together), all between two brackets as a whole. Running totals over (column, value) then
+    hold the wanted ranks.
     """
-    ranks = sorted({r for p in probs for r in _around(p, n)})
-    margin = 2.0 / ACCURACY
-    lows = [max(0.0, r / n - margin) for r in ranks]
-    highs = [min(1.0, (r + 1) / n + margin) for r in ranks]
-    wanted = F.array(*map(F.lit, lows + highs))
-    edges = values.agg(
-        F.percentile_approx("v", wanted, ACCURACY).alias("e"), F.min("v").alias("lo"), F.max("v").alias("hi")
-    ).first()
-    low = [edges["lo"] if p == 0.0 else e for p, e in zip(lows, edges["e"])]
-    high = [edges["hi"] if p == 1.0 else e for p, e in zip(highs, edges["e"][len(ranks):])]
-    spans = _merged(sorted(zip(low, high)))
-
-    v = F.col("v")
-    hit = F.coalesce(*[
-        F.when(v.between(a, b), F.lit(i)) for i, (a, b) in enumerate(spans)
-    ])
-    below = values.agg(*[F.count_if(v < a).alias(f"b{i}") for i, (a, _) in enumerate(spans)]).first()
-    inside = values.withColumn("span", hit).filter("span is not null").groupBy("span", "v").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    ranked = running_totals(inside, [F.col("span"), F.col("v")], {"upto": "n"})
-    sizes = {r["span"]: r["n"] for r in inside.groupBy("span").agg(F.sum("n").alias("n")).collect()}
-    shift, seen = F.lit(None).cast("bigint"), 0
-    for i in range(len(spans)):
-        shift = F.when(F.col("span") == i, F.lit(below[f"b{i}"] - seen)).otherwise(shift)
-        seen += sizes.get(i, 0)
-    last = F.col("upto") + shift - 1
-    first = last - F.col("n") + 1
-    picks = ranked.agg(*[
-        F.min(F.when((first <= r) & (last >= r), v)).alias(f"r{r}") for r in ranks
+    if not columns:
+        return {}
+    clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    values = df.select(*[v.alias(f"v{i}") for i, v in enumerate(clean.values())])
+    lows, highs = ([min(1.0, max(0.0, p + m)) for p in probs] for m in (-MARGIN, MARGIN))
+    bounds = F.array(*map(F.lit, lows + highs))
+    told = values.agg(*[
+        a for i in range(len(columns)) for a in (
+            F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"lo{i}"), F.max(f"v{i}").alias(f"hi{i}"),
+            F.percentile_approx(f"v{i}", bounds, ACCURACY).alias(f"e{i}"),
+        )
     ]).first()
-    out = []
-    for p in probs:
-        lo, hi = _around(p, n)
-        part = (n - 1) * p - lo
-        out.append(picks[f"r{lo}"] + (picks[f"r{hi}"] - picks[f"r{lo}"]) * part)
+    sizes = [told[f"n{i}"] for i in range(len(columns))]
+    found: dict[int, list[float]] = {}
+    small = max(small, 2 * ACCURACY)  # in fewer values the rounding of a rank is wider than a bracket
+    few = [i for i, n in enumerate(sizes) if 0 < n <= small]
+    if few:
+        exact = F.array(*map(F.lit, map(float, probs)))
+        row = values.agg(*[F.percentile(f"v{i}", exact).alias(f"q{i}") for i in few]).first()
+        found |= {i: list(row[f"q{i}"]) for i in few}
+    many = [i for i, n in enumerate(sizes) if n > small]
+    if many:
+        spans = {}
+        for i in many:
+            edges = told[f"e{i}"]
+            low = [told[f"lo{i}"] if p == 0.0 else e for p, e in zip(lows, edges)]
+            high = [told[f"hi{i}"] if p == 1.0 else e for p, e in zip(highs, edges[len(probs):])]
+            spans[i] = _merged(sorted(zip(low, high)))
+        found |= _ranked(values, spans, {i: sizes[i] for i in many}, probs)
+    return {
+        c: Spread(sizes[i], told[f"lo{i}"], told[f"hi{i}"], found[i]) if sizes[i] else None for i, c in enumerate(columns)
+    }
+
+
+def _ranked(
+    values: DataFrame, spans: dict[int, list[tuple[float, float]]], sizes: dict[int, int], probs: Sequence[float],
+) -> dict[int, list[float]]:
+    """Quantiles of large columns. Bracket k of a column is slot 2k + 1, the gap before it slot 2k."""
+
+    def placed(i: int) -> Column:
+        v, slot = F.col(f"v{i}"), F.lit(2 * len(spans[i]))
+        for k, (a, b) in reversed(list(enumerate(spans[i]))):
+            slot = F.when(v < a, 2 * k).when(v <= b, 2 * k + 1).otherwise(slot)
+        return F.struct(F.lit(i).alias("column"), F.when(v.isNotNull(), slot).alias("slot"), F.when(slot % 2 == 1, v).alias("v"))
+
+    counted = (
+        values.select(F.explode(F.array(*[placed(i) for i in spans])).alias("p")).select("p.*").filter("slot IS NOT NULL")
+        .groupBy("column", "slot", "v").agg(F.count(F.lit(1)).alias("n"))
+    )
+    ranked = running_totals(counted, [F.col("column"), F.col("slot"), F.col("v")], {"upto": "n"})
+    picks, before = [], 0
+    for i, n in sizes.items():
+        for r in sorted({r for p in probs for r in _around(p, n)}):
+            last = F.col("upto") - before - 1
+            hit = (F.col("column") == i) & (last - F.col("n") + 1 <= r) & (last >= r)
+            picks.append(F.min(F.when(hit, F.col("v"))).alias(f"c{i}r{r}"))
+        before += n
+    row = ranked.agg(*picks).first()
+    out = {}
+    for i, n in sizes.items():
+        ends = [(row[f"c{i}r{lo}"], row[f"c{i}r{hi}"], (n - 1) * p - lo) for p in probs for lo, hi in [_around(p, n)]]
+        out[i] = [a + (b - a) * part for a, b, part in ends]
     return out
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paywatch.functions.numbers import settle
-from paywatch.functions.quantiles import exact_quantiles
+from paywatch.functions.quantiles import column_quantiles
 from paywatch.functions.topk import top_k
 from paywatch.operators.alerts import period
 from paywatch.runtime import settled
@@ -20,24 +20,26 @@ MIN_PERIOD = 50
 TOP_ALERTS = 500
 
 
-def binning(reference: DataFrame, feature: str, bins: int = 10) -> Column:
-    """Bin number of a value (action: finds the edges).
+def binnings(reference: DataFrame, features: Sequence[str], bins: int = 10, least: int = 0) -> dict[str, Column]:
+    """Bin number of a value per feature (actions: find the edges of all features together).
 
     A reference within [0, 1] gives equal steps, and values outside get no bin. Otherwise
     the edges are reference quantiles with open ends. The bin is the number of inner edges
-    at or below the value, so equal edges leave empty bins.
+    at or below the value, so equal edges leave empty bins. Features with fewer than ``least``
+    reference values are left out.
     """
-    value = F.col(feature).cast("double")
-    lo, hi = reference.agg(F.min(feature), F.max(feature)).first()
-    unit_range = lo is not None and lo >= 0 and hi <= 1
-    if unit_range:
-        edges = [i * (1.0 / bins) for i in range(1, bins)]
-    else:
-        edges = exact_quantiles(reference, feature, [i / bins for i in range(1, bins)])
-    place = F.lit(0)
-    for edge in edges:
-        place = place + F.when(value >= F.lit(float(edge)), 1).otherwise(0)
-    return F.when(value.between(0.0, 1.0), place) if unit_range else place
+    out = {}
+    for feature, spread in column_quantiles(reference, features, [i / bins for i in range(1, bins)]).items():
+        if (spread.n if spread else 0) < least:
+            continue
+        value = F.col(feature).cast("double")
+        unit_range = spread is not None and spread.low >= 0 and spread.high <= 1
+        edges = [i * (1.0 / bins) for i in range(1, bins)] if unit_range else spread.at if spread else []
+        place = F.lit(0)
+        for edge in edges:
+            place = place + F.when(value >= F.lit(float(edge)), 1).otherwise(0)
+        out[feature] = F.when(value.between(0.0, 1.0), place) if unit_range else place
+    return out
 
 
 def _usable(feature: str) -> Column:
@@ -62,13 +64,9 @@ def psi_by_period(
     before = F.col(ts) < F.lit(cutoff).cast("timestamp")
     reference = df.filter(before)
     present = [f for f in features if f in df.columns]
-    known = reference.agg(*[F.count_if(_usable(f)).alias(f) for f in present]).first()
     placed = [
-        F.struct(
-            F.lit(f).alias("feature"), _usable(f).alias("usable"), binning(reference, f, bins).alias("bin")
-        )
-        for f in present
-        if known[f] >= MIN_REFERENCE
+        F.struct(F.lit(f).alias("feature"), _usable(f).alias("usable"), place.alias("bin"))
+        for f, place in binnings(reference, present, bins, MIN_REFERENCE).items()
     ]
     if not placed:
         return df.sparkSession.createDataFrame([], "feature string, period string, psi double")
@@ -104,7 +102,7 @@ def psi_from_counts(counts: DataFrame, bins: int = 10, min_values: int = MIN_PER
 
 def psi(reference: DataFrame, actual: DataFrame, feature: str, bins: int = 10) -> DataFrame:
     """PSI between two tables for one feature, without minimum sizes."""
-    place = binning(reference, feature, bins)
+    place = binnings(reference, [feature], bins)[feature]
 
     def counted(df: DataFrame, label: str) -> DataFrame:
         counts = df.filter(_usable(feature)).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,31 +105,69 @@ def findings(txn: DataFrame, max_null: float = 0.05) -> DataFrame:
 def report(
     txn: DataFrame, device: DataFrame | None = None, ip: DataFrame | None = None, max_null: float = 0.05
 ) -> DataFrame:
-    """The whole report in long form: (section, key, value), values as text."""
-
-    def section(name: str, rows: DataFrame, key: str, value: str | Column) -> DataFrame:
-        text = (F.col(value) if isinstance(value, str) else value).cast("string")
-        return rows.select(F.lit(name).alias("section"), F.col(key).cast("string").alias("key"), text.alias("value"))
-
-    labels = label_distribution(txn)
-    spans = coverage(txn).select(
-        F.date_format("min_timestamp", "yyyy-MM-dd HH:mm:ss").alias("min"),
-        F.date_format("max_timestamp", "yyyy-MM-dd HH:mm:ss").alias("max"),
-        F.col("device_coverage").cast("string").alias("device_assignment_coverage"),
-        F.col("ip_coverage").cast("string").alias("ip_assignment_coverage"),
+    """The whole report in long form: (section, key, value), values as text.
+
+    The table is read twice: one wide aggregate for all counts per column, and one grouping of
+    all keys (accounts, devices, IPs, ids, sources, scenarios) together.
+    """
+    entry = lambda section, key, value: F.struct(
+        F.lit(section).alias("section"), (F.lit(key) if isinstance(key, str) else key).cast("string").alias("key"),
+        value.cast("string").alias("value"),
+    )
+    entries = lambda rows, *found: rows.select(F.explode(F.array_compact(F.array(*found))).alias("_e")).select("_e.*")
+
+    present = [c for c in MONITORED_COLUMNS if c in txn.columns]
+    share = lambda c: settle(1 - F.avg(F.col(c).isNull().cast("int")), 4)
+    wide = txn.agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("timestamp").alias("_min"), F.max("timestamp").alias("_max"),
+        share("device_id").alias("_device"), share("ip_id").alias("_ip"),
+        *[F.avg(_is_missing(txn, c).cast("int")).alias(f"_null_{c}") for c in present],
+    )
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    rates = {c: F.col(f"_null_{c}") for c in present}
+    totals = entries(
+        wide, entry("record_counts", "transactions", F.col("_rows")),
+        *[entry("null_rates", c, settle(rate, 4)) for c, rate in rates.items()],
+        entry("coverage", "min", stamp("_min")), entry("coverage", "max", stamp("_max")),
+        entry("coverage", "device_assignment_coverage", F.col("_device")), entry("coverage", "ip_assignment_coverage", F.col("_ip")),
+        *[
+            F.when(rate > (0 if c in CRITICAL_COLUMNS else max_null), entry("findings", c, F.lit("error" if c in CRITICAL_COLUMNS else "warning")))
+            for c, rate in rates.items()
+        ],
+    )
+
+    counted = {"account_id": "unique_accounts"}
+    counted |= ({"device_id": "devices"} if device is None else {}) | ({"ip_id": "ips"} if ip is None else {})
+    kinds = [*counted, "txn_id", "source"]
+    keyed = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
+    scenario = F.when(F.col("is_fraud") & F.col("fraud_scenario").isNotNull(), keyed("scenario", F.col("fraud_scenario")))
+    keys = txn.select("is_fraud", F.explode(F.array_compact(F.array(*[keyed(k, F.col(k)) for k in kinds], scenario))).alias("_k"))
+    per_key = keys.groupBy("_k.kind", "_k.key").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("is_fraud").alias("fraud"), F.count("is_fraud").alias("labels")
     )
-    parts = [
-        section("record_counts", record_counts(txn, device, ip), "key", "value"),
-        section("null_rates", null_rates(txn), "column_name", settle("null_rate", 4)),
-        section("fraud_count_by_source", labels, "source", "fraud_count"),
-        section("total_count_by_source", labels, "source", "total_count"),
-        section("fraud_rate_by_source", labels, "source", "fraud_rate"),
-        section("fraud_by_scenario", scenario_counts(txn), "fraud_scenario", "fraud_count"),
-        section("coverage", spans.unpivot([], spans.columns, "key", "value"), "key", "value"),
-        section("uniqueness", uniqueness(txn).withColumn("key", F.lit("txn_id_unique")), "key", "is_unique"),
-        section("findings", findings(txn, max_null), "column_name", "severity"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    # An empty table has no keys, but its counts are still told.
+    none = txn.sparkSession.createDataFrame(
+        [(k, None, 0, 0, 0) for k in kinds if k != "source"], "kind string, key string, n bigint, fraud bigint, labels bigint"
+    )
+    named = F.when(F.col("kind").isin("source", "scenario"), F.col("key")).alias("name")
+    small = per_key.select("kind", "key", "n", "fraud", "labels").unionByName(none).groupBy("kind", named).agg(
+        F.count("key").alias("keys"), F.max("n").alias("most"), F.sum("n").alias("n"), F.sum("fraud").alias("fraud"), F.sum("labels").alias("labels"),
+    )
+    is_kind = lambda kind, made: F.when(F.col("kind") == kind, made)
+    grouped = entries(
+        small, *[is_kind(k, entry("record_counts", name, F.col("keys"))) for k, name in counted.items()],
+        is_kind("txn_id", entry("uniqueness", "txn_id_unique", F.col("most") <= 1)),
+        is_kind("txn_id", F.when(F.col("most") > 1, entry("findings", "txn_id", F.lit("error")))),
+        is_kind("source", entry("fraud_count_by_source", F.col("name"), F.col("fraud"))),
+        is_kind("source", entry("total_count_by_source", F.col("name"), F.col("labels"))),
+        is_kind("source", entry("fraud_rate_by_source", F.col("name"), settle(F.col("fraud") / F.nullif(F.col("labels"), F.lit(0)), 4))),
+        is_kind("scenario", entry("fraud_by_scenario", F.col("name"), F.col("n"))),
+    )
+    out = totals.unionByName(grouped)
+    for name, table in (("devices", device), ("ips", ip)):
+        if table is not None:
+            out = out.unionByName(entries(table.agg(F.count(F.lit(1)).alias("_n")), entry("record_counts", name, F.col("_n"))))
+    return out
 
 
 def enforce(found: DataFrame) -> None:

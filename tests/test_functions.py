@@ -96,3 +96,44 @@ def test_hash_sample_of_repeated_keys_is_full(spark):
 def test_unique_by(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")], "k string, o int, v string")
     assert rows_of(keys.unique_by(df, ["k"], [F.col("o")])) == [("a", 1, "y"), ("b", 5, "z")]
+
+
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_quantiles_of_many_columns_take_few_jobs(spark, small):
+    rng = random.Random(9)
+    rows = [
+        (float(rng.randrange(50)), rng.gauss(0, 1), None if rng.random() < 0.3 else rng.random(), float("nan"), rng.randrange(10**6))
+        for _ in range(30_000)
+    ]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e bigint").repartition(4).cache()
+    df.count()
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+
+    def jobs_for(columns):
+        group = f"quantiles-{small}-{len(columns)}"
+        spark.sparkContext.setJobGroup(group, "")
+        found = quantiles.column_quantiles(df, columns, probs, small)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    found, jobs = jobs_for(df.columns)
+    assert jobs == jobs_for(["a"])[1]
+    for i, name in enumerate("abcde"):
+        values = [r[i] for r in rows if r[i] is not None and r[i] == r[i]]
+        if not values:
+            assert found[name] is None
+            continue
+        assert found[name][:3] == (len(values), min(values), max(values))
+        assert found[name].at == pytest.approx(np.quantile(values, probs).tolist())
+
+
+def test_report_reads_its_table_twice(spark, sf_dir):
+    from paywatch.operators import quality
+    from paywatch.sources import testdata
+
+    plan = quality.report(testdata.transactions(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("FileScan") <= 2
+    empty = testdata.transactions(spark, sf_dir).limit(0)
+    told = {(r.section, r.key): r.value for r in quality.report(empty).collect()}
+    assert told["record_counts", "transactions"] == told["record_counts", "unique_accounts"] == "0"
+    assert told["uniqueness", "txn_id_unique"] == "true"

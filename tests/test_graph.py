@@ -158,7 +158,7 @@ def test_neighborhood_caps(make_txn):
     got = {r.account_id: r for r in investigate.neighborhood(txn, txn, caps=investigate.REPORT_CAPS).collect()}
     assert len(got["A00"].connected_devices) == 20 and len(got["A00"].connected_merchants) == 10
     assert got["A05"].shared_device_accounts == [f"A{i:02d}" for i in range(11) if i != 5][:10]
-    users = investigate.device_users(txn, txn).filter("device_id = 'HUB'").first()
+    users = investigate.device_users(txn, txn, cap=20).filter("device_id = 'HUB'").first()
     assert users.account_count == 40 and len(users.accounts_using_device) == 20 and users.is_shared
     assert got["A00"].total_neighbors == 31 + 1
 
