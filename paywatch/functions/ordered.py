@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paywatch.runtime import settled
@@ -41,3 +41,45 @@ def with_ordinal(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame
     """Dense row number from 0 in the given order."""
     counted = running_totals(df.withColumn("_one", F.lit(1).cast("bigint")), order, {name: "_one"})
     return counted.drop("_one").withColumn(name, F.col(name) - 1)
+
+
+def write_sorted(df: DataFrame, path: str, order: Sequence[str], tasks: int | None = None) -> None:
+    """Write a table in the order of some columns, split into ranges (actions).
+
+    Each range is a folder with its rows in order; ``bounds`` holds one row per range: its
+    number of rows, the rows before it, and the least and greatest value of the first column.
+    """
+    ranged = df.repartitionByRange(*([tasks] if tasks else []), *order).withColumn("_range", F.spark_partition_id())
+    # Led by the folder's column, the order is what the writer asks for, and it sorts nothing anew.
+    placed = ranged.sortWithinPartitions("_range", *order).withColumn(
+        "_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    )
+    placed.write.mode("overwrite").partitionBy("_range").parquet(f"{path}/rows")
+    rows = df.sparkSession.read.parquet(f"{path}/rows") if not placed.isEmpty() else placed
+    ends = rows.groupBy("_range").agg(
+        F.count(F.lit(1)).alias("rows"), F.min(order[0]).alias("least"), F.max(order[0]).alias("greatest")
+    )
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    ends = ends.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+    ends.coalesce(1).write.mode("overwrite").parquet(f"{path}/bounds")
+
+
+def read_sorted(spark: SparkSession, path: str, column: str, low: Column | None = None, high: Column | None = None) -> DataFrame:
+    """Rows of a sorted table with low <= column < high, and their ``position`` in the whole
+    order, from 0. Only the ranges that can hold such rows are read (action: reads the bounds).
+    """
+    bounds = spark.read.parquet(f"{path}/bounds")
+    touched = bounds
+    if low is not None:
+        touched = touched.filter(F.col("greatest") >= low)
+    if high is not None:
+        touched = touched.filter(F.col("least") < high)
+    # Without a bound rows without a value count too; they stand first.
+    ranges = [r["_range"] for r in (touched if low is not None or high is not None else bounds).select("_range").collect()]
+    rows = spark.read.parquet(f"{path}/rows").filter(F.col("_range").isin(ranges))
+    if low is not None:
+        rows = rows.filter(F.col(column) >= low)
+    if high is not None:
+        rows = rows.filter(F.col(column) < high)
+    joined = rows.join(F.broadcast(bounds.select("_range", "before")), "_range")
+    return joined.withColumn("position", F.col("before") + F.col("_row")).drop("_range", "_row", "before")

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from paywatch.functions.keys import unique_by
 from paywatch.functions.numbers import settle
+from paywatch.functions.ordered import read_sorted, write_sorted
 from paywatch.operators import (
     alerts, attribution, community, detect, drift, features, forest, fusion, graph, investigate,
     metrics, model, quality,
 )
 from paywatch.plans import stages
-from paywatch.runtime import settled
+from paywatch.runtime import scratch_path, settled
 from paywatch.schemas import (
     BEHAVIOR_COLUMNS, CANONICAL_COLUMNS, FEATURE_COLUMNS, MERCHANT_IP_COLUMNS, VELOCITY_COLUMNS,
 )
@@ -242,6 +243,16 @@ def topology_flags(spark, sf):
     return graph.topology_flags(data.transactions(spark, sf), **NEAR)
 
 
+@query
+def sorted_transactions(spark, sf):
+    """The transactions of the third week, from a table kept in the order of time."""
+    path = scratch_path(spark, "sorted")
+    rows = data.transactions(spark, sf).select("txn_id", "account_id", "amount", "timestamp")
+    write_sorted(rows, path, ["timestamp", "txn_id"])
+    week = lambda day: F.lit(f"2024-01-{day} 00:00:00").cast("timestamp")
+    return stamp(read_sorted(spark, path, "timestamp", week("15"), week("22")), "timestamp")
+
+
 @query
 def node_features(spark, sf):
     return graph.node_features(graph.edges(data.transactions(spark, sf)))
@@ -893,12 +904,21 @@ def streaming_velocity(spark, sf):
 
 @query
 def streaming_volume(spark, sf):
-    # The table is drained as a whole: every event counts, open windows and late rows included.
-    counts = live.volume(_stream(spark, sf), watermark=None, by="channel")
-    counts = live.drained_updates(counts, "volume", ["window_start", "channel"])
+    counts = live.drained_volume(_stream(spark, sf), by="channel")
     return stamp(counts, "window_start")
 
 
+@query
+def streaming_log(spark, sf):
+    """The events written as an append-only log and read back as a stream of it."""
+    rows = data.transactions(spark, sf).select(
+        F.col("txn_id").cast("string").alias("txn_id"), F.col("account_id").cast("string").alias("account_id"), "amount", "channel",
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+    )
+    topic = live.write_log(rows, scratch_path(spark, "topic"))
+    return stamp(live.drained(live.read_events(spark, "log", {"path": topic}), "log").select(rows.columns), "timestamp")
+
+
 @query
 def streaming_alerts(spark, sf):
     rows = _stream(spark, sf).withColumns({

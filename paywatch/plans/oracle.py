@@ -944,8 +944,13 @@ FROM s ORDER BY f DESC, txn_id LIMIT 100""",
     "streaming_velocity": F_ + """SELECT txn_id, account_id, txn_count_1h, txn_count_24h, txn_count_7d, amount_sum_1h,
   amount_sum_24h FROM feat""",
     # Append mode holds back windows that end after the watermark (newest event less an hour).
-    "streaming_volume": T + f"""SELECT strftime(w, {STAMP}) AS window_start, channel, count(*) AS event_count
-  FROM (SELECT date_trunc('hour', ts) AS w, channel FROM txn) GROUP BY ALL""",
+    "streaming_volume": T + f"""SELECT strftime(w, {STAMP}) AS window_start, channel, count(*) AS event_count,
+  0::BIGINT AS late_count FROM (SELECT date_trunc('hour', ts) AS w, channel FROM txn) GROUP BY ALL""",
+    "streaming_log": T + f"""SELECT CAST(txn_id AS VARCHAR) AS txn_id, CAST(account_id AS VARCHAR) AS account_id, amount, channel,
+  strftime(date_trunc('second', ts), {STAMP}) AS timestamp FROM txn""",
+    "sorted_transactions": T + f"""SELECT * REPLACE (strftime(timestamp, {STAMP}) AS timestamp) FROM (
+  SELECT txn_id, account_id, amount, ts AS timestamp, row_number() OVER (ORDER BY ts, txn_id) - 1 AS position FROM txn)
+  WHERE timestamp >= TIMESTAMP '2024-01-15' AND timestamp < TIMESTAMP '2024-01-22'""",
     "streaming_alerts": S.rstrip() + f""",
 f AS (SELECT *, least(1.0::DOUBLE, 0.50::DOUBLE * txn_risk_score + 0.25::DOUBLE * behavior_anomaly_score
   + 0.25::DOUBLE * graph_risk_score) AS s FROM scored)

@@ -8,13 +8,13 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from paywatch.functions.numbers import settle
 from paywatch.operators import alerts as alert_views
 from paywatch.operators import forest, fusion, model
-from paywatch.runtime import scratch_path
-from paywatch.schemas import STREAM_EVENT
+from paywatch.runtime import scratch_path, settled
+from paywatch.schemas import HOUR, STREAM_EVENT
+from paywatch.streaming import log
 
 TOPIC = "paywatch.transactions"
 
@@ -42,13 +42,24 @@ def parse_events(raw: DataFrame) -> DataFrame:
 def read_events(
     spark: SparkSession, source: str = "kafka", options: dict[str, str] | None = None
 ) -> DataFrame:
-    """The event stream: a Kafka topic, or files of JSON lines in a folder."""
+    """The event stream: a Kafka topic, an append-only JSON log (``log``), or files of JSON lines
+    that appear whole in a folder."""
     if source == "kafka":
-        settings = {"kafka.bootstrap.servers": "localhost:9092", "subscribe": TOPIC, **(options or {})}
+        settings = {"subscribe": TOPIC, **(options or {})}
+        if "kafka.bootstrap.servers" not in settings:
+            raise ValueError("name the brokers in kafka.bootstrap.servers")
         return parse_events(spark.readStream.format("kafka").options(**settings).load())
+    if source == "log":
+        return parse_events(spark.readStream.format(log.register(spark)).options(**(options or {})).load())
     return parse_events(spark.readStream.format("text").options(**(options or {})).load())
 
 
+def write_log(rows: DataFrame, path: str) -> str:
+    """Rows as JSON lines in a folder that the ``log`` source reads; returns its path."""
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    return path
+
+
 def with_defaults(events: DataFrame, features: DataFrame | None = None) -> DataFrame:
     """Feature vector of each event: the account's features where known, else defaults.
 
@@ -132,32 +143,80 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def drained_updates(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
-    """Run an aggregated stream over all available input and return the last row of each key.
+class VolumeJob:
+    """Events per window and value, late ones included, with state for open windows only.
 
-    In update mode open windows are written too, where append mode holds them back until the
-    watermark passes. A micro-batch replaces its own folder, so a replayed one counts once.
-    """
-    spark = stream.sparkSession
-    out = scratch_path(spark, name)
-    numbers = []
+    Each micro-batch adds its counts to the open windows. A window that the watermark (the
+    newest event of all micro-batches less ``delay``) has passed is written out and forgotten;
+    events that still come for it are counted apart, as late. So the state is a few rows
+    per open window, and closed counts, open counts and late counts add up to every event.
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        numbers.append(number)
+    Micro-batches write under their own number and keep the open windows in two slots that they
+    use in turn, so a replayed one finds what it found before and writes the same again.
+    Events without a time belong to no window and are counted with the late ones.
+    """
 
-    query = (
-        stream.writeStream.foreachBatch(write).outputMode("update")
-        .option("checkpointLocation", scratch_path(spark, f"{name}-log"))
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    if not numbers:  # no input, so no folder was written
-        return spark.createDataFrame([], stream.schema)
-    written = spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).parquet(out)
-    rest = [c for c in stream.columns if c not in keys]
-    last = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_l"))
-    return last.select(*[c if c in keys else f"_l.{c}" for c in stream.columns])
+    def __init__(self, folder: str, by: str = "action", window: int = HOUR, delay: int = HOUR):
+        self.folder, self.by, self.window, self.delay = folder.rstrip("/"), by, window, delay
+
+    def _counts(self, kind: str) -> str:
+        return f"_start bigint, {self.by} {kind}, event_count bigint"
+
+    def process(self, batch: DataFrame, number: int) -> None:
+        spark, kind = batch.sparkSession, batch.schema[self.by].dataType.simpleString()
+        second = F.unix_timestamp("timestamp")
+        start = (F.floor(second / self.window) * self.window).cast("bigint").alias("_start")
+        counts = batch.groupBy(start, self.by).agg(F.count(F.lit(1)).alias("event_count"), F.max(second).alias("_newest"))
+        counts = settled(counts, "volume-batch")
+        newest = counts.agg(F.max("_newest")).first()[0]
+        counts = counts.drop("_newest")
+        passed = None
+        if number:
+            known = spark.read.parquet(f"{self.folder}/newest/slot{(number - 1) % 2}").first()[0]
+            passed = None if known is None else known - self.delay
+            newest = max((x for x in (newest, known) if x is not None), default=None)
+            before = spark.read.schema(self._counts(kind)).parquet(f"{self.folder}/open/slot{(number - 1) % 2}")
+        else:
+            before = spark.createDataFrame([], self._counts(kind))
+        end = F.col("_start") + self.window
+        late = F.col("_start").isNull() if passed is None else F.col("_start").isNull() | (end <= passed)
+        counts.filter(late).write.mode("overwrite").parquet(f"{self.folder}/late/batch={number}")
+        now = before.unionByName(counts.filter(~late)).groupBy("_start", self.by).agg(F.sum("event_count").alias("event_count"))
+        now = settled(now, "volume-open")
+        closed = F.lit(False) if newest is None else end <= newest - self.delay
+        now.filter(closed).write.mode("overwrite").parquet(f"{self.folder}/closed/batch={number}")
+        now.filter(~closed).write.mode("overwrite").parquet(f"{self.folder}/open/slot{number % 2}")
+        spark.createDataFrame([(newest,)], "newest bigint").write.mode("overwrite").parquet(f"{self.folder}/newest/slot{number % 2}")
+        self.last, self.kind = number, kind
+
+    def run(self, stream: DataFrame, available_now: bool = True) -> StreamingQuery:
+        self.last, self.kind = None, stream.schema[self.by].dataType.simpleString()
+        writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.folder}/log")
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+    def open_windows(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(self._counts(self.kind)).parquet(f"{self.folder}/open/slot{self.last % 2}")
+
+    def result(self, spark: SparkSession) -> DataFrame:
+        """(window_start, value, event_count, late_count): all events so far; late ones are part of the count."""
+        counts = self._counts(self.kind)
+        zero, own = F.lit(0).cast("bigint").alias("late_count"), F.col("event_count").alias("late_count")
+        if self.last is None:  # no input, so nothing was written
+            found = spark.createDataFrame([], counts).select("*", zero)
+        else:
+            written = lambda name: spark.read.schema(counts).parquet(f"{self.folder}/{name}").select("_start", self.by, "event_count")
+            found = self.open_windows(spark).select("*", zero).unionByName(written("closed").select("*", zero))
+            found = found.unionByName(written("late").select("*", own))
+        summed = found.groupBy("_start", self.by).agg(F.sum("event_count").alias("event_count"), F.sum("late_count").alias("late_count"))
+        return summed.select(F.timestamp_seconds("_start").alias("window_start"), self.by, "event_count", "late_count")
+
+
+def drained_volume(stream: DataFrame, by: str = "action", window: int = HOUR, delay: int = HOUR) -> DataFrame:
+    """Run over all available input and return the counts."""
+    spark = stream.sparkSession
+    job = VolumeJob(scratch_path(spark, "volume"), by, window, delay)
+    job.run(stream).awaitTermination()
+    return job.result(spark)
 
 
 def latest_alerts(alerts: DataFrame, limit: int = 50, risk_band: str | None = None) -> DataFrame:

@@ -1,11 +1,12 @@
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from paywatch.functions import keys, quantiles
-from paywatch.functions.ordered import running_totals, with_ordinal
+from paywatch.functions.ordered import read_sorted, running_totals, with_ordinal, write_sorted
 from paywatch.functions.sampling import hash_sample
 from paywatch.functions.topk import top_k, top_n
 
@@ -137,3 +138,25 @@ def test_report_reads_its_table_twice(spark, sf_dir):
     told = {(r.section, r.key): r.value for r in quality.report(empty).collect()}
     assert told["record_counts", "transactions"] == told["record_counts", "unique_accounts"] == "0"
     assert told["uniqueness", "txn_id_unique"] == "true"
+
+
+def test_sorted_table_keeps_order_and_prunes(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, *range(40)])) for i in rng.sample(range(5000), 3000)]
+    df = spark.createDataFrame(rows, "id bigint, at int").repartition(5)
+    write_sorted(df, str(tmp_path / "t"), ["at", "id"], 8)
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    found = read_sorted(spark, str(tmp_path / "t"), "at")
+    assert [(r.id, r.at) for r in found.orderBy("position").collect()] == order
+    assert sorted(r.position for r in found.collect()) == list(range(3000))
+    some = read_sorted(spark, str(tmp_path / "t"), "at", F.lit(10), F.lit(13))
+    assert [(r.id, r.at) for r in some.orderBy("position").collect()] == [r for r in order if r[1] in (10, 11, 12)]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    pruned = re.search(r"PartitionFilters: \[.*?_range#\d+ (?:IN \(([\d,]+)\)|= (\d+))", plan)
+    assert pruned and len((pruned[1] or pruned[2]).split(",")) < 8
+    # Rows stand in order in their files.
+    for path in found.inputFiles():
+        if "/rows/" in path:
+            ats = [(r.at is not None, r.at or 0, r.id) for r in spark.read.parquet(path).collect()]
+            assert ats == sorted(ats)
+    write_sorted(df.limit(0), str(tmp_path / "none"), ["at", "id"])

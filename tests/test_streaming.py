@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from paywatch.operators import features
 from paywatch.streaming import events as live
+from paywatch.streaming import log
 from paywatch.streaming.velocity import VelocityJob
 
 COLUMNS = ["txn_count_1h", "txn_count_24h", "txn_count_7d", "amount_sum_1h", "amount_sum_24h"]
@@ -120,16 +121,68 @@ def test_limits(spark):
         live.latest_alerts(spark.range(1), 1001)
 
 
-def test_volume_counts_open_windows_and_late_events(spark, make_txn, tmp_path):
-    hours = [0, 30, 3600, 5 * 3600, 5 * 3600 + 60, 60]  # the last event is late by hours
-    txn = make_txn([{"at": at} for at in hours]).select("txn_id", "account_id", "amount", "timestamp")
+def test_volume_ends_windows_and_counts_late_events(spark, make_txn, tmp_path):
+    hours = [0, 30, 3600, 5 * 3600, 5 * 3600 + 60, 60, 7 * 3600]  # the sixth event is late by hours
+    txn = make_txn([{"at": at} for at in hours])
     for i in range(len(hours)):
-        txn.filter(F.col("txn_id") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    counts = live.volume(stream_of(spark, tmp_path / "in"), watermark=None, by="account_id")
-    got = live.drained_updates(counts, "volume", ["window_start", "account_id"])
-    assert got.dtypes == counts.dtypes
-    rows = got.select(F.hour("window_start").alias("h"), "event_count").collect()
-    assert sorted((r.h, r.event_count) for r in rows) == [(0, 3), (1, 1), (5, 2)]
+        add_file(txn.filter(F.col("txn_id") == i), tmp_path / "in")
+    job = live.VolumeJob(str(tmp_path / "job"), by="account_id")
+    job.run(stream_of(spark, tmp_path / "in")).awaitTermination()
+    got = job.result(spark).select(F.hour("window_start").alias("h"), "event_count", "late_count").collect()
+    assert sorted(map(tuple, got)) == [(0, 3, 1), (1, 1, 0), (5, 2, 0), (7, 1, 0)]
+    # Only what the watermark has not passed is still held.
+    assert [r["_start"] % 86400 // 3600 for r in job.open_windows(spark).collect()] == [7]
+
+
+def test_replayed_volume_batch_writes_the_same(spark, make_txn, tmp_path):
+    txn = make_txn([{"at": i * 1800} for i in range(12)] + [{"at": 5}]).withColumn("timestamp", F.when(F.col("txn_id") != 3, F.col("timestamp")))
+    job = live.VolumeJob(str(tmp_path), by="account_id")
+    job.process(txn.filter("txn_id < 8"), 0)
+    job.process(txn.filter("txn_id >= 8"), 1)
+    before = sorted(map(str, job.result(spark).collect()))
+    job.process(txn.filter("txn_id >= 8"), 1)
+    assert sorted(map(str, job.result(spark).collect())) == before
+    assert job.result(spark).agg(F.sum("event_count"), F.sum("late_count")).first()[:] == (13, 2)
+
+
+def test_no_input_gives_no_windows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    assert live.drained_volume(stream_of(spark, tmp_path / "in"), by="account_id").collect() == []
+
+
+def append_events(folder, name, ids, rest=""):
+    with open(folder / name, "a") as file:
+        for i in ids:
+            file.write(json.dumps({"txn_id": f"T{i}", "account_id": "Ä", "amount": 1.0 * i, "timestamp": "2024-01-01T00:00:00"}) + "\n")
+        file.write(rest)
+
+
+def test_log_is_read_on_after_a_restart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(log, "PIECE", 150)
+    monkeypatch.setattr(log, "TAIL", 40)
+    topic = tmp_path / "topic"
+    topic.mkdir()
+
+    def run():
+        stream = live.read_events(spark, "log", {"path": str(topic)}).select("txn_id", "amount", "timestamp")
+        live.to_parquet(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+        return sorted(int(r.txn_id[1:]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    append_events(topic, "p0", range(10), rest='{"txn_id": "T10", "acc')
+    append_events(topic, "p1", range(20, 30))
+    assert run() == [*range(10), *range(20, 30)]
+    # The line that was cut off is whole now; files go on and new ones come.
+    with open(topic / "p0", "a") as file:
+        file.write('ount_id": "A", "amount": 1.0, "timestamp": "2024-01-01T00:00:00"}\nnot json\n')
+    append_events(topic, "p1", range(30, 33))
+    append_events(topic, "p2", [40])
+    assert run() == [*range(11), *range(20, 33), 40]
+    assert run() == [*range(11), *range(20, 33), 40]
+
+
+def test_kafka_needs_its_brokers(spark):
+    with pytest.raises(ValueError, match="brokers"):
+        live.read_events(spark)
 
 
 def test_volume_query_counts_every_event(spark, sf_dir):
