@@ -38,9 +38,19 @@ def running_totals(
 
 
 def with_ordinal(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """Dense row number from 0 in the given order."""
-    counted = running_totals(df.withColumn("_one", F.lit(1).cast("bigint")), order, {name: "_one"})
-    return counted.drop("_one").withColumn(name, F.col(name) - 1)
+    """Dense row number from 0 in the given order.
+
+    Rows are numbered within their range while it is written; only the offsets, one row per
+    range, are added afterwards, so there is one shuffle.
+    """
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = settled(sorted_rows.withColumns({
+        "_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)),
+    }), "ranged")
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_before") + F.col("_row")).alias(name))
 
 
 def write_sorted(df: DataFrame, path: str, order: Sequence[str], tasks: int | None = None) -> None:
