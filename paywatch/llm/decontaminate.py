@@ -9,11 +9,12 @@ differ by at most e from the place's own.
 2. Count. A document's q-grams are hashed with one vectorised pass. Each hit falls on a
    diagonal; diagonals are cut into bands of twice 2 e + 1 that overlap by half, so some
    band holds every q-gram of an occurrence. Distinct item positions are counted per band.
-3. Keep the bands that reach the lemma's bound.
-4. Verify by alignment of the whole item, restricted to the band's diagonals.
+3. Keep the bands that reach the lemma's bound; bands that touch are one region.
+4. Verify each region: the item as it is, else by alignment of the whole item restricted to
+   the region's diagonals. Every region that holds the item is reported with its best place.
 
 The edit budget is ``rate`` of the item's length. It stays below 1/q so that the bound is
-positive; items shorter than q have to occur as they are.
+positive; items shorter than q have to occur as they are, and not inside longer words.
 
 Items are handled in blocks of at most BLOCK_CHARS characters, each of which is what one
 pass sends to the tasks. Documents are never shuffled.
@@ -40,6 +41,7 @@ from paywatch.runtime import settled
 
 Q, RATE = 12, 0.06
 BLOCK_CHARS = 2_000_000
+PAIRS = 1 << 18  # hits of one item in one document that are listed one by one
 BITMAP = 1 << 22
 SPACE = re.compile(r"\s+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -114,61 +116,100 @@ class Index:
     ids: list
     items: list[str]
     codes: list[np.ndarray]
+    hashes: list[np.ndarray]
     budgets: np.ndarray
     bounds: np.ndarray
     grams: np.ndarray
     owner: np.ndarray
-    place: np.ndarray
     bitmap: np.ndarray
     short: list[int]
 
-    def search(self, raw: str) -> list[tuple]:
-        """(item id, start, end, edits, characters of the item) of each item found, its best place."""
+    def search(self, raw: str, first_only: bool = False) -> list[tuple]:
+        """(item id, start, end, edits, characters of the item) of every region that holds an item."""
         text = normal(raw)
         found = [
-            (self.ids[k], at, at + len(self.items[k]), 0, len(self.items[k]))
-            for k in self.short if (at := text.find(self.items[k])) >= 0
+            (self.ids[k], at, at + len(self.items[k]), 0, len(self.items[k])) for k in self.short for at in word_places(text, self.items[k])
         ]
         codes = code_points(text)
         hashes = gram_hashes(codes, Q)
-        if not len(hashes) or not len(self.grams):
+        if (first_only and found) or not len(hashes) or not len(self.grams):
             return found
         spots = np.flatnonzero(self.bitmap[hashes & np.uint64(BITMAP - 1)])
-        first = np.searchsorted(self.grams, hashes[spots])
-        after = np.searchsorted(self.grams, hashes[spots], "right")
-        counts = after - first
-        if not counts.sum():
-            return found
-        # Every (document position, gram of an item) pair with equal hashes.
-        where = np.repeat(spots, counts)
-        gram = np.repeat(first - np.concatenate([[0], counts.cumsum()[:-1]]), counts) + np.arange(counts.sum())
-        owner, place = self.owner[gram], self.place[gram]
-        totals = np.bincount(owner, minlength=len(self.ids))
-        enough = totals[owner] >= self.bounds[owner]
-        where, owner, place = where[enough], owner[enough], place[enough]
-        if not len(where):
-            return found
-        step = 2 * self.budgets[owner] + 1
-        band = (where - place) // step
-        # Each hit counts in its own band and in the one that began a step earlier.
-        keys = np.concatenate([np.stack([owner, band, place]), np.stack([owner, band - 1, place])], axis=1)
-        keys = np.unique(keys, axis=1)
-        change = np.flatnonzero(np.any(keys[:2, 1:] != keys[:2, :-1], axis=0)) + 1
-        starts = np.concatenate([[0], change])
-        shared = np.diff(np.concatenate([starts, [keys.shape[1]]]))
-        best: dict[int, tuple[int, int, int]] = {}
-        for at, n in zip(starts, shared):
-            k, b = int(keys[0, at]), int(keys[1, at])
-            if n < self.bounds[k] or (k in best and best[k][0] == 0):
-                continue
-            e = int(self.budgets[k])
-            low, high = b * (2 * e + 1) - e, (b + 2) * (2 * e + 1) + e
-            left = max(0, low)
-            part = codes[left : max(left, high + len(self.items[k]))]
-            hit = banded_edits(self.codes[k], part, low - left, high - left, e)
-            if hit and (k not in best or (hit[0], hit[1] + left) < best[k][:2]):
-                best[k] = (hit[0], hit[1] + left, hit[2] + left)
-        return found + [(self.ids[k], s, t, e, len(self.items[k])) for k, (e, s, t) in sorted(best.items())]
+        spots = spots[np.argsort(hashes[spots], kind="stable")]
+        known = Occurrences(hashes[spots], spots)
+        # Of each item the grams that stand anywhere in the document, however often.
+        distinct = np.unique(known.hashes)
+        first, after = (np.searchsorted(self.grams, distinct, side) for side in ("left", "right"))
+        totals = np.bincount(self.owner[_ranges(first, after)], minlength=len(self.ids))
+        for k in np.flatnonzero((totals >= self.bounds) & (totals > 0)).tolist():
+            item, m, e = self.items[k], len(self.items[k]), int(self.budgets[k])
+            for low, high in known.regions(self.hashes[k], e, int(self.bounds[k])):
+                left = max(0, low)
+                right = max(left, high + m)
+                at = text.find(item, left, right)
+                if at >= 0:
+                    hit = (0, at, at + m)
+                elif (hit := banded_edits(self.codes[k], codes[left:right], low - left, high - left, e)) is not None:
+                    hit = (hit[0], hit[1] + left, hit[2] + left)
+                if hit is not None and not (found and found[-1][:3] == (self.ids[k], *hit[1:])):
+                    found.append((self.ids[k], hit[1], hit[2], hit[0], m))
+                    if first_only:
+                        return found
+        return found
+
+
+class Occurrences:
+    """Where the q-grams of a document stand, in the order of their hashes."""
+
+    def __init__(self, hashes: np.ndarray, places: np.ndarray):
+        self.hashes, self.places = hashes, places
+
+    def regions(self, grams: np.ndarray, edits: int, bound: int) -> list[tuple[int, int]]:
+        """Ranges of diagonals with at least ``bound`` distinct positions of an item in some band.
+
+        Bands that touch are one region. Hits are listed one by one up to PAIRS; where an
+        item and a document repeat the same grams, each item position is looked up per band
+        instead, so neither time nor memory grows with the product of the repeats.
+        """
+        first, after = (np.searchsorted(self.hashes, grams, side) for side in ("left", "right"))
+        step = 2 * edits + 1
+        if (after - first).sum() <= PAIRS:
+            position = np.repeat(np.arange(len(grams)), after - first)
+            band = (self.places[_ranges(first, after)] - position) // step
+            # Each hit counts in its own band and in the one that began a step earlier.
+            keys = np.unique(np.concatenate([band, band - 1]) * len(grams) + np.tile(position, 2))
+            bands, shared = np.unique(keys // len(grams), return_counts=True)
+        else:
+            there = np.flatnonzero(after > first)
+            ends = self.places[first[there]] - there, self.places[after[there] - 1] - there
+            bands = np.arange(int(ends[0].min()) // step - 1, int(ends[1].max()) // step + 1)
+            shared = np.zeros(len(bands), np.int64)
+            for a in np.unique(first[there]).tolist():
+                rows = there[first[there] == a]
+                own = self.places[a : after[rows[0]]]
+                for at in range(0, len(bands), max(1, PAIRS // len(rows))):
+                    part = slice(at, at + max(1, PAIRS // len(rows)))
+                    from_ = rows[:, None] + bands[part] * step
+                    shared[part] += (np.searchsorted(own, from_ + 2 * step) > np.searchsorted(own, from_)).sum(0)
+        bands = bands[shared >= bound]
+        if not len(bands):
+            return []
+        cuts = np.flatnonzero(np.diff(bands) > 1) + 1
+        return [(int(r[0]) * step - edits, (int(r[-1]) + 2) * step + edits) for r in np.split(bands, cuts)]
+
+
+def _ranges(first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """All numbers from each first up to its after, one range behind the other."""
+    counts = after - first
+    return np.repeat(first - (counts.cumsum() - counts), counts) + np.arange(counts.sum())
+
+
+def word_places(text: str, item: str) -> list[int]:
+    """Where a short item stands, not as a part of longer words."""
+    inside = r"[^\W_]"
+    before = f"(?<!{inside})" if re.match(inside, item) else ""
+    behind = f"(?!{inside})" if re.search(f"{inside}$", item) else ""
+    return [m.start() for m in re.finditer(before + re.escape(item) + behind, text)]
 
 
 def build_index(rows: list[tuple], rate: float = RATE) -> Index:
@@ -187,12 +228,11 @@ def build_index(rows: list[tuple], rate: float = RATE) -> Index:
     grams = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     order = np.argsort(grams, kind="stable")
     owner = np.repeat(np.arange(len(kept)), [len(h) for h in hashes]) if hashes else np.zeros(0, np.int64)
-    place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
     bitmap = np.zeros(BITMAP, bool)
     bitmap[grams & np.uint64(BITMAP - 1)] = True
     return Index(
-        [i for i, _ in kept], [t for _, t in kept], codes, budgets, bounds, grams[order],
-        owner[order].astype(np.int64), place[order].astype(np.int64), bitmap, [k for k, n in enumerate(sizes) if n < Q],
+        [i for i, _ in kept], [t for _, t in kept], codes, hashes, budgets, bounds, grams[order],
+        owner[order].astype(np.int64), bitmap, [k for k, n in enumerate(sizes) if n < Q],
     )
 
 
@@ -211,7 +251,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, most: int = BLOCK_CHARS) -> DataFrame:
-    """A row for each document and item found in it: the best place and its edits.
+    """A row for each document and region of it that holds an item: the best place and its edits.
 
     Positions are code points of the compared form of the text. With more than one block
     every block's result is written before the next is read.
@@ -253,7 +293,7 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, rate: float = RATE,
     def clean(rows: DataFrame, block: list[tuple]) -> DataFrame:
         def make():
             index = build_index(block, rate)
-            return lambda batch: [not index.search(t) for t in batch]
+            return lambda batch: [not index.search(t, first_only=True) for t in batch]
 
         return filter_rows(rows, "text", make)
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import brute
@@ -105,6 +106,35 @@ def test_decontamination_finds_what_alignment_finds():
             assert edits == best == brute.best_edits(item, text[start:end])
 
 
+def test_decontamination_of_repetitive_texts(monkeypatch):
+    """Runs of one character and repeated phrases, with hits listed and looked up."""
+    rng = random.Random(6)
+    for pairs in (decontaminate.PAIRS, 0):
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs or 1)
+        for _ in range(40):
+            item = decontaminate.normal("ab " * rng.randint(4, 20) + "-" * rng.randint(0, 40) + rng.choice(["end", "ba ba"]))
+            text = decontaminate.normal("ab " * rng.randint(0, 40) + "-" * rng.randint(0, 60) + rng.choice(["end", "", "ba ba"]) + "ab " * 9)
+            index = decontaminate.build_index([(1, item)])
+            assert bool(index.search(text)) == (brute.best_edits(item, text) <= index.budgets[0])
+    monkeypatch.undo()
+    rule = decontaminate.build_index([(1, "a table " + "-" * 80 + " with text below its rule that the document lacks altogether, as it is a rule")])
+    phrase = decontaminate.build_index([(2, "ha " * 400)])
+    start = time.perf_counter()
+    assert rule.search("-" * 20_000) == []
+    assert phrase.search("ha " * 8_000)[0][:4] == (2, 0, 1199, 0)
+    assert phrase.search(("ha " * 30 + "hbc ") * 60) != []
+    assert time.perf_counter() - start < 10
+
+
+def test_decontamination_reports_every_region():
+    item = "which of these rivers is the longest one in the country?"
+    index = decontaminate.build_index([(1, item), (2, "cat in hat")])
+    text = f"{item} {'other words ' * 30}{item.replace('rivers', 'rivars')} concat in hatred, cat in hat"
+    at = text.index("which", 10)
+    assert sorted(index.search(text)) == [(1, 0, len(item), 0, len(item)), (1, at, at + len(item), 1, len(item)), (2, len(text) - 10, len(text), 0, 10)]
+    assert len(index.search(text, first_only=True)) == 1
+
+
 def test_decontamination_of_odd_rows(spark, docs, none):
     items = spark.createDataFrame([(1, "brown fox jumps over the lazy dog"), (2, None), (3, ""), (4, "no id at"), (4, "no id at")], "item_id long, text string")
     found = decontaminate.matches(docs, items)
