@@ -61,10 +61,8 @@ FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING
 GROUP BY word
 """
 
-DECODE = """
-SELECT doc, list(piece ORDER BY pos) AS pieces
-FROM tokens JOIN vocabulary USING (tok) GROUP BY doc
-"""
+# One ordered aggregate for many texts; an id that is no token stands for nothing.
+DECODE = "SELECT list(piece ORDER BY pos) AS pieces FROM tokens LEFT JOIN vocabulary USING (tok)"
 
 
 class Codec:
@@ -174,18 +172,15 @@ class Codec:
             if n:
                 sizes = [len(r) // 4 for r in rows[at:stop]]
                 self.db.register("tokens", pa.table({
-                    "doc": np.repeat(np.arange(at, stop, dtype=np.int32), sizes), "pos": np.arange(n, dtype=np.int32),
-                    "tok": np.frombuffer(b"".join(rows[at:stop]), "<u4").astype(np.int32),
+                    "pos": np.arange(n, dtype=np.int32), "tok": np.frombuffer(b"".join(rows[at:stop]), "<u4").astype(np.int32),
                 }))
                 found = self.db.sql(DECODE).to_arrow_table().combine_chunks()
                 self.db.unregister("tokens")
-                pieces = found.column("pieces").combine_chunks()
-                # The pieces of a list lie side by side, so a text is one slice of their bytes.
-                data = pieces.values
+                # The pieces lie side by side, so a text is one slice of their bytes.
+                data = found.column("pieces").combine_chunks().values
                 ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset :]
-                joined, bounds = memoryview(data.buffers()[2]), ends[pieces.offsets.to_numpy()]
-                for k, doc in enumerate(found.column("doc").to_pylist()):
-                    out[doc] = bytes(joined[bounds[k] : bounds[k + 1]])
+                joined, bounds = memoryview(data.buffers()[2]), ends[np.append(0, np.cumsum(sizes))]
+                out[at:stop] = [bytes(joined[a:b]) for a, b in zip(bounds, bounds[1:])]
             at = stop
         return out
 
