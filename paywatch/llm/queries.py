@@ -128,4 +128,29 @@ ORACLE = {
                CASE WHEN strlen(payload) >= 1000 AND page_id <> last THEN last END AS refers_to
         FROM payloads
     """,
+    "op13_hard_negatives": """
+        WITH clean AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scores AS (
+            SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label,
+                   CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM clean a JOIN clean b ON a.vec_id <> b.vec_id
+            WHERE a.vec_id % 50 = 0
+        ),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE label = anchor_label
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id, positive_score,
+               n.score AS negative_score
+        FROM positives JOIN scores n USING (anchor_id)
+        WHERE n.label <> n.anchor_label AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)
+        QUALIFY row_number() OVER w <= 3
+    """,
 }
