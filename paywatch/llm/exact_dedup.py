@@ -3,14 +3,15 @@
 Texts are equal when they are identical without white space (space, tab, line feed,
 vertical tab, form feed, carriage return). Rows are told apart by more and more costly keys:
 
-1. Length. One narrow pass gives the length of each row's normalised text and a hash of
-   its first PREFIX characters; both are counted with partial aggregates.
-2. Prefix hash. Only (length, prefix hash) keys that occur twice survive. The second pass
-   knows them by the cells they hash to, at most CELLS of them, which bounds the broadcast
-   whatever the data. A key that shares a surviving one's cell costs a needless hash and
-   nothing else.
-3. Full hash. A second pass computes SHA-256 of the content of surviving rows alone, and
-   rows with equal (length, prefix hash, full hash) form the groups.
+1. Length. A pass counts the lengths of the normalised texts, with partial aggregates.
+2. Prefix hash. Rows whose length occurs twice are counted by (length, hash of the first
+   PREFIX characters).
+3. Full hash. Rows whose (length, prefix hash) occurs twice get the SHA-256 of their whole
+   content, and rows with equal (length, prefix hash, full hash) form the groups.
+
+A stage knows the keys that occur twice by the cells they hash to, at most CELLS of them,
+which bounds the broadcast whatever the data. A key that shares such a key's cell costs a
+needless hash and nothing else.
 
 Of a group the row with the most characters, then the smallest id, stays. All joins are on
 narrow rows; groups of any size are reduced by partial aggregates, never collected.
@@ -37,31 +38,47 @@ def normalised(text: str | Column = "text") -> Column:
     return F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), SPACES, "")
 
 
+def _cell(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(CELLS)).alias("_cell")
+
+
+def _cells(known: DataFrame, keys: list[str], flag: str) -> DataFrame:
+    """The cells of some keys, at most CELLS rows."""
+    return known.select(_cell(keys)).distinct().withColumn(flag, F.lit(True))
+
+
+def _marked(rows: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows, with the cells' flag where the key may be a known one."""
+    return rows.select("*", _cell(keys)).join(F.broadcast(cells), "_cell", "left").drop("_cell")
+
+
 def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: dict[str, Column] | None = None) -> DataFrame:
     """Per row: id, the id that stays, the size of its group, and whether it stays itself.
 
-    ``carry`` adds columns computed from the row in the second pass.
+    ``carry`` adds columns computed from the row in the last pass.
     """
     body = normalised(text)
-    keys = {"_length": F.length(body), "_prefix": F.xxhash64(F.substring(body, 1, PREFIX))}
-    first = docs.select(*[c.alias(n) for n, c in keys.items()])
-    by_prefix = settled(first.groupBy("_length", "_prefix").agg(F.count(F.lit(1)).alias("_n")), "prefix_counts")
-    lengths = by_prefix.groupBy("_length").agg(F.sum("_n").alias("_of_length")).filter("_of_length > 1")
-    survivors = by_prefix.filter("_n > 1").join(lengths.select("_length"), "_length", "left_semi")
-
-    cell = F.pmod(F.xxhash64("_length", "_prefix"), F.lit(CELLS)).alias("_cell")
-    cells = F.broadcast(survivors.select(cell).distinct().withColumn("_hit", F.lit(True)))  # at most CELLS rows
+    prefix = F.xxhash64(F.substring("_body", 1, PREFIX))
+    by_length = docs.select(F.length(body).alias("_length")).groupBy("_length").agg(F.count(F.lit(1)).alias("_n"))
+    lengths = _cells(settled(by_length.filter("_n > 1"), "lengths"), ["_length"], "_shared")
+
+    sized = docs.select(F.length(body).alias("_length"), body.alias("_body"))
+    by_prefix = (
+        _marked(sized, lengths, ["_length"]).filter("_shared").select("_length", prefix.alias("_prefix"))
+        .groupBy("_length", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    )
+    prefixes = _cells(settled(by_prefix.filter("_n > 1"), "prefixes"), ["_length", "_prefix"], "_hit")
 
+    whole = docs.select(
+        F.col(key).alias("doc_id"), F.length(body).alias("_length"), body.alias("_body"),
+        F.length(F.coalesce(F.col(text), F.lit(""))).alias("_chars"),
+        *[c.alias(n) for n, c in (carry or {}).items()],
+    )
+    hashed = _marked(whole, lengths, ["_length"]).withColumn("_prefix", F.when(F.col("_shared"), prefix))
     second = (
-        docs.select(
-            F.col(key).alias("doc_id"), *[c.alias(n) for n, c in keys.items()], body.alias("_body"),
-            F.length(F.coalesce(F.col(text), F.lit(""))).alias("_chars"),
-            *[c.alias(n) for n, c in (carry or {}).items()],
-        )
-        .select("*", cell)
-        .join(cells, "_cell", "left")
-        .withColumn("_full", F.when(F.col("_hit"), F.sha2(F.col("_body").cast("binary"), 256)))
-        .drop("_body", "_cell", "_hit")
+        _marked(hashed, prefixes, ["_length", "_prefix"])
+        .withColumn("_full", F.when(F.col("_shared") & F.col("_hit"), F.sha2(F.col("_body").cast("binary"), 256)))
+        .drop("_body", "_shared", "_hit")
         .withColumn("_row", F.monotonically_increasing_id())
     )
     rows = settled(second, "hashed")
