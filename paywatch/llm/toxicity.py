@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paywatch.llm.common import held_out, map_rows, texts, training_labels
+from paywatch.runtime import settled
 
 MOST_LABELS, MOST_TOKENS = 20_000, 50_000
 WORD = r"\p{L}+"
@@ -172,8 +173,9 @@ def train(
     docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = MOST_LABELS, most_tokens: int = MOST_TOKENS,
     prior: float = 10_000.0, least_z: float = 2.0, least_rows: int = 2, other: float = -0.2, chance: float = 0.05,
 ) -> Model | None:
-    """Lexicon, Gumbel law and logistic curve (three jobs; bounded rows to the driver)."""
-    tokens, _ = significant_tokens(token_counts(docs, labels, target, most), most_tokens, prior, least_z, least_rows)
+    """Lexicon, Gumbel law and logistic curve (four jobs; bounded rows to the driver)."""
+    counts = settled(token_counts(docs, labels, target, most), "token_counts")  # read twice
+    tokens, _ = significant_tokens(counts, most_tokens, prior, least_z, least_rows)
     if not tokens:
         return None
     mean = sum(o * p for o, p in tokens.values())
