@@ -246,6 +246,14 @@ def test_exact_groups(docs, none):
     assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.deduplicated(none).count() == 0
 
 
+def test_stages_of_refinement(spark):
+    # Alone in length, alone in prefix, alone in content, equal.
+    same, tail = "x" * 100, "x" * 99
+    rows = [(1, "abc"), (2, "q" * 100), (3, tail + "y"), (4, same), (5, same[:50] + " \n" + same[50:]), (6, None), (7, " "), (8, "abcd"), (8, "abcd")]
+    got = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 5, 2), (5, 5, 2), (6, 7, 2), (7, 7, 2), (8, 8, 2)}
+
+
 # --- 6 toxicity
 
 
@@ -368,6 +376,62 @@ def test_markov_models_add_random_strings(spark):
     assert all(got[i].startswith("assign:4:") and "random" not in got[i] for i in range(200))
 
 
+def spans_of(table):
+    return {r.doc_id: r.s for r in secrets.scan(table).select("doc_id", secrets.listed(secrets.all_spans()).alias("s")).collect()}
+
+
+def test_keys_inside_paths_and_short_keys(spark):
+    rng = random.Random(21)
+    letters = secrets.ALPHABET[:62]
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    common = ["maximum", "throughput", "configuration", "reader", "partition", "window", "handler", "service"]
+    rows = [(i, f"see token = {key(40)} and " + " ".join(["/".join(rng.sample(common, 2)) for _ in range(30)] + common)) for i in range(200)]
+    paths, short = range(1000, 1100), range(2000, 2100)
+    rows += [(i, f"in reader/window/{key(24)}/handler now") for i in paths]
+    rows += [(i, f"the {key(14)} service") for i in short]
+    rows += [(3000, "window/handler/configuration/service reader_partition_window_handler")]
+    got = spans_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(got[i] == "random:17:41" for i in paths) >= 90
+    assert sum(got[i] == "random:4:18" for i in short) >= 90
+    assert got[3000] == ""
+
+
+def test_two_keys_in_one_run_and_keys_beside_patterns(spark):
+    rng = random.Random(22)
+    key = lambda n: "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(n))
+    path = "/".join(["reader", "window", "handler"] * 3)
+    rows = [(i, f"token = {key(40)} reader/window handler/reader window/handler") for i in range(200)]
+    rows += [(1000, f"{key(32)}/{path}/{key(32)}"), (1001, f"{key(32)}/token={key(32)}"), (1002, f"AKIA{'Q7' * 10}{'0123456789abcdef' * 2} x")]
+    got = spans_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got[1000] == f"random:0:32,random:{34 + len(path)}:{66 + len(path)}"
+    assert got[1001] == "random:0:32,assign:33:71"
+    # Digits of the key id begin a run of hexadecimal ones: both patterns stay, nothing is added in them.
+    assert "random" not in got[1002] and got[1002].startswith("access:0:") and "hex:" in got[1002]
+
+
+def test_added_spans_keep_clear_of_patterns(spark):
+    rng = random.Random(23)
+    parts = ["token", "secret", "=", ":", "AKIA", "ABCD1234EFGH5678", "0123456789abcdef01234567", "deadbeef", "a", "/", "_", " ", "é", "xY9+zQ4LmT0w"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in secrets.scan(table, evidence=0.0).collect():
+        text = rows[r.doc_id][1]
+        for s in r.added:
+            assert text[s.start : s.end] == s.value
+            assert all(s.end <= b.start or b.end <= s.start for b in r.base)
+
+
+def test_many_spans_in_one_text(spark):
+    def run(n):
+        table = spark.createDataFrame([(1, 'password="abc123-45" \n' * n)], "doc_id long, text string")
+        start = time.time()
+        r = secrets.scan(table).select(F.size("base").alias("n"), F.element_at("base", -1)["end"].alias("end")).first()
+        assert (r.n, r.end) == (n, 22 * n - 3)
+        return time.time() - start
+
+    assert run(10) >= 0 and run(32_000) < 12
+
+
 # --- 9 quality
 
 
