@@ -40,7 +40,7 @@ KINDS = ["assign", "access", "hex", "random"]
 # samples of ordinary identifiers.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST_RUN, LEAST_PROOF = 12, 20
-RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}"
+RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}+"
 PROOF = rf"[A-Za-z0-9+/_=-]{{{LEAST_PROOF},}}"
 IDENTIFIER = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{4,19}(?![A-Za-z0-9+/_=-])"
 SPAN = "struct<start:int,end:int,kind:string,value:string>"
@@ -110,13 +110,20 @@ def _spans(text: Column, pattern: str, kind: str) -> Column:
 
 
 def _masked(text: Column) -> Column:
-    """The text with every span of the patterns overwritten, all other characters where they were."""
+    """The text with every match of the patterns overwritten, all other characters where they were."""
+
+    def once(pattern: str) -> Callable[[Column], Column]:
+        def mask(whole: Column) -> Column:
+            parts = F.transform(
+                _pieces(whole, pattern),
+                lambda s: F.concat(s["gap"], F.coalesce(F.repeat(F.lit(GONE), F.length(s["value"])), F.lit(""))),
+            )
+            return F.when(whole.rlike(pattern), F.array_join(parts, "")).otherwise(whole)
+
+        return mask
+
     for pattern in MASKS:
-        parts = F.transform(
-            _pieces(text, pattern),
-            lambda s: F.concat(s["gap"], F.coalesce(F.repeat(F.lit(GONE), F.length(s["value"])), F.lit(""))),
-        )
-        text = F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
+        text = _with(text, once(pattern))
     return text
 
 
@@ -232,10 +239,10 @@ def _widened(run: Column, hit: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", evidence: float = 6.0) -> DataFrame:
     """Per row the spans of the patterns (``base``) and those that the models add (``added``)."""
     body = F.coalesce(F.col(text), F.lit(""))
-    found = settled(
-        docs.select(F.col(key).alias("doc_id"), base_spans(body).alias("base"), _spans(_masked(body), RUN, "random").alias("runs")),
-        "spans",
-    )
+    based = docs.select(F.col(key).alias("doc_id"), base_spans(body).alias("base"), body.alias("_body"))
+    left = F.when(F.size("base") > 0, _masked(F.col("_body"))).otherwise(F.col("_body"))
+    runs = _with(left, lambda whole: _spans(whole, RUN, "random"))
+    found = settled(based.select("doc_id", "base", runs.alias("runs")), "spans")
     table = train(docs, found, text)
     if table is None:
         return found.select("doc_id", "base", F.lit(None).cast(f"array<{SPAN}>").alias("added"))
