@@ -107,6 +107,26 @@ def test_communities_beat_single_accounts_and_stay_in_components(spark):
         assert parts.get(a, a) == parts.get(c, c)
 
 
+def test_large_clubs_settle_in_few_rounds(spark, monkeypatch):
+    calls, wishes = [], community._Graph.wishes
+    monkeypatch.setattr(community._Graph, "wishes", lambda *a, **k: (calls.append(1), wishes(*a, **k))[1])
+    uses = [(f"{g}{i:02}", g) for g in "abc" for i in range(30)]
+    uses += [(f"{g}00", f"bridge {h}") for g, h in ("ab", "ba", "bc", "cb", "ca", "ac")]
+    uses += [(f"{h}00", f"bridge {h}") for h in "abc"]
+    labels = found_communities(spark, sorted(set(uses)))
+    assert all(c == f"{a[0]}00" for a, c in labels.items()) and len(labels) == 90
+    # One member at a time would take many more rounds for thirty of them.
+    assert len(calls) <= 12
+
+
+def test_twins_only_where_their_links_outweigh_chance(spark):
+    member = spark.createDataFrame([(n, d, 1) for n, d in ("a1", "b1", "c1", "c2", "d2")], "node string, device_id string, m bigint")
+    degrees = spark.createDataFrame([("a", 2), ("b", 2), ("c", 3), ("d", 1)], "node string, k bigint")
+    named = lambda weight: {r.node: r.c for r in community.twins(member, degrees, weight).collect()}
+    assert named(8.0) == {"a": "a", "b": "a", "c": "c", "d": "d"}
+    assert named(4.0) == {"a": "a", "b": "b", "c": "c", "d": "d"}
+
+
 def test_no_shared_device_gives_one_community(spark, make_txn):
     txn = make_txn([{"account_id": "A", "device_id": "D1", "is_fraud": True}, {"account_id": "B", "device_id": "D2"}])
     edges = graph.edges(txn)
