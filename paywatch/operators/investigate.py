@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -331,43 +332,54 @@ def graph_patterns(
     return out.join(extra, account == F.col("_account"), "left").drop("_account")
 
 
+# Substrings of listed names that one task makes, about.
+GRAM_ROWS = 1_000_000
+
+
 def watchlist_screen(entities: DataFrame, watchlist: DataFrame) -> DataFrame:
     """First watchlist entry whose id equals the entity id or whose name contains it, with
     its listing time where the list has one.
 
     Names are cut into substrings of the lengths that occur among the ids, so the search
     is an equality join; each substring keeps only its first entry. Case is ignored in
-    names. One action collects the distinct id lengths.
+    names. Entries are sorted and numbered once, so substrings carry a number instead of the
+    entry and are added up in hash tables, and they are made in tasks of about ``GRAM_ROWS``
+    of them. Actions collect the distinct id lengths, write the entries and add up their names.
     """
     asked = entities.select(F.col("entity_id").cast("string").alias("entity_id")).distinct()
     sizes = sorted(
         r[0] for r in asked.select(F.length(F.lower("entity_id")).alias("n")).filter("n > 0").distinct().collect()
     )
-    entry = F.struct(
+    listed = watchlist.select(
         F.col("entity_id").alias("matched_watchlist_id"), F.col("name").alias("matched_name"), "reason", "source",
         *[c for c in ["listed_at"] if c in watchlist.columns],
-    )
-    by_id = watchlist.select(F.col("entity_id").alias("gram"), entry.alias("hit"))
-    lower = F.lower("name")
+    ).distinct()
+    # Numbers grow along the sorted table, so the least one is the first entry.
+    entry = settled(listed.orderBy(*listed.columns).withColumn("_at", F.monotonically_increasing_id()), "watchlist")
+    by_id = entry.groupBy(F.col("matched_watchlist_id").alias("entity_id")).agg(F.min("_at").alias("_id_at"))
+    named = entry.select(F.lower("matched_name").alias("_name"), "_at")
     grams = F.flatten(F.transform(
         F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length("_name")),
         lambda n: F.transform(
             F.sequence(F.lit(1), F.length("_name") - n + 1), lambda at: F.substring(F.col("_name"), at, n)
         ),
     ))
+    letters = named.agg(F.sum(F.length("_name"))).first()[0] or 0
     by_name = (
-        watchlist.withColumn("_name", lower)
-        .select(entry.alias("hit"), F.explode(F.array_distinct(grams)).alias("gram"))
-        .groupBy("gram").agg(F.min("hit").alias("name_hit"))
+        named.repartition(max(1, math.ceil(letters * len(sizes) / GRAM_ROWS)))
+        .select("_at", F.explode(F.array_distinct(grams)).alias("_lower"))
+        .groupBy("_lower").agg(F.min("_at").alias("_name_at"))
     )
-    exact = by_id.groupBy("gram").agg(F.min("hit").alias("id_hit"))
+    # Ids without a hit get numbers of their own, or they would all meet in one task.
+    none = -1 - F.pmod(F.xxhash64("entity_id"), F.lit(1 << 40))
     joined = (
         asked.withColumn("_lower", F.lower("entity_id"))
-        .join(exact.withColumnRenamed("gram", "entity_id"), "entity_id", "left")
-        .join(by_name.withColumnRenamed("gram", "_lower"), "_lower", "left")
-        .withColumn("_hit", F.least("id_hit", "name_hit"))
+        .join(by_id, "entity_id", "left")
+        .join(by_name, "_lower", "left")
+        .select("entity_id", F.coalesce(F.least("_id_at", "_name_at"), none).alias("_at"))
+        .join(entry, "_at", "left")
     )
-    return joined.select("entity_id", F.col("_hit").isNotNull().alias("hit"), "_hit.*")
+    return joined.select("entity_id", (F.col("_at") >= 0).alias("hit"), *listed.columns)
 
 
 def watchlist_edges(screened: DataFrame, entity_type: str, matched_at: Column) -> DataFrame:

@@ -193,6 +193,24 @@ def test_watchlist_first_hit(spark):
     assert got == {"Acme-7": "W1", "7": "7", "nobody": None, "W2": "W2"}
 
 
+def test_watchlist_carries_numbers_in_many_tasks(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abAB") for _ in range(rng.randrange(1, 6)))
+    rows = [(rng.choice([word(), None]), "T", rng.choice([word(), word(), None]), "r", rng.choice(["s", None])) for _ in range(60)]
+    watch = spark.createDataFrame([*rows, *rows[:5]], "entity_id string, entity_type string, name string, reason string, source string")
+    ids = {word() for _ in range(40)} | {None}
+    asked = spark.createDataFrame([(i,) for i in ids], "entity_id string")
+    monkeypatch.setattr(investigate, "GRAM_ROWS", 20, raising=False)
+    found = investigate.watchlist_screen(asked, watch)
+    first = lambda hits: min(hits, key=lambda r: [(x is not None, x or "") for x in (r[0], r[2], r[3], r[4])], default=None)
+    for r in found.collect():
+        hit = first([w for w in rows if r.entity_id is not None and (w[0] == r.entity_id or r.entity_id.lower() in (w[2] or "").lower())])
+        assert r.hit == (hit is not None)
+        assert hit is None or (r.matched_watchlist_id, r.matched_name, r.source) == (hit[0], hit[2], hit[4])
+    # Least structs are found by sorting all substrings with their entries; least numbers are not.
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def cosine(a, b):
     length = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
     return sum(x * y for x, y in zip(a, b)) / length if length else 0.0
