@@ -81,6 +81,19 @@ def train_forest(
     return settled(grown)
 
 
+def compiled(feature, threshold, below, above, size) -> tuple:
+    """A tree as (levels, feature, threshold, child, value): ``child`` holds the branches
+    above and below of each node side by side, a leaf leads to itself, and ``value`` is the
+    depth of a leaf plus the mean path of its points, so a walk needs no masks."""
+    leaf, every = feature < 0, np.arange(len(feature))
+    depth = np.zeros(len(feature))
+    for node in every:  # children come after their parent
+        if not leaf[node]:
+            depth[[below[node], above[node]]] = depth[node] + 1
+    child = np.column_stack([np.where(leaf, every, above), np.where(leaf, every, below)]).ravel().astype(np.intp)
+    return int(depth.max()), np.where(leaf, 0, feature).astype(np.intp), threshold.astype(float), child, depth + average_path(size)
+
+
 def raw_score(
     df: DataFrame, trees: DataFrame, columns: Sequence[str] = tuple(ANOMALY_FEATURES),
     name: str = "anomaly_raw",
@@ -91,26 +104,21 @@ def raw_score(
     """
     names = [c for c in columns if c in df.columns]
     table = trees.orderBy("tree", "node").toPandas()
-    forest = [part.reset_index(drop=True) for _, part in table.groupby("tree")]
     packed = [
-        tuple(part[c].to_numpy() for c in ("feature", "threshold", "below", "above", "size")) for part in forest
+        tuple(part[c].to_numpy() for c in ("feature", "threshold", "below", "above", "size")) for _, part in table.groupby("tree")
     ]
     expected = float(average_path(max(int(p[4][0]) for p in packed)))
+    compact = [compiled(*p) for p in packed]
 
     def walk(points: np.ndarray) -> np.ndarray:
         total = np.zeros(len(points))
-        every = np.arange(len(points))
-        for feature, threshold, below, above, size in packed:
-            at = np.zeros(len(points), dtype=int)
-            depth = np.zeros(len(points))
-            inner = feature[at] >= 0
-            while inner.any():
-                rows, nodes = every[inner], at[inner]
-                left = points[rows, feature[nodes]] <= threshold[nodes]
-                at[inner] = np.where(left, below[nodes], above[nodes])
-                depth[inner] += 1
-                inner = feature[at] >= 0
-            total += depth + average_path(size[at])
+        flat, row = np.ascontiguousarray(points).ravel(), np.arange(len(points)) * points.shape[1]
+        for levels, feature, threshold, child, value in compact:
+            at = np.zeros(len(points), dtype=np.intp)
+            for _ in range(levels):
+                left = flat.take(row + feature.take(at)) <= threshold.take(at)
+                at = child.take(2 * at + left)
+            total += value.take(at)
         return np.power(2.0, -(total / len(packed)) / max(expected, 1e-12))
 
     @F.pandas_udf("double")

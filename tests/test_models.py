@@ -100,3 +100,18 @@ def test_stratified_split_keeps_rows_without_label(spark):
 
 def test_missing_features_are_skipped(prepared):
     assert model.feature_columns(prepared) == ["txn_count_7d", "amount_sum_24h", "is_new_device", "mcc_risk_tier"]
+
+
+def test_compiled_tree_walks_without_masks():
+    import numpy as np
+
+    from paywatch.operators.forest import average_path, compiled
+
+    # Node 0 splits on feature 1, its lower branch 1 on feature 0; 2, 3 and 4 are leaves.
+    columns = ([1, 0, -1, -1, -1], [0.5, 2.0, 0.0, 0.0, 0.0], [1, 3, -1, -1, -1], [2, 4, -1, -1, -1], [9, 5, 4, 3, 2])
+    levels, feature, threshold, child, value = compiled(*(np.array(c) for c in columns))
+    points, at = np.array([[2.0, 0.5], [3.0, 0.0], [0.0, 1.0]]), np.zeros(3, dtype=int)
+    for _ in range(levels):
+        at = child[2 * at + (points[np.arange(3), feature[at]] <= threshold[at])]
+    assert levels == 2 and at.tolist() == [3, 4, 2]
+    assert value[at].tolist() == [2 + average_path(3), 2 + average_path(2), 1 + average_path(4)]
