@@ -166,11 +166,13 @@ def sweep(
     keys: Sequence[str],
     sec: str,
     block: int = DAY,
+    last: int | None = None,
 ) -> DataFrame:
     """Evaluate all point sets at the probes: one row per distinct (keys, second).
 
     ``previous`` is the second of the probe before. Each point set must hold a bounded
-    number of points per (keys, position).
+    number of points per (keys, position). Points after ``last``, the second of the last
+    probe of all, are left out: no total is asked for there.
     """
     types: dict[str, str] = {}
     for points in point_sets:
@@ -190,7 +192,7 @@ def sweep(
     asked = probes.select(*keys, F.col(sec).cast("bigint").alias("pos")).distinct()
     rows = aligned(asked.withColumn("_probe", F.col("pos")))
     for points in point_sets:
-        rows = rows.unionByName(aligned(points))
+        rows = rows.unionByName(aligned(points if last is None else points.filter(F.col("pos") <= last)))
     scanned = blocked_scan(rows, keys, "pos", list(types), latest="_probe", keep=["_probe"], block=block)
     return (
         scanned.filter(F.col("_probe").isNotNull()).drop("_probe").withColumnRenamed("pos", sec)

@@ -152,7 +152,8 @@ def _by_sweep(rows: DataFrame, carried: list[str]) -> DataFrame:
         seen[column] = settled(timeline.previous_second(uses, [*key, column], "ts_epoch"), column)
         points.append(timeline.distinct_points(seen[column], key, "ts_epoch", name, seconds))
 
-    totals = timeline.sweep(points, per_second, key, "ts_epoch")
+    last = per_second.agg(F.max("ts_epoch")).first()[0]
+    totals = timeline.sweep(points, per_second, key, "ts_epoch", last=last)
     peaks = timeline.trailing_max(per_second, key, "ts_epoch", "amount", MONTH)
     firsts = per_second.select(*at, "_first_txn")
     by_second = totals.join(peaks, at).join(firsts, at).withColumns({

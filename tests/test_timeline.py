@@ -176,3 +176,13 @@ def test_month_blocks_cover_long_gaps(make_txn):
     rows = [{"at": 0, "amount": 50.0}, {"at": 30 * DAY, "amount": 10.0}, {"at": 60 * DAY + 1, "amount": 10.0}]
     got = features.rolling_features(make_txn(rows), "sweep").orderBy("txn_id").collect()
     assert [r.amount_vs_30d_max for r in got] == [1.0, 0.2, 1.0]
+
+
+def test_sweep_without_points_after_the_last_probe(spark):
+    events = spark.createDataFrame(
+        [("a", 10, 1), ("a", 20, 2), ("b", 15, 4), ("b", 500, 8)], "k string, s bigint, n bigint"
+    )
+    points = timeline.window_points(events, ["k"], "s", {"short": ("n", -5, 0), "long": ("n", -1000, -1)})
+    whole = timeline.sweep([points], events, ["k"], "s")
+    short = timeline.sweep([points], events, ["k"], "s", last=500)
+    assert sorted(short.collect()) == sorted(whole.collect()) and short.count() == 4
