@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ MONTH = 30 * DAY
 # Above this many rows an account leaves the plain window for the block-wise sweep.
 HOT_ROWS = 20_000
 
+# Rows of about so many transactions that one task holds in the plain windows. Left to the
+# bytes of the shuffle, a task took ten times more memory on ten times the rows.
+WINDOW_ROWS = 100_000
+
 # A row without account or time has no history but itself: it gets a key of its own.
 KEY = ["_account", "_alone"]
 
@@ -46,12 +52,13 @@ def rolling_features(df: DataFrame, method: str = "auto", hot_rows: int = HOT_RO
         return _by_sweep(keyed, df.columns)
     sizes = keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
     rows, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil((rows or 0) / WINDOW_ROWS))
     if (largest or 0) <= hot_rows:
-        return _by_window(keyed, df.columns)
+        return _by_window(keyed.repartition(tasks, *KEY), df.columns)
     hot = settled(sizes.filter(F.col("_n") > hot_rows).select(*KEY), "hot-accounts")
     calm = spread_join(keyed, hot, KEY, ["txn_id"], "left_anti", rows=rows)
     busy = spread_join(keyed, hot, KEY, ["txn_id"], "left_semi", rows=rows)
-    return _by_window(calm, df.columns).unionByName(_by_sweep(busy, df.columns))
+    return _by_window(calm.repartition(tasks, *KEY), df.columns).unionByName(_by_sweep(busy, df.columns))
 
 
 def _keyed(df: DataFrame) -> DataFrame:

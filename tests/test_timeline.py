@@ -186,3 +186,14 @@ def test_sweep_without_points_after_the_last_probe(spark):
     whole = timeline.sweep([points], events, ["k"], "s")
     short = timeline.sweep([points], events, ["k"], "s", last=500)
     assert sorted(short.collect()) == sorted(whole.collect()) and short.count() == 4
+
+
+def test_window_tasks_grow_with_the_rows(spark, make_txn, monkeypatch):
+    from paywatch.operators import features
+
+    txn = make_txn([{"account_id": f"A{i % 50}", "at": i * 60} for i in range(200)])
+    plain = sorted(features.rolling_features(txn, "window").select("txn_id", "txn_count_24h", "amount_sum_1h").collect())
+    monkeypatch.setattr(features, "WINDOW_ROWS", 5, raising=False)
+    found = features.rolling_features(txn)
+    assert found.rdd.getNumPartitions() >= 40
+    assert sorted(found.select("txn_id", "txn_count_24h", "amount_sum_1h").collect()) == plain
