@@ -13,7 +13,9 @@ A word of n bytes takes up to n rounds over n rows, so words over LONG_WORD byte
 without any break) are contracted by the same rule with a heap instead; see README.
 
 A Python worker keeps its codec, and with it the words it has met, for all its tasks. Words
-that were not met again for a while go (two generations), not the frequent ones.
+that were not met again for a while go (two generations), not the frequent ones. What a
+query or a slice needed beside that is given back: two such workers share an executor with
+a JVM whose heap the stages before have filled.
 
 Cases: a null or empty text has no tokens. Repeated rows give repeated rows, other columns
 are not read. Texts are processed whole.
@@ -37,7 +39,8 @@ from pyspark.sql import DataFrame
 from paywatch.llm.common import map_rows, texts
 
 LONG_WORD = 1024  # the positions that CONTRACT packs beside a rank
-CACHED_WORDS = 1_000_000
+# Words that a worker remembers, at about 130 bytes each.
+CACHED_WORDS = 400_000
 # Rows that one recursive query makes, about: a word of n bytes makes n (n + 1) / 2 at most.
 STEP_ROWS = 500_000
 # Token rows that one decoding query orders.
@@ -78,7 +81,11 @@ class Codec:
         self.earlier: dict[str, bytes] = {}
         # The working folder of a worker is its own; nothing in it is read by another one.
         self.folder = tempfile.TemporaryDirectory()
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": self.folder.name})
+        # Freed memory goes back to the system at once, not from 128 MB on.
+        self.db = duckdb.connect(config={
+            "threads": 1, "memory_limit": "200MB", "temp_directory": self.folder.name,
+            "allocator_flush_threshold": "1MB", "allocator_bulk_deallocation_flush_threshold": "1MB",
+        })
         ids = pa.array(self.ranks.values(), pa.int32())
         self._load("vocabulary", pa.table({"tok": ids, "piece": pa.array(self.ranks, pa.binary())}))
         splits = [
@@ -151,10 +158,13 @@ class Codec:
 
     def encode(self, rows: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
-        split = [self.pattern.findall(t) for t in rows]
+        pa.default_memory_pool().release_unused()
+        met: dict[str, str] = {}
+        same = met.setdefault  # a word that comes again is held once
+        split = [list(map(same, words, words)) for words in map(self.pattern.findall, rows)]
         if len(self.words) > CACHED_WORDS // 2:
             self.earlier, self.words = self.words, {}
-        new = set().union(*split).difference(self.words)
+        new = set(met).difference(self.words)
         again = new.intersection(self.earlier)
         self.words.update((w, self.earlier[w]) for w in again)
         for part in self._parts(list(new - again)):
@@ -163,6 +173,7 @@ class Codec:
 
     def decode(self, rows: list[bytes]) -> list[bytes]:
         """Bytes that the ids stand for."""
+        pa.default_memory_pool().release_unused()
         out, at = [b""] * len(rows), 0
         while at < len(rows):
             stop, n = at, 0

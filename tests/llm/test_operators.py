@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import time
+import tracemalloc
 import zlib
 
 import brute
@@ -171,6 +173,38 @@ def test_forgotten_words_are_made_again(monkeypatch):
     assert got == want and len(codec.words) + len(codec.earlier) < 20
 
 
+def traced(run):
+    """MB of Python objects: what stays after the call, and the most during it."""
+    tracemalloc.start()
+    try:
+        run()
+        return [n / 1e6 for n in tracemalloc.get_traced_memory()]
+    finally:
+        tracemalloc.stop()
+
+
+def test_bpe_words_that_come_again_are_held_once():
+    codec, text = bpe.Codec(RANKS, PATTERN), "".join(f" {w}" for w in BITS if w.isalpha()) * 300
+    want = codec.encode([text])
+    out = []
+    assert traced(lambda: out.extend(codec.encode([text] * 200)))[1] < 15  # 26 MB as strings of their own
+    assert out == want * 200
+
+
+def test_bpe_worker_remembers_few_mb_of_words(monkeypatch):
+    codec = bpe.Codec(RANKS, PATTERN)
+    monkeypatch.setattr(codec, "encode_words", lambda words: {w: w.encode()[:12] for w in words})
+    letters = [chr(97 + i) for i in range(26)]
+    firsts = ["".join(p) for p in itertools.product(letters, repeat=3)][:700]
+
+    def fill():
+        for w in firsts:  # over 1,100 words never met before in each text
+            codec.encode(["".join(f" {w}{a}{b}{c}" for a in letters for b in letters for c in "xy")[:8000]])
+
+    assert traced(fill)[1] < 80
+    assert codec.words and codec.earlier
+
+
 @pytest.mark.parametrize("long_word", [bpe.LONG_WORD, 8])
 def test_bpe_equals_library(long_word):
     codec, rng = bpe.Codec(RANKS, PATTERN, long_word), random.Random(2)
